@@ -53,3 +53,17 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
 def sample_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
     """At most `limit` rows, those of the smallest key hash: the same rows at every run and partitioning."""
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)
+
+
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows (of a few numbers each), else df for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the ids in the one column of `ids`; rows with a null id stay."""
+    gone = ids.toDF("__gone")
+    return docs.join(small(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")

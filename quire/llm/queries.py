@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontaminate, langid, packing, ppm
+from quire.llm import chunks, decontaminate, jaccard, langid, packing, ppm, quality
 from quire.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -30,9 +30,35 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(docs, ppm.fit(docs))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT p.a AS doc_id_a, p.b AS doc_id_b, p.n / (x.n + y.n - p.n) AS jaccard
+FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b
+WHERE p.n / (x.n + y.n - p.n) >= 0.65
+"""
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunks.dedup(docs, spans_col="spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_packing, op4_lm_score)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_packing, op4_lm_score, op5_jaccard_join, op6_quality, op7_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_jaccard_join": OP5_SQL}
