@@ -20,8 +20,10 @@ from __future__ import annotations
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,18 +110,44 @@ def spans(hits: list[tuple], sizes: dict) -> list[tuple]:
     return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
-_AUTOMATA: dict[int, ahocorasick.Automaton] = {}
+_LAST: list = []  # the patterns scanned for last and their automaton; holding both keeps the identity test sound
 
 
-def _automaton(key: int, found: dict[str, list[tuple]]) -> ahocorasick.Automaton:
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
+def _automaton(found: dict[str, list[tuple]]) -> ahocorasick.Automaton:
+    if not _LAST or _LAST[0] is not found:
         a = ahocorasick.Automaton()
         for p, where in found.items():
             a.add_word(p, (len(p), where))
         a.make_automaton()
-        _AUTOMATA[key] = a
-    return _AUTOMATA[key]
+        _LAST[:] = [found, a]
+    return _LAST[1]
+
+
+def leaks(text: str | None, found: dict, sizes: dict, auto: ahocorasick.Automaton) -> list[tuple]:
+    """(item id, start, end, words, share of the item) of each shared run of one text."""
+    own = words(text) if text else []
+    if not own:
+        return []
+    hits = [(last, length, where) for last, (length, where) in auto.iter(" " + " ".join(own) + " ")]
+    if not hits:
+        return []
+    starts = dict(zip(accumulate((len(w) + 1 for w in own), initial=0), range(len(own))))
+    at = words_with_offsets(text)
+    placed = [(starts[last - length + 1], *w) for last, length, where in hits for w in where]
+    return [(sizes[key][0], at[s][1], at[e - 1][2], e - s, share) for key, s, e, share in spans(placed, sizes)]
+
+
+def _models(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, item_col: str, item_text_cols: tuple[str, ...], max_automaton_chars: int) -> list:
+    """Broadcast (patterns, sizes), one for each automaton; items are collected only shard by shard."""
+    bench = pick(benchmark, item=item_col, **{f"t{i}": c for i, c in enumerate(item_text_cols)})
+    length = sum(F.coalesce(F.length(f"t{i}"), F.lit(0)) for i in range(len(item_text_cols)))
+    total = bench.select(F.coalesce(F.sum(length), F.lit(0)).alias("n")).first()["n"]
+    shards = max(1, -(-total * n // max_automaton_chars))
+    out = []
+    for shard in range(shards):
+        own = bench.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard) if shards > 1 else bench
+        out.append(docs.sparkSession.sparkContext.broadcast(patterns([tuple(r) for r in own.collect()], n, min_words)))
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), max_automaton_chars: int = 64_000_000) -> DataFrame:
@@ -129,42 +157,37 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words:
     item_share (the share of the item's words in the run). The benchmark is broadcast only up to
     `max_automaton_chars` pattern characters; a larger one is scanned in several automata by hash of the item.
     """
-    spark = docs.sparkSession
-    bench = pick(benchmark, item=item_col, **{f"t{i}": c for i, c in enumerate(item_text_cols)})
-    total = bench.select(F.coalesce(F.sum(sum(F.coalesce(F.length(f"t{i}"), F.lit(0)) for i in range(len(item_text_cols)))), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-total * n // max_automaton_chars))
+    item_type = column_type(benchmark, item_col)
     texts = pick(docs, doc_id=id_col, text=text_col)
-    schema = T.StructType([T.StructField("doc_id", column_type(texts, "doc_id")), T.StructField("item_id", column_type(bench, "item")), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("item_share", T.DoubleType())])
+    schema = T.StructType([T.StructField("doc_id", column_type(texts, "doc_id")), T.StructField("item_id", item_type), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("item_share", T.DoubleType())])
     result = None
-    for shard in range(shards):
-        own = bench.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard)
-        found, sizes = patterns([tuple(r) for r in own.collect()], n, min_words)
-        model = spark.sparkContext.broadcast((found, sizes))
+    for model in _models(docs, benchmark, n, min_words, item_col, item_text_cols, max_automaton_chars):
 
         def scan(batches: Iterator[dict], model=model) -> Iterator[dict]:
-            patterns_of, sizes_of = model.value
-            if not patterns_of:
+            found, sizes = model.value
+            if not found:
                 return
-            auto = _automaton(id(patterns_of), patterns_of)
+            auto = _automaton(found)
             for b in batches:
-                rows: list[tuple] = []
-                for doc, text in zip(b["doc_id"], b["text"]):
-                    if not text:
-                        continue
-                    joined = " " + " ".join(words(text)) + " "
-                    hits = [(joined.count(" ", 0, last - length + 2) - 1, *w) for last, (length, where) in auto.iter(joined) for w in where]
-                    if hits:
-                        at = words_with_offsets(text)
-                        rows += [(doc, sizes_of[key][0], at[s][1], at[e - 1][2], e - s, share) for key, s, e, share in spans(hits, sizes_of)]
-                yield dict(zip(schema.names, zip(*rows))) if rows else {c: [] for c in schema.names}
+                rows = [(doc, *x) for doc, text in zip(b["doc_id"], b["text"]) for x in leaks(text, found, sizes, auto)]
+                if rows:
+                    yield dict(zip(schema.names, zip(*rows)))
 
         part = map_arrow(texts, scan, schema)
         result = part if result is None else result.unionAll(part)
     return result
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a leak, with all their columns. Rows with a null id are kept: no decision can name them."""
-    id_col = options.get("id_col", "doc_id")
-    bad = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`") == F.col("__leaked"), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words: int = 4, text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), max_automaton_chars: int = 64_000_000) -> DataFrame:
+    """The rows of docs without a leak, with all their columns: each row is decided on its own text, without a join."""
+    place = docs.columns.index(text_col)
+    for model in _models(docs, benchmark, n, min_words, item_col, item_text_cols, max_automaton_chars):
+
+        def keep(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            found, sizes = model.value
+            auto = _automaton(found) if found else None
+            for b in batches:
+                yield b if auto is None else b.filter(pa.array([next(auto.iter(" " + " ".join(words(t)) + " "), None) is None if t else True for t in b.column(place).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
