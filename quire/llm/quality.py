@@ -91,24 +91,27 @@ def calibrate(scores: list[float], labels: list[int], rounds: int = 100) -> tupl
     return a / scale, b - a * mean / scale
 
 
-def train(rows: list[tuple[int, str]], *, size: int = 32_768, level: int = 3) -> Model:
-    """rows: (1 good or 0 bad, text). Even rows of either kind train the dictionaries, odd ones the curve."""
+def train(rows: list[tuple[int, str]], *, size: int = 65_536, level: int = 3, odds: float | None = None) -> Model:
+    """rows: (1 good or 0 bad, text). Even rows of either kind train the dictionaries, odd ones the curve, which is then moved to `odds`, good against bad in all labels."""
     kinds = {q: [t for y, t in rows if y == q and t] for q in (0, 1)}
     if min(map(len, kinds.values())) < 2:
         return Model(b"", b"", level, 0.0, 0.0)
     model = Model(dictionary(kinds[1][::2], size), dictionary(kinds[0][::2], size), level, 1.0, 0.0)
     held = [(q, t) for q in (0, 1) for t in kinds[q][1::2]]
     model.slope, model.offset = calibrate([model.score(t) for _, t in held], [q for q, _ in held])
+    if odds:
+        model.offset += math.log(odds * sum(q == 0 for q, _ in held) / sum(q for q, _ in held))
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_per_class: int = 1500, max_train_chars: int = 20_000, **options) -> Model:
-    """Trains on at most `max_per_class` labelled documents of either kind, of at most `max_train_chars` characters."""
+    """Trains on at most `max_per_class` labelled documents of either kind, of at most `max_train_chars` characters; the odds are those of all labels."""
     marks = pick(labels, doc_id=id_col, quality=label_col).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     few = sample_by_hash(marks.where("quality = 0"), "doc_id", max_per_class).unionAll(sample_by_hash(marks.where("quality = 1"), "doc_id", max_per_class))
     texts = pick(docs, doc_id=id_col, text=text_col).where(F.length("text").between(1, max_train_chars))
     rows = texts.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("quality", "text").limit(4 * max_per_class).collect()
-    return train([(r["quality"], r["text"]) for r in rows], **options)
+    n = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
+    return train([(r["quality"], r["text"]) for r in rows], odds=n.get(1, 0) / n[0] if n.get(0) else None, **options)
 
 
 def classify(docs: DataFrame, model: Model, *, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
