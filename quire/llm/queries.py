@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import chunks, decontaminate, jaccard, langid, packing, ppm, quality
+from quire.llm import chat, chunks, decontaminate, jaccard, langid, packing, ppm, quality, toxic
 from quire.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -56,9 +57,49 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.dedup(docs, spans_col="spans")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxic.tag_documents(docs, toxic.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no rejected replies: chat.worsened() makes them. Masks are written as "start-end" lists, for the comparison with SQL."""
+    pairs = chat.format_pairs(chat.worsened(table(spark, sf_dir, "conversations")))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias(c)
+    return pairs.select(F.col("id").alias("conv_id"), "prompt", "chosen", "rejected", told("chosen_mask"), told("rejected_mask"))
+
+
+OP9_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS k FROM t),
+l AS (SELECT *, max(CASE WHEN role = 'assistant' THEN k END) OVER (PARTITION BY conv_id) AS last FROM o),
+p AS (SELECT *, max(CASE WHEN role = 'assistant' AND k < last THEN k END) OVER (PARTITION BY conv_id) AS prior FROM l WHERE k <= last),
+e AS (SELECT *, max(CASE WHEN k = last THEN text END) OVER (PARTITION BY conv_id) AS lt, max(CASE WHEN k = prior THEN text END) OVER (PARTITION BY conv_id) AS pt FROM p),
+b AS (
+  SELECT conv_id, k, role, text AS c,
+    CASE WHEN k = last AND prior IS NULL THEN substr(lt, 1, length(lt) // 2) WHEN k = last THEN pt WHEN k = prior THEN lt ELSE text END AS r
+  FROM e),
+d AS (SELECT *, min(CASE WHEN c IS DISTINCT FROM r THEN k END) OVER (PARTITION BY conv_id) AS f FROM b),
+h AS (
+  SELECT conv_id, k, f, role, '<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10) AS h,
+    replace(coalesce(c, ''), '<|', '< |') || '<|end|>' || chr(10) AS c, replace(coalesce(r, ''), '<|', '< |') || '<|end|>' || chr(10) AS r
+  FROM d WHERE f IS NOT NULL),
+s AS (
+  SELECT *, sum(CASE WHEN k >= f THEN length(h) + length(c) ELSE 0 END) OVER w AS ce, sum(CASE WHEN k >= f THEN length(h) + length(r) ELSE 0 END) OVER w AS re
+  FROM h WINDOW w AS (PARTITION BY conv_id ORDER BY k))
+SELECT conv_id,
+  coalesce(string_agg(h || c, '' ORDER BY k) FILTER (WHERE k < f), '') AS prompt,
+  string_agg(h || c, '' ORDER BY k) FILTER (WHERE k >= f) AS chosen,
+  string_agg(h || r, '' ORDER BY k) FILTER (WHERE k >= f) AS rejected,
+  coalesce(string_agg((ce - length(c))::BIGINT || '-' || ce::BIGINT, ',' ORDER BY k) FILTER (WHERE k >= f AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg((re - length(r))::BIGINT || '-' || re::BIGINT, ',' ORDER BY k) FILTER (WHERE k >= f AND role = 'assistant'), '') AS rejected_mask
+FROM s GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_packing, op4_lm_score, op5_jaccard_join, op6_quality, op7_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_packing, op4_lm_score, op5_jaccard_join, op6_quality, op7_substring_dedup, op8_toxicity, op9_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5_SQL}
+    return {"op5_jaccard_join": OP5_SQL, "op9_chat_format": OP9_SQL}
