@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, chunks, decontaminate, jaccard, langid, packing, ppm, quality, toxic
+from quire.llm import chat, chunks, decontaminate, jaccard, langid, packing, ppm, quality, toxic, webp, webp_write
 from quire.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -97,8 +97,13 @@ FROM s GROUP BY conv_id
 """
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so one is made of each whole page first; the query decodes all of them."""
+    return webp.decode_images(webp_write.picture_files(table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_packing, op4_lm_score, op5_jaccard_join, op6_quality, op7_substring_dedup, op8_toxicity, op9_chat_format)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_packing, op4_lm_score, op5_jaccard_join, op6_quality, op7_substring_dedup, op8_toxicity, op9_chat_format, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
