@@ -1,0 +1,102 @@
+"""Stage 5: OCR words to paragraphs, which engine a page gets, and how its blocks come in."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quire.config import DEFAULT, EngineConfig
+from quire.functions import geometry as G
+from quire.functions import text as X
+from quire.operators import blocks as B
+
+
+def usable_words(words: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    return words.where(~X.blank(F.col("text")) & (F.col("conf") >= 0) & (F.col("width") * F.col("height") >= cfg.ocr_min_area))
+
+
+def paragraphs(words: DataFrame, cfg: EngineConfig = DEFAULT, dpi: int | None = None) -> DataFrame:
+    """A block for each paragraph of OCR words; boxes stay in pixels unless cfg.compat is off."""
+    own = usable_words(words, cfg)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", X.strip(F.col("text")).alias("t")))), lambda w: w["t"]), " ")
+    by = own.groupBy(*B.PAGE, "block_num", "par_num").agg(
+        F.min("i").alias("first"), text.alias("text"), (F.avg("conf") / 100.0).alias("mean"), F.min(F.col("`left`")).alias("x0"), F.min("top").alias("y0"), F.max(F.col("`left`") + F.col("width")).alias("x1"), F.max(F.col("top") + F.col("height")).alias("y1")
+    )
+    box = G.bbox(*(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    if not cfg.compat:
+        box = G.from_pixels(box, F.lit(dpi or cfg.ocr_dpi))
+    made = by.withColumns({"bbox": box, "seq": F.col("first"), "extraction_method": F.lit("tesseract_ocr"), "language": F.lit("en"), "confidence": B.confidence(text_quality=F.col("mean"), method_score=F.col("mean"))})
+    return B.renumber(B.as_blocks(made, "s5"), F.col("seq"))
+
+
+def mean_confidence(paragraph_blocks: DataFrame) -> DataFrame:
+    """Mean over paragraphs, not words, in 0 to 100."""
+    return paragraph_blocks.groupBy(*B.PAGE).agg((F.avg("confidence.method_score") * 100.0).alias("mean_conf"))
+
+
+def route(script: Column, mean_conf: Column, other: Column, cfg: EngineConfig = DEFAULT) -> Column:
+    """surya, tesseract, or tesseract_low where the fallback would find nothing; `other` tells whether it has blocks."""
+    return F.when(script.isin("cjk", "arabic"), "surya").when(F.coalesce(mean_conf, F.lit(0.0)) >= cfg.ocr_fallback_below, "tesseract").when(other, "surya").otherwise("tesseract_low")
+
+
+def region_text_blocks(regions: DataFrame, dpi: int = DEFAULT.ocr_dpi) -> DataFrame:
+    """Blocks without text from detected regions, as the layout engine's OCR gives them."""
+    rows = regions.withColumns({"seq": F.col("region_seq"), "bbox": G.from_pixels(F.col("bbox"), F.lit(dpi)), "block_type": X.label_type(F.col("label")), "extraction_method": F.lit("surya_ocr"), "language": F.lit("en"), "c": F.coalesce("confidence", F.lit(1.0))})
+    return B.as_blocks(rows.withColumn("confidence", B.confidence(text_quality=F.col("c"), type_quality=F.col("c"), method_score=F.col("c"))), "s5-regions")
+
+
+def run(pages: DataFrame, blocks: DataFrame, words: DataFrame, regions: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(blocks, warnings). Scanned pages get the OCR blocks instead of theirs, mixed pages get them in addition."""
+    need = pages.where(F.col("triage_result").isin("ocr_needed", "hybrid"))
+    tess = paragraphs(words.join(need.select(*B.PAGE), list(B.PAGE), "left_semi"), cfg)
+    other = tess.where(F.lit(False)) if regions is None else region_text_blocks(regions.join(need.select(*B.PAGE), list(B.PAGE), "left_semi"), cfg.ocr_dpi)
+    script = F.coalesce("script", F.lit("unknown")) if "script" in pages.columns else F.lit("unknown")
+    routed = need.select(*B.PAGE, "triage_result", script.alias("script")).join(mean_confidence(tess), list(B.PAGE), "left").join(other.select(*B.PAGE).distinct().withColumn("has", F.lit(True)), list(B.PAGE), "left")
+    routed = routed.withColumn("route", route(F.col("script"), F.col("mean_conf"), F.coalesce("has", F.lit(False)), cfg)).select(*B.PAGE, "triage_result", "mean_conf", "route")
+    take = lambda found, *kinds: found.join(routed.where(F.col("route").isin(*kinds)).select(*B.PAGE), list(B.PAGE), "left_semi")
+    new = take(tess, "tesseract", "tesseract_low").unionByName(take(other, "surya"))
+    kept = blocks.join(pages.where("triage_result = 'ocr_needed'").select(*B.PAGE), list(B.PAGE), "left_anti")
+    low = routed.where("route = 'tesseract_low' AND mean_conf IS NOT NULL")
+    return B.append(kept, new), B.warnings(low, 5, F.format_string("stage5: OCR confidence low (%.1f), no fallback blocks", F.col("mean_conf")))
+
+
+def otsu(values: DataFrame, by: tuple[str, ...], value: str = "grey") -> DataFrame:
+    """The threshold of greatest variance between classes, the first of equals; 0 where there is but one grey."""
+    w = Window.partitionBy(*by).orderBy(value)
+    whole = Window.partitionBy(*by)
+    h = values.groupBy(*by, value).agg(F.count("*").alias("n"))
+    h = h.withColumns({"wb": F.sum("n").over(w), "sb": F.sum(F.col("n") * F.col(value)).over(w), "all": F.sum("n").over(whole), "sum": F.sum(F.col("n") * F.col(value)).over(whole)})
+    wf = F.col("all") - F.col("wb")
+    gap = F.try_divide("sb", "wb") - F.try_divide(F.col("sum") - F.col("sb"), F.nullif(wf, F.lit(0)))
+    h = h.withColumn("between", F.coalesce(F.col("wb").cast("double") * wf * gap * gap, F.lit(0.0)))
+    return h.groupBy(*by).agg(F.when(F.max("between") > 0, F.max_by(value, F.struct("between", -F.col(value)))).otherwise(0).alias("threshold"))
+
+
+def grey(rgb: np.ndarray) -> np.ndarray:
+    return rgb.mean(2)
+
+
+def binarise(rgb: np.ndarray) -> np.ndarray:
+    """Black and white at the Otsu threshold of one raster."""
+    g = grey(rgb)
+    n = np.bincount(g.astype(np.uint8).ravel(), minlength=256).astype(float)
+    wb, sb = np.cumsum(n), np.cumsum(n * np.arange(256))
+    wf = wb[-1] - wb
+    with np.errstate(divide="ignore", invalid="ignore"):
+        between = np.nan_to_num(wb * wf * (sb / wb - (sb[-1] - sb) / wf) ** 2)
+    return np.where(g >= int(np.argmax(between)), 255, 0).astype(np.uint8)
+
+
+def skew_angle(ink: np.ndarray, most: float = 15.0, step: float = 0.1) -> float:
+    """Degrees by which lines of ink (a boolean image) rise: the turn of sharpest row profile."""
+    ys, xs = np.nonzero(ink)
+    if not len(xs):
+        return 0.0
+    best, score = 0.0, -1.0
+    for a in np.arange(-most, most + step / 2, step):
+        rows = np.round(ys + xs * np.tan(np.radians(a))).astype(int)
+        s = float((np.bincount(rows - rows.min()).astype(float) ** 2).sum())
+        if s > score or (s == score and abs(a) < abs(best)):
+            best, score = float(a), s
+    return best
