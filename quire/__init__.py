@@ -1 +1,3 @@
 """Document-extraction analytics on Spark."""
+
+__version__ = "0.1.0"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.config import DEFAULT, EngineConfig
 from quire.functions import geometry as G
 from quire.functions import text as X
+from quire.lineage import cut
 from quire.operators import blocks as B
 
 
@@ -117,8 +118,8 @@ def heading_depths(blocks: DataFrame, most: int = DEFAULT.max_heading_depth) ->
 
 
 def run(pages: DataFrame, blocks: DataFrame, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    typed = promote(blocks, pages, cfg)
+    typed = cut(promote(blocks, pages, cfg))
     changed = typed.alias("n").join(blocks.select("doc_id", "block_id", F.col("block_type").alias("was")), ["doc_id", "block_id"]).where("block_type <> was").groupBy("doc_id").agg(F.count("*").alias("n"))
     said = B.warnings(changed.withColumn("page_num", F.lit(None).cast("int")), 7, F.format_string("stage7: %d repeating block(s) typed header or footer", F.col("n")))
     headed, more = guess_headings(typed, cfg)
-    return nest_headings(headed, cfg), said.unionByName(more)
+    return nest_headings(cut(headed), cfg), said.unionByName(more)
