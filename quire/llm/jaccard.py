@@ -6,11 +6,15 @@ signs for its own band and the next. Of two sets in a pair of bands with Jaccard
 elements differ, so if the domain is cut into (k + 1) / 2 parts some part has at most one difference, and if
 each part is cut in 4, leaving out the right quarter leaves equal rests. Each (band, part, quarter left out,
 rest) is one signature. Large sets need many parts, of which a similar pair agrees on a large share: only the
-first `parts` are signed, so that a set has at most 8 x `parts` signatures. The chance that a pair just at the
+first `parts` are signed. The chance that a pair just at the
 threshold has no part with at most one difference is about 0.6 ^ parts.
 
-Classes that share a signature are linked, links closed into blocks, and blocks compared exactly through an
-inverted index, one block at a time, so candidates are never listed as pairs and none is cut off.
+A signature of fewer than `least` elements says little and is left out where a set has more parts than are signed.
+
+Classes that share a signature and whose sizes allow it are compared by a sketch first: the smallest hash in each of
+64 ranges, 4 bits of each; pairs whose sketches are 3.5 deviations below the threshold go. What is left is linked,
+links are closed into blocks, and blocks compared exactly through an inverted index, so that no pair of false
+similarity is reported and no candidate is cut off. Members of a class are never gathered in one row.
 
 Defined results
   null or empty text, text without words   in no pair
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +42,7 @@ from quire.llm.common import column_type, drop_ids, ensure_checkpoint_dir, map_a
 WORD = re.compile(r"[^\W_]+")
 CACHE = 1_000_000
 QUARTERS = 4
+STEP = 4_000_000
 
 
 class _Hashes(dict):
@@ -94,7 +99,7 @@ class Bands:
         return int(2 * self.ends[level] * (1 - self.t) / (1 + self.t) + 1e-9)
 
 
-def signatures(feats: np.ndarray, bands: Bands, parts: int) -> np.ndarray:
+def signatures(feats: np.ndarray, bands: Bands, parts: int, least: int = 3) -> np.ndarray:
     """Distinct signatures as int64; feats must be sorted."""
     if not len(feats):
         return np.zeros(0, np.int64)
@@ -119,10 +124,41 @@ def signatures(feats: np.ndarray, bands: Bands, parts: int) -> np.ndarray:
         sums = sums.reshape(used, QUARTERS)
         rest = sums.sum(1, dtype=np.uint64)[:, None] - sums
         place = np.arange(used * QUARTERS, dtype=np.uint64).reshape(used, QUARTERS) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(mix(mix(rest + salt) + place)[(count.sum(1)[:, None] - count) > 0])
+        out.append(mix(mix(rest + salt) + place)[(count.sum(1)[:, None] - count) >= (least if n1 > used else 1)])
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
+EDGES = np.arange(64, dtype=np.uint64) << np.uint64(58)
+PLACES = np.arange(0, 64, 4, dtype=np.uint64)
+
+
+def sketch(feats: np.ndarray) -> list[int]:
+    """64 values of 4 bits as four numbers: 1 to 15 from the smallest element of each range, 0 where it has none."""
+    at = np.searchsorted(feats, EDGES)
+    ends = np.append(at[1:], len(feats))
+    v = np.zeros(64, np.uint64)
+    full = at < ends
+    v[full] = mix(feats[at[full]]) % np.uint64(15) + np.uint64(1)
+    return np.bitwise_or.reduce(v.reshape(4, 16) << PLACES, 1).view(np.int64).tolist()
+
+
+def _filled(x: Column) -> Column:
+    """How many of the 16 values are not 0."""
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def likely(a: str, b: str, threshold: float) -> Column:
+    """Whether sizes and sketches of rows a and b allow the threshold."""
+    sides = [(F.col(f"{a}.s{k}"), F.col(f"{b}.s{k}")) for k in range(4)]
+    used = sum(_filled(x.bitwiseOR(y)) for x, y in sides)
+    unlike = sum(_filled(x.bitwiseXOR(y)) for x, y in sides)
+    least = used * threshold - 3.5 * F.sqrt(used * threshold * (1 - threshold)) - 0.5
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-6) & (used - unlike >= least)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest member `b` of each member `a`'s component, for edges (a, b) with a > b: stars until nothing moves."""
 
@@ -142,10 +178,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def _compare(classes: list[tuple[int, list, np.ndarray]], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _compare(classes: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(i, js, similarities) with i < j for the pairs of classes of one block that reach the threshold."""
-    sizes = np.array([len(c[2]) for c in classes])
-    whole = np.concatenate([c[2] for c in classes])
+    sizes = np.array([len(c) for c in classes])
+    whole = np.concatenate(classes)
     owner = np.repeat(np.arange(len(classes)), sizes)
     _, gram = np.unique(whole, return_inverse=True)
     order = np.argsort(gram, kind="stable")
@@ -161,8 +197,14 @@ def _compare(classes: list[tuple[int, list, np.ndarray]], threshold: float) -> I
         total = int(n.sum())
         if not total:
             continue
-        where = np.arange(total) + np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        shared = np.bincount(post[where], minlength=len(classes))
+        shared = np.zeros(len(classes), np.int64)
+        bounds = np.searchsorted(np.cumsum(n), np.arange(STEP, total + STEP, STEP)) + 1 if total > STEP else [len(n)]
+        low = 0
+        for high in bounds:
+            f, k = first[low:high], n[low:high]
+            where = np.arange(int(k.sum())) + np.repeat(f - np.concatenate(([0], np.cumsum(k)[:-1])), k)
+            shared += np.bincount(post[where], minlength=len(classes))
+            low = high
         js = np.flatnonzero(shared)
         sim = shared[js] / (m + sizes[js] - shared[js])
         ok = sim >= threshold
@@ -170,90 +212,89 @@ def _compare(classes: list[tuple[int, list, np.ndarray]], threshold: float) -> I
             yield i, js[ok], sim[ok]
 
 
-def _blocks(docs: DataFrame, n: int, threshold: float, parts: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Classes of two or more ids (key, ids), and the texts of linked classes (block, key, ids, doc_id, text)."""
+def _signed(docs: DataFrame, n: int, threshold: float, parts: int, least: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Members (key, doc_id), and the texts of linked classes (block, key, text)."""
     ensure_checkpoint_dir(docs.sparkSession)
     texts = pick(docs, doc_id=id_col, text=text_col).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-    kind = column_type(texts, "doc_id")
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("key", T.LongType()), T.StructField("sigs", T.ArrayType(T.LongType()))])
+    long = [T.StructField(f"s{k}", T.LongType()) for k in range(4)]
+    schema = T.StructType([T.StructField("doc_id", column_type(texts, "doc_id")), T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()), *long, T.StructField("sigs", T.ArrayType(T.LongType()))])
 
     def sign(batches: Iterator[dict]) -> Iterator[dict]:
         bands = Bands(threshold)
         for b in batches:
-            ids, keys, sigs = [], [], []
+            rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 f = features(text, n)
                 if len(f):
-                    ids.append(doc)
-                    keys.append(class_key(f))
-                    sigs.append(signatures(f, bands, parts))
-            yield {"doc_id": ids, "key": keys, "sigs": sigs}
+                    rows.append((doc, class_key(f), len(f), *sketch(f), signatures(f, bands, parts, least)))
+            if rows:
+                yield dict(zip(schema.names, zip(*rows)))
 
     signed = map_arrow(texts, sign, schema).checkpoint()
-    rows = signed.select("key", F.explode("sigs").alias("sig"))
-    links = rows.withColumn("low", F.min("key").over(Window.partitionBy("sig"))).where(F.col("key") > F.col("low")).select(F.col("key").alias("a"), F.col("low").alias("b"))
+    classes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4)))
+    one = signed.join(classes.select("key", "doc_id"), ["key", "doc_id"]).select("key", F.explode("sigs").alias("sig"))
+    shared = one.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1").drop("n")
+    shared = shared.join(classes.drop("doc_id"), "key").checkpoint()
+    links = shared.alias("x").join(shared.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") > F.col("y.key"))).where(likely("x", "y", threshold)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
     found = components(links)
     block = found.select(F.col("a").alias("key"), F.col("b").alias("block")).unionAll(found.select(F.col("b").alias("key"), F.col("b").alias("block")).distinct())
-    classes = signed.select("key", "doc_id").groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    linked = classes.join(block, "key").checkpoint()
-    own = linked.withColumn("doc_id", F.col("ids")[0])
-    return classes.where(F.size("ids") > 1), texts.join(small(own), "doc_id").select("block", "key", "ids", "doc_id", "text")
+    own = classes.select("key", "doc_id").join(block, "key").checkpoint()
+    return signed.select("key", "doc_id").distinct(), texts.join(small(own), "doc_id").select("block", "key", "text")
 
 
 def _by_block(linked: DataFrame, n: int, fn, schema: T.StructType) -> DataFrame:
-    """fn(classes) for each block; a class is (key, ids, features)."""
+    """fn(classes) for each block; a class is (key, features)."""
     spread = linked.repartition("block").sortWithinPartitions("block", "key")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         now, classes = None, {}
         for b in batches:
-            for block, key, ids, text in zip(b["block"], b["key"], b["ids"], b["text"]):
+            for block, key, text in zip(b["block"], b["key"], b["text"]):
                 if block != now:
                     if len(classes) > 1:
-                        yield from fn(list(classes.values()))
+                        yield from fn(list(classes.items()))
                     now, classes = block, {}
                 if key not in classes:
                     f = features(text, n)
                     if class_key(f) == key:  # another text may bear the same id
-                        classes[key] = (key, ids, f)
+                        classes[key] = f
         if len(classes) > 1:
-            yield from fn(list(classes.values()))
+            yield from fn(list(classes.items()))
 
-    return map_arrow(spread.select("block", "key", "ids", "text"), run, schema)
+    return map_arrow(spread, run, schema)
 
 
-def similar_pairs(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_pairs(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int = 16, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id_a < doc_id_b and jaccard for all pairs of documents of similarity `threshold` or more."""
-    equal, linked = _blocks(docs, n, threshold, parts, id_col, text_col)
-    kind = linked.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id_a", kind), T.StructField("doc_id_b", kind), T.StructField("jaccard", T.DoubleType())])
+    members, linked = _signed(docs, n, threshold, parts, least, id_col, text_col)
+    schema = T.StructType([T.StructField("key_a", T.LongType()), T.StructField("key_b", T.LongType()), T.StructField("jaccard", T.DoubleType())])
 
     def pairs(classes: list[tuple]) -> Iterator[dict]:
+        keys = np.array([c[0] for c in classes], np.int64)
         a: list = []
         b: list = []
         s: list = []
-        for i, js, sim in _compare(classes, threshold):
-            for j, x in zip(js.tolist(), sim.tolist()):
-                for p in classes[i][1]:
-                    for q in classes[j][1]:
-                        if p != q:
-                            a.append(min(p, q))
-                            b.append(max(p, q))
-                            s.append(x)
-            if len(a) > 20_000:
-                yield {"doc_id_a": a, "doc_id_b": b, "jaccard": s}
+        for i, js, sim in _compare([c[1] for c in classes], threshold):
+            a.append(np.full(len(js), keys[i]))
+            b.append(keys[js])
+            s.append(sim)
+            if len(a) > 2000:
+                yield {"key_a": np.concatenate(a), "key_b": np.concatenate(b), "jaccard": np.concatenate(s)}
                 a, b, s = [], [], []
-        yield {"doc_id_a": a, "doc_id_b": b, "jaccard": s}
+        if a:
+            yield {"key_a": np.concatenate(a), "key_b": np.concatenate(b), "jaccard": np.concatenate(s)}
 
-    same = equal.select(F.explode("ids").alias("doc_id_a"), "ids").select("doc_id_a", F.explode("ids").alias("doc_id_b")).where(F.col("doc_id_a") < F.col("doc_id_b")).withColumn("jaccard", F.lit(1.0))
-    return same.unionAll(_by_block(linked, n, pairs, schema))
+    one, two = members.toDF("key_a", "p"), members.toDF("key_b", "q")
+    near = _by_block(linked, n, pairs, schema).join(one, "key_a").join(two, "key_b").where(F.col("p") != F.col("q"))
+    same = one.join(two, (F.col("key_a") == F.col("key_b")) & (F.col("p") < F.col("q"))).withColumn("jaccard", F.lit(1.0))
+    both = same.select("p", "q", "jaccard").unionAll(near.select("p", "q", "jaccard"))
+    return both.select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"), "jaccard")
 
 
-def groups(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int = 16, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and keep_id, the smallest id of its group, for documents linked by chains of similar pairs."""
-    equal, linked = _blocks(docs, n, threshold, parts, id_col, text_col)
-    kind = linked.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("keep_id", kind)])
+    members, linked = _signed(docs, n, threshold, parts, least, id_col, text_col)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("group", T.LongType())])
 
     def group(classes: list[tuple]) -> Iterator[dict]:
         up = list(range(len(classes)))
@@ -264,21 +305,18 @@ def groups(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int =
                 i = up[i]
             return i
 
-        for i, js, _ in _compare(classes, threshold):
+        for i, js, _ in _compare([c[1] for c in classes], threshold):
             for j in js.tolist():
                 a, b = root(i), root(j)
                 if a != b:
                     up[max(a, b)] = min(a, b)
-        least: dict = {}
-        for i, c in enumerate(classes):
-            r = root(i)
-            least[r] = min(c[1][0], least.get(r, c[1][0]))
-        rows = [(d, least[root(i)]) for i, c in enumerate(classes) for d in c[1]]
-        yield {"doc_id": [r[0] for r in rows], "keep_id": [r[1] for r in rows]}
-
-    inside = _by_block(linked, n, group, schema)
-    same = equal.select(F.explode("ids").alias("doc_id"), F.col("ids")[0].alias("keep_id"))
-    return inside.unionAll(same).groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
+        yield {"key": [c[0] for c in classes], "group": [classes[root(i)][0] for i in range(len(classes))]}
+
+    found = _by_block(linked, n, group, schema)
+    least_id = members.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).join(found, "key", "left").withColumn("group", F.coalesce("group", "key")).checkpoint()
+    keep = least_id.groupBy("group").agg(F.min("low").alias("keep_id"), F.sum("n").alias("n")).where("n > 1").drop("n")
+    named = least_id.select("key", "group").join(keep, "group").select("key", "keep_id")
+    return members.join(named, "key").groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
