@@ -69,5 +69,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """docs without the ids in the one column of `ids`; rows with a null id stay."""
-    gone = ids.toDF("__gone")
+    ensure_checkpoint_dir(docs.sparkSession)
+    gone = ids.toDF("__gone").checkpoint()
     return docs.join(small(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
