@@ -32,11 +32,12 @@ def word_spans(blocks: DataFrame) -> DataFrame:
     found = X.words(F.col("line_text"))
     rows = rows.withColumn("found", found).withColumn("letters", F.length(F.array_join("found", "")))
     w = F.col("bbox.x1") - F.col("bbox.x0")
-    start = F.struct(F.col("bbox.x0").alias("at"), F.array().cast("array<struct<text:string,x0:double,x1:double>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,x0:double,x1:double>>").alias("out"))
+    place = lambda letters: F.col("bbox.x0") + letters / F.col("letters") * w
 
     def lay(acc: Column, word: Column) -> Column:
-        end = acc["at"] + F.length(word) / F.col("letters") * w
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(word.alias("text"), acc["at"].alias("x0"), end.alias("x1"))).alias("out"))
+        end = acc["at"] + F.length(word)
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(word.alias("text"), place(acc["at"]).alias("x0"), place(end).alias("x1"))).alias("out"))
 
     high = (F.col("bbox.y1") - F.col("bbox.y0")) / F.col("n_lines")
     y0 = F.col("bbox.y0") + F.col("line") * high

@@ -20,14 +20,17 @@ def _share(chars: Column, hit) -> Column:
     return F.try_divide(F.size(F.filter(chars, hit)), F.nullif(F.size(chars), F.lit(0)))
 
 
+def _hidden(c: Column, cfg: EngineConfig) -> Column:
+    return (F.abs(c["w"]) < cfg.zero_width) | (c["size"] < cfg.tiny_font) | F.coalesce(c["font"].rlike("glyphless|invisible"), F.lit(False))
+
+
 def zero_width_score(chars: Column, cfg: EngineConfig = DEFAULT) -> Column:
     """One less the share of characters without width; 1 without characters."""
     return 1.0 - F.coalesce(_share(chars, lambda c: c["w"] < cfg.zero_width), F.lit(0.0))
 
 
 def invisible_share(chars: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    hidden = lambda c: (F.abs(c["w"]) < cfg.zero_width) | (c["size"] < cfg.tiny_font) | F.coalesce(c["font"].rlike("glyphless|invisible"), F.lit(False))
-    return F.coalesce(_share(chars, hidden), F.lit(0.0))
+    return F.coalesce(_share(chars, lambda c: _hidden(c, cfg)), F.lit(0.0))
 
 
 def phantom_score(s1: Column, invisible: Column, s3: Column, s4: Column | None = None, cfg: EngineConfig = DEFAULT) -> Column:
@@ -41,8 +44,14 @@ def phantom_score(s1: Column, invisible: Column, s3: Column, s4: Column | None =
 
 def score_pages(raw: DataFrame, samples: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """doc_id, page_num, zero_width, invisible, quality and phantom_score; samples: (doc_id, page_num, s4)."""
-    text = raw.where("type = 0").withColumn("chars", span_chars(F.col("lines")))
-    n, tight, hidden = F.size("chars"), F.size(F.filter("chars", lambda c: c["w"] < cfg.zero_width)), F.round(invisible_share(F.col("chars"), cfg) * F.size("chars"))
+    start = F.struct(*(F.lit(0).alias(c) for c in ("n", "tight", "hidden")))
+
+    def tell(acc: Column, c: Column) -> Column:
+        one = lambda hit: F.when(hit, 1).otherwise(0)
+        return F.struct((acc["n"] + 1).alias("n"), (acc["tight"] + one(c["w"] < cfg.zero_width)).alias("tight"), (acc["hidden"] + one(_hidden(c, cfg))).alias("hidden"))
+
+    text = raw.where("type = 0").select(*B.PAGE, "block_no", "lines", F.aggregate(span_chars(F.col("lines")), start, tell).alias("k"))
+    n, tight, hidden = F.col("k.n"), F.col("k.tight"), F.col("k.hidden")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", block_text(F.col("lines")).alias("t")))), lambda b: b["t"]), "\n")
     by = text.groupBy(*B.PAGE).agg(F.sum(n).alias("n"), F.sum(tight).alias("tight"), F.sum(hidden).alias("hidden"), whole.alias("text"))
     out = by.withColumns({"zero_width": 1.0 - F.coalesce(F.try_divide("tight", F.nullif("n", F.lit(0))), F.lit(0.0)), "invisible": F.coalesce(F.try_divide("hidden", F.nullif("n", F.lit(0))), F.lit(0.0)), "quality": X.quality(F.col("text"), F.lit(None).cast("string"))})
