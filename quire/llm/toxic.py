@@ -25,7 +25,6 @@ Defined results
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,12 +48,11 @@ class _Tables:
     """Letters, lower case and sentence ends by code point, and powers of the hash base; made once for each process."""
 
     def __init__(self):
-        chars = [chr(i) for i in range(0x110000)]
-        self.letter = np.fromiter((c.isalpha() for c in chars), bool, 0x110000)
+        self.letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
         self.lower = np.arange(0x110000, dtype=np.uint32)
         for i in np.flatnonzero(self.letter).tolist():
-            low = chars[i].lower()
-            if low != chars[i] and len(low) == 1:
+            low = chr(i).lower()
+            if len(low) == 1:
                 self.lower[i] = ord(low)
         self.stop = np.zeros(0x110000, bool)
         self.stop[[ord(c) for c in STOPS]] = True
@@ -250,15 +248,34 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
+def _groups(texts: list[str], size: int = SLICE) -> Iterator[slice]:
+    """Neighbouring texts of about `size` characters together."""
+    at = 0
+    while at < len(texts):
+        stop, n = at, 0
+        while stop < len(texts) and (stop == at or n < size):
+            n += len(texts[stop])
+            stop += 1
+        yield slice(at, stop)
+        at = stop
+
+
 def toxic_units(toxic: list[str], clean: list[str], min_docs: int, min_ratio: float) -> np.ndarray:
     """Sorted hashes of the words and beginnings that mark toxic documents."""
-    df = (Counter(), Counter())
-    for count, texts in zip(df, (clean, toxic)):
+
+    def frequencies(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        own = []
         for t in texts:
             k = Tokens([t])
-            count.update(np.unique(np.concatenate([k.word] + [h[longer] for n, longer, h in k.heads() if n > 3])).tolist())
-    rate = min_ratio * len(toxic) / max(1, len(clean))
-    return np.array(sorted(u for u, n in df[1].items() if n >= min_docs and n >= rate * (df[0][u] + 0.5)), np.uint64)
+            own.append(np.unique(np.concatenate([k.word] + [h[longer] for n, longer, h in k.heads() if n > 3])))
+        return np.unique(np.concatenate(own), return_counts=True)
+
+    units, n = frequencies(toxic)
+    units, n = units[n >= min_docs], n[n >= min_docs]
+    other, m = frequencies(clean)
+    at = np.minimum(np.searchsorted(other, units), len(other) - 1)
+    seen = np.where(other[at] == units, m[at], 0) if len(other) else np.zeros(len(units))
+    return units[n >= min_ratio * len(toxic) / max(1, len(clean)) * (seen + 0.5)]
 
 
 def label_tokens(tokens: Tokens, units: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -275,18 +292,18 @@ def label_tokens(tokens: Tokens, units: np.ndarray, flags: np.ndarray) -> np.nda
     return (hit & flags[tokens.row]).astype(np.float64)
 
 
-def gradient(tokens: Tokens, feats: list[np.ndarray], y: np.ndarray, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the log likelihood of the labels y, by weights and by transitions 01, 10, 11."""
+def gradient(feats: np.ndarray, first: np.ndarray, size: np.ndarray, y: np.ndarray, weights: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the log likelihood of the labels y, by weights and by transitions 01, 10, 11; feats has a row for each feature."""
     e = np.zeros(len(y))
     for f in feats:
         e += weights[f]
-    a, b = forward_backward(e, tokens.first, tokens.size, trans)
+    a, b = forward_backward(e, first, size, trans)
     miss = y - _sigmoid(a + b)
     gw = np.zeros(len(weights))
     for f in feats:
         gw += np.bincount(f, miss, len(weights))
     inner = np.ones(len(y), bool)
-    inner[tokens.first] = False
+    inner[first] = False
     q = np.flatnonzero(inner)
     p = q - 1
     z = e[q] + b[q]
@@ -301,14 +318,15 @@ def gradient(tokens: Tokens, feats: list[np.ndarray], y: np.ndarray, weights: np
 def _chain(toxic: list[str], clean: list[str], min_docs: int, min_ratio: float, rounds: int, rate: float, decay: float) -> Model:
     """A model without a curve, by Adagrad on the log likelihood of the derived token labels."""
     units = toxic_units(toxic, clean, min_docs, min_ratio)
-    texts = toxic + clean
-    tokens = Tokens(texts)
-    y = label_tokens(tokens, units, np.arange(len(texts)) < len(toxic))
-    feats = list(tokens.features())
+    texts, flags = toxic + clean, np.arange(len(toxic) + len(clean)) < len(toxic)
+    parts = []
+    for g in _groups(texts, 400_000):  # only indices are kept, a group's characters go
+        k = Tokens(texts[g])
+        parts.append((np.stack([f.astype(np.int32) for f in k.features()]), k.first, k.size, label_tokens(k, units, flags[g])))
     w, trans = np.zeros(1 << BITS), np.zeros(3)
     hw, ht = np.full(len(w), 1e-8), np.full(3, 1e-8)
     for _ in range(rounds):
-        gw, gt = gradient(tokens, feats, y, w, trans)
+        gw, gt = (sum(x) for x in zip(*(gradient(*p, w, trans) for p in parts)))
         gw -= decay * w
         gt -= decay * trans
         hw += gw * gw
@@ -325,9 +343,10 @@ def train(rows: list[tuple[int, str]], *, min_docs: int = 4, min_ratio: float =
         return None
     half = _chain(toxic[::2], clean[::2], min_docs, min_ratio, rounds, rate, decay)
     held = toxic[1::2] + clean[1::2]
-    k = Tokens(held)
-    expected = np.bincount(k.row, half.marginals(k), len(held))
-    n = np.bincount(k.row, minlength=len(held))
+    expected, n = np.zeros(len(held)), np.zeros(len(held))
+    for g in _groups(held, 400_000):
+        k = Tokens(held[g])
+        expected[g], n[g] = np.bincount(k.row, half.marginals(k), g.stop - g.start), np.bincount(k.row, minlength=g.stop - g.start)
     x = np.stack([np.log1p(expected), np.log1p(n), np.ones(len(n))], 1)
     target = (np.arange(len(held)) < len(toxic[1::2])).astype(float)
     curve = np.zeros(3)
@@ -340,7 +359,7 @@ def train(rows: list[tuple[int, str]], *, min_docs: int = 4, min_ratio: float =
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1500, max_clean: int = 3000, max_train_chars: int = 20_000, **options) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1000, max_clean: int = 2000, max_train_chars: int = 20_000, **options) -> Model | None:
     """Trains on at most `max_toxic` and `max_clean` labelled documents of at most `max_train_chars` characters."""
     marks = pick(labels, doc_id=id_col, toxic=label_col).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     few = sample_by_hash(marks.where("toxic = 1"), "doc_id", max_toxic).unionAll(sample_by_hash(marks.where("toxic = 0"), "doc_id", max_clean))
@@ -358,13 +377,10 @@ def tag(texts: list[str | None], model: Model | None, span_from: float = 0.5) ->
     rows: list[np.ndarray] = []
     cols: list[tuple] = []
     if model is not None:
-        at = 0
-        while at < len(texts):
-            stop, size = at, 0
-            while stop < len(texts) and (stop == at or size < SLICE):
-                size += len(texts[stop] or "")
-                stop += 1
-            k = Tokens([t or "" for t in texts[at:stop]])
+        own = [t or "" for t in texts]
+        for g in _groups(own):
+            at, stop = g.start, g.stop
+            k = Tokens(own[g])
             p = model.marginals(k)
             expected, n = np.bincount(k.row, p, stop - at), np.bincount(k.row, minlength=stop - at)
             total[at:stop], score[at:stop] = expected, model.scores(expected, n)
@@ -375,7 +391,6 @@ def tag(texts: list[str | None], model: Model | None, span_from: float = 0.5) ->
                 last = np.concatenate((lead[1:], [len(hit)])) - 1
                 rows.append(k.row[hit[lead]] + at)
                 cols.append((k.start[hit[lead]], k.end[hit[last]], np.maximum.reduceat(p[hit], lead)))
-            at = stop
     where = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     parts = [np.concatenate(x) for x in zip(*cols)] if cols else [np.zeros(0)] * 3
     offsets = np.concatenate(([0], np.cumsum(np.bincount(where, minlength=len(texts))))).astype(np.int32)
