@@ -21,6 +21,11 @@ LABELS = {"body": ("Text", "List-item", "Formula", "Equation"), "heading": ("Tit
 TRUST = {"pymupdf_direct": 1.0, "surya_layout": 0.9, "surya_ocr": 0.8, "tesseract_ocr": 0.7}
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(t: Column) -> Column:
     return F.regexp_replace(t, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
@@ -68,15 +73,17 @@ def direction(t: Column) -> Column:
 
 def quality(t: Column, language: Column) -> Column:
     """Mean of space, visible and replacement character scores in 0 to 1; 0 for an empty text."""
-    n = F.nullif(F.length(t), F.lit(0))
-    ratio = F.try_divide(spaces(t), n)
-    family = script_family(language, t)
-    lo, hi = lookup(family, {k: v[0] for k, v in SPACES.items()}, 0.08), lookup(family, {k: v[1] for k, v in SPACES.items()}, 0.25)
-    short = F.when(lo > 0, F.try_divide(ratio, lo)).otherwise(1.0)
-    score = F.when(ratio.between(lo, hi), 1.0).when(ratio < lo, short).otherwise(F.greatest(F.lit(0.0), 1.0 - (ratio - hi) / (1.0 - hi + 1e-9)))
     broken = F.length(t) - F.length(F.replace(t, F.lit("�"), F.lit("")))
-    whole = F.greatest(F.lit(0.0), 1.0 - F.try_divide(broken, n) * 10)
-    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.4 * score + 0.4 * F.try_divide(printable(t), n) + 0.2 * whole)), F.lit(0.0))
+    seen = F.struct(F.length(t).cast("double").alias("n"), spaces(t).alias("sp"), printable(t).alias("pr"), broken.alias("br"), script_family(language, t).alias("family"))
+
+    def score(m: Column) -> Column:
+        ratio, lo, hi = m["sp"] / m["n"], lookup(m["family"], {k: v[0] for k, v in SPACES.items()}, 0.08), lookup(m["family"], {k: v[1] for k, v in SPACES.items()}, 0.25)
+        short = F.when(lo > 0, F.try_divide(ratio, lo)).otherwise(1.0)
+        space = F.when(ratio.between(lo, hi), 1.0).when(ratio < lo, short).otherwise(F.greatest(F.lit(0.0), 1.0 - (ratio - hi) / (1.0 - hi + 1e-9)))
+        whole = F.greatest(F.lit(0.0), 1.0 - m["br"] / m["n"] * 10)
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.4 * space + 0.4 * (m["pr"] / m["n"]) + 0.2 * whole))
+
+    return F.when(F.length(t) > 0, let(seen, score)).otherwise(0.0)
 
 
 def fingerprint(t: Column) -> Column:

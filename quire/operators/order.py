@@ -82,15 +82,18 @@ def xy_cut(boxes: np.ndarray, rtl: bool, cfg: EngineConfig = DEFAULT) -> list[in
 
 
 def xy_order(blocks: DataFrame, directions: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """block_id and place in the recursive order. One page at a time and boxes only: texts stay out of Python."""
-    slim = blocks.select(*B.PAGE, "seq", "block_id", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1").join(directions, "doc_id")
-
-    def order(page: pd.DataFrame) -> pd.DataFrame:
-        pdf = page.sort_values(["seq", "block_id"], kind="stable")
-        ids = xy_cut(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), bool(pdf["rtl"].iloc[0]), cfg)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "page_num": pdf["page_num"].to_numpy(), "block_id": pdf["block_id"].to_numpy()[ids], "place": np.arange(len(ids), dtype=np.int32)})
-
-    return slim.groupBy(*B.PAGE).applyInPandas(order, "doc_id string, page_num int, block_id string, place int")
+    """block_id and place in the recursive order. A page is a row of boxes, so Python sees batches of pages and no text."""
+    slim = blocks.select(*B.PAGE, F.struct("seq", "block_id", "bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1").alias("b")).join(directions, "doc_id")
+    packed = slim.groupBy(*B.PAGE).agg(F.first("rtl").alias("rtl"), F.array_sort(F.collect_list("b")).alias("b"))
+
+    @F.pandas_udf("array<int>")
+    def order(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, rtl: pd.Series) -> pd.Series:
+        return pd.Series([xy_cut(np.stack([np.asarray(c, float) for c in box], 1), bool(r), cfg) for *box, r in zip(x0, y0, x1, y1, rtl)])
+
+    side = lambda c: F.transform("b", lambda b: b[c])
+    ids = order(*(side(c) for c in ("x0", "y0", "x1", "y1")), F.col("rtl"))
+    placed = packed.select(*B.PAGE, F.transform("b", lambda b: b["block_id"]).alias("names"), ids.alias("ids"))
+    return placed.select(*B.PAGE, "names", F.posexplode("ids").alias("place", "i")).select(*B.PAGE, F.get("names", F.col("i")).alias("block_id"), "place")
 
 
 def band_key(cfg: EngineConfig, page_height: Column) -> Column:

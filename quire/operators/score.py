@@ -18,11 +18,16 @@ def plain_quality(t: Column) -> Column:
 
 def scored(confidence: Column, t: Column, method: Column) -> Column:
     """The confidence with measured text quality where none was set, trust by method, and their geometric mean."""
-    q = F.when(confidence["text_quality"] < 1.0, confidence["text_quality"]).otherwise(plain_quality(t))
     m = X.lookup(method, X.TRUST, 0.7)
-    product = q * m * confidence["order_quality"] * confidence["type_quality"]
-    final = F.when(product > 0, F.pow(product, F.lit(0.25))).otherwise(0.0)
-    return confidence.withField("text_quality", q).withField("method_score", m).withField("final", final)
+    q = X.let(confidence, lambda c: F.when(c["text_quality"] < 1.0, c["text_quality"]).otherwise(plain_quality(t)))
+
+    def whole(k: Column) -> Column:
+        c = k["c"]
+        product = k["q"] * k["m"] * c["order_quality"] * c["type_quality"]
+        parts = {"text_quality": k["q"], "order_quality": c["order_quality"], "type_quality": c["type_quality"], "method_score": k["m"], "final": F.when(product > 0, F.pow(product, F.lit(0.25))).otherwise(0.0)}
+        return F.struct(*(v.alias(n) for n, v in parts.items()))
+
+    return X.let(F.struct(confidence.alias("c"), q.alias("q"), m.alias("m")), whole)
 
 
 def run(blocks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as X
+from quire.lineage import cut
 from quire.operators import assembly, crosspage, layout, ocr, order, post, score, tables, textlayer, triage
 from quire.operators import blocks as B
 from quire.plans import fixtures as T
@@ -503,7 +504,7 @@ STRIP = r"regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
 
 @query(FINAL + rf" SELECT doc_id, md5(string_agg({STRIP}, chr(10) || chr(10) ORDER BY page_num, seq)) AS text_md5 FROM f WHERE final >= 0.8 GROUP BY 1")
 def plain_text(spark, sf):
-    return sinks.plain(score.run(_blocks(spark, sf)), threshold=0.8).select("doc_id", F.md5("text").alias("text_md5"))
+    return sinks.plain(cut(score.run(_blocks(spark, sf))), threshold=0.8).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(WITH + rf""", d AS (SELECT *, [1, 2, 3][seq % 3 + 1] AS depth, CASE seq % 6 WHEN 0 THEN 'heading' WHEN 1 THEN 'table' WHEN 2 THEN 'caption' WHEN 3 THEN 'footnote' WHEN 4 THEN 'header' ELSE 'body' END AS kind, {STRIP} AS t FROM l),
@@ -525,7 +526,7 @@ def warnings_collect(spark, sf):
 @query(WITH + " SELECT doc_id, 'x' || doc_id AS title, count(*) AS total_blocks, count(DISTINCT page_num) AS pages FROM l GROUP BY 1")
 def json_payload(spark, sf):
     """Fields read back from the JSON of each document."""
-    b = score.run(_blocks(spark, sf))
+    b = cut(score.run(_blocks(spark, sf)))
     pages = b.select("doc_id", "page_num").distinct().withColumn("triage_result", F.lit("hybrid"))
     none = b.select("doc_id", "page_num", F.lit(0).alias("stage"), "seq", F.lit("").alias("msg")).where(F.lit(False))
     texts = b.select("doc_id").distinct().withColumn("text", F.concat(F.lit("x"), "doc_id"))
