@@ -27,6 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quire-checkpoints")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -55,8 +63,14 @@ def column_type(df: DataFrame, name: str) -> T.DataType:
 
 
 def sample_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most `limit` rows, those of the smallest key hash: the same rows at every run and partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(limit)
+    """At most `limit` rows, those of the smallest key hash: the same rows at every run and partitioning.
+
+    Rows are counted first, so that only about `limit` of them are sorted, however many there are.
+    """
+    h, n = F.xxhash64(F.col(key)), df.count()
+    if n > 2 * limit:
+        df = df.where(h < int(-(2**63) + 2**64 * (1.5 * limit + 100) / n))
+    return df.orderBy(h, F.col(key)).limit(limit)
 
 
 BROADCAST_ROWS = 1_000_000
@@ -70,5 +84,6 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """docs without the ids in the one column of `ids`; rows with a null id stay."""
     ensure_checkpoint_dir(docs.sparkSession)
-    gone = ids.toDF("__gone").checkpoint()
-    return docs.join(small(gone), F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    name = fresh(docs, "__gone")
+    gone = ids.toDF(name).checkpoint()
+    return docs.join(small(gone), F.col(f"`{id_col}`") == F.col(name), "left_anti")
