@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import column_type, map_arrow, pick, small
+from quire.llm.common import column_type, ensure_checkpoint_dir, fresh, map_arrow, pick, small
 
 GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([i]), seed=7) & 0xFFFF for i in range(256)], np.uint16)
 
@@ -145,9 +145,11 @@ def _parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None, length_col: str | None = None, **options) -> DataFrame:
     """docs with the repeated runs cut out of the text; `spans_col` adds the ranges cut, `length_col` is set to the new length."""
-    spans = dedup_spans(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("part").alias("__part"), F.col("spans").alias("__spans"))
-    text, cut = F.col(f"`{text_col}`"), F.col("__spans")
-    joined = docs.join(small(spans), (F.col(f"`{id_col}`") == F.col("__id")) & (F.xxhash64(text) == F.col("__part")), "left")
+    ensure_checkpoint_dir(docs.sparkSession)
+    i, p, c = (fresh(docs, x) for x in ("__id", "__part", "__spans"))
+    spans = dedup_spans(docs, id_col=id_col, text_col=text_col, **options).toDF(i, p, c).checkpoint()
+    text, cut = F.col(f"`{text_col}`"), F.col(c)
+    joined = docs.join(small(spans), (F.col(f"`{id_col}`") == F.col(i)) & (F.xxhash64(text) == F.col(p)), "left")
     starts = F.concat(F.array(F.lit(0)), F.transform(cut, lambda s: s["end"]))
     ends = F.concat(F.transform(cut, lambda s: s["start"]), F.array(F.length(text)))
     kept = F.array_join(F.zip_with(starts, ends, lambda s, e: F.substr(text, s + 1, e - s)), "")
@@ -156,4 +158,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sp
         out = out.withColumn(length_col, F.length(F.col(f"`{text_col}`")).cast(docs.schema[length_col].dataType))
     if spans_col:
         out = out.withColumn(spans_col, F.coalesce(cut, F.array().cast("array<struct<start:int,end:int>>")))
-    return out.drop("__id", "__part", "__spans")
+    return out.drop(i, p, c)
