@@ -25,6 +25,12 @@ from pyspark.sql import types as T
 
 from quire.llm.common import column_type, map_arrow, pick
 
+#: The bits of every 16-bit number in reverse order.
+_B = np.arange(1 << 16, dtype=np.uint32)
+for _k in (1, 2, 4, 8):
+    _m = sum(((1 << _k) - 1) << i for i in range(0, 16, 2 * _k))
+    _B = (_B >> _k & _m) | (_B & _m) << _k
+REVERSED = _B.tolist()
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 OPAQUE = 0xFF000000
 
@@ -65,25 +71,35 @@ class Code:
     """A prefix code as one table: entry = symbol << 4 | length, by the next `bits` bits."""
 
     def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
+        used = [n << 16 | s for s, n in enumerate(lengths) if n]
         if not used:
             raise ValueError("an empty prefix code")
         if len(used) == 1:
-            self.bits, self.table = 0, [used[0][1] << 4]
+            self.bits, self.table = 0, [(used[0] & 0xFFFF) << 4]
             return
         used.sort()
-        self.bits = top = used[-1][0]
-        table = [-1] * (1 << top)
+        self.bits = top = used[-1] >> 16
+        size = 1 << top
+        table = [-1] * size
         code = last = 0
-        for n, s in used:
-            code <<= n - last
-            last = n
+        for x in used:
+            n = x >> 16
+            if n != last:
+                code <<= n - last
+                last = n
+                step = 1 << n
+                times = size >> n
+                down = 16 - n
             if code >> n:
                 raise ValueError("an overfull prefix code")
-            low = int(format(code, f"0{n}b")[::-1], 2)
-            table[low :: 1 << n] = [s << 4 | n] * (1 << (top - n))
+            entry = (x & 0xFFFF) << 4 | n
+            low = REVERSED[code] >> down
+            if times == 1:
+                table[low] = entry
+            else:
+                table[low::step] = [entry] * times
             code += 1
-        if code != 1 << top:
+        if code != size:
             raise ValueError("an incomplete prefix code")
         self.table = table
 
@@ -114,16 +130,31 @@ def read_code(b: Bits, size: int) -> Code:
     left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
     lengths: list[int] = []
     before = 8
-    while len(lengths) < size and left:
+    table, mask = inner.table, (1 << inner.bits) - 1
+    value, count = b.value, b.count
+    done = 0
+    while done < size and left:
         left -= 1
-        n = inner.read(b)
+        if count < 32:
+            b.value, b.count = value, count
+            b.fill()
+            value, count = b.value, b.count
+        e = table[value & mask]
+        value >>= e & 15
+        count -= e & 15
+        n = e >> 4
         if n < 16:
             lengths.append(n)
             before = n or before
-        elif n == 16:
-            lengths += [before] * (3 + b.read(2))
-        else:
-            lengths += [0] * (3 + b.read(3) if n == 17 else 11 + b.read(7))
+            done += 1
+            continue
+        bits, least = (2, 3) if n == 16 else (3, 3) if n == 17 else (7, 11)
+        times = least + (value & (1 << bits) - 1)
+        value >>= bits
+        count -= bits
+        lengths += [before if n == 16 else 0] * times
+        done += times
+    b.value, b.count = value, count
     if len(lengths) > size:
         raise ValueError("too many code lengths")
     return Code(lengths)

@@ -5,15 +5,17 @@ Every tool of the format can be turned on by itself; the writer aims at covering
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quire.llm.common import column_type, map_arrow, pick
-from quire.llm.webp import LENGTH_ORDER, NEAR, OPAQUE
+from quire.llm.webp import LENGTH_ORDER, NEAR, OPAQUE, REVERSED
 
 NEAR_CODE = {d: k + 1 for k, d in reversed(list(enumerate(NEAR)))}
 
@@ -37,7 +39,7 @@ class Sink:
     def put(self, value: int, bits: int) -> None:
         self.value |= value << self.count
         self.count += bits
-        if self.count >= 512:
+        while self.count >= 512:
             self.parts.append((self.value & (1 << 512) - 1).to_bytes(64, "little"))
             self.value >>= 512
             self.count -= 512
@@ -48,36 +50,32 @@ class Sink:
 
 def lengths_of(counts: dict[int, int], most: int) -> dict[int, int]:
     """Code lengths of at most `most` bits; counts are flattened until they fit."""
-    n = dict(counts)
+    if len(counts) == 1:
+        return dict.fromkeys(counts, 1)
     while True:
-        heap = sorted((c, s, None) for s, c in n.items())
-        if len(heap) == 1:
-            return {heap[0][1]: 1}
-        leaves = [(c, s) for c, s, _ in heap]
-        made: list[tuple] = []
-        i = j = 0
-        for _ in range(len(leaves) - 1):
-            two = []
-            for _ in range(2):
-                if j >= len(made) or (i < len(leaves) and leaves[i][0] <= made[j][0]):
-                    two.append(leaves[i])
+        rows = sorted(counts.items(), key=itemgetter(1))
+        n = len(rows)
+        weight = [c for _, c in rows]
+        up = [0] * (2 * n - 1)
+        i, j = 0, n
+        for k in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if j >= k or (i < n and weight[i] <= weight[j]):
+                    total += weight[i]
+                    up[i] = k
                     i += 1
                 else:
-                    two.append(made[j])
+                    total += weight[j]
+                    up[j] = k
                     j += 1
-            made.append((two[0][0] + two[1][0], two))
-        out: dict[int, int] = {}
-        todo = [(made[-1][1], 1)]
-        while todo:
-            two, depth = todo.pop()
-            for _, x in two:
-                if isinstance(x, list):
-                    todo.append((x, depth + 1))
-                else:
-                    out[x] = depth
-        if max(out.values()) <= most:
-            return out
-        n = {s: c // 2 + 1 for s, c in n.items()}
+            weight.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        if max(depth) <= most:
+            return {s: d for (s, _), d in zip(rows, depth)}
+        counts = {s: c // 2 + 1 for s, c in rows}
 
 
 def codes_of(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -86,10 +84,11 @@ def codes_of(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
         return {next(iter(lengths)): (0, 0)}
     out = {}
     code = last = 0
-    for n, s in sorted((n, s) for s, n in lengths.items()):
+    for x in sorted([n << 16 | s for s, n in lengths.items()]):
+        n = x >> 16
         code <<= n - last
         last = n
-        out[s] = (int(format(code, f"0{n}b")[::-1], 2), n)
+        out[x & 0xFFFF] = (REVERSED[code] >> 16 - n, n)
         code += 1
     return out
 
@@ -99,49 +98,54 @@ def put_code(sink: Sink, counts: dict[int, int]) -> dict[int, tuple[int, int]]:
     counts = counts or {0: 1}
     if len(counts) <= 2 and max(counts) < 256:
         symbols = sorted(counts)
-        sink.put(1, 1)
-        sink.put(len(symbols) - 1, 1)
-        sink.put(1, 1)
+        sink.put(1 | (len(symbols) - 1) << 1 | 1 << 2, 3)
         for s in symbols:
             sink.put(s, 8)
         return codes_of(dict.fromkeys(symbols, 1))
     lengths = lengths_of(counts, 15)
-    rows: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    at = 0
+    rows: list[int] = []  # symbol, extra value and extra bits in one number
+    at = same = 0
+    before = -1
     for s in sorted(lengths):
         gap = s - at
+        if gap:
+            same = 0
         while gap:
             if gap < 3:
-                rows.append((0, 0, 0))
-                gap -= 1
+                rows += [0] * gap
+                gap = 0
             elif gap < 11:
-                rows.append((17, gap - 3, 3))
+                rows.append(17 | gap - 3 << 8 | 3 << 16)
                 gap = 0
             else:
-                rows.append((18, min(gap, 138) - 11, 7))
+                rows.append(18 | min(gap, 138) - 11 << 8 | 7 << 16)
                 gap -= min(gap, 138)
         n = lengths[s]
-        rows.append((n, 0, 0))
-        if rows[-4:] == [(n, 0, 0)] * 4:
-            rows[-3:] = [(16, 0, 2)]
+        same = same + 1 if n == before and same else 1
+        before = n
+        rows.append(n)
+        if same == 4:
+            rows[-3:] = [16 | 2 << 16]
+            same = 0
         at = s + 1
-    inner: dict[int, int] = {}
-    for s, _, _ in rows:
-        inner[s] = inner.get(s, 0) + 1
-    own = lengths_of(inner, 7)
-    sink.put(0, 1)
-    sink.put(15, 4)
+    own = lengths_of(Counter([r & 255 for r in rows]), 7)
+    value = 15 << 1
+    n = 5
     for k in LENGTH_ORDER:
-        sink.put(own.get(k, 0), 3)
-    sink.put(1, 1)  # stop after so many of them
-    bits = max(2, (len(rows) - 2).bit_length() + (len(rows) - 2).bit_length() % 2)
-    sink.put((bits - 2) // 2, 3)
-    sink.put(len(rows) - 2, bits)
+        value |= own.get(k, 0) << n
+        n += 3
+    size = max(2, (len(rows) - 2).bit_length() + (len(rows) - 2).bit_length() % 2)
+    value |= (1 | (size - 2) // 2 << 1 | len(rows) - 2 << 4) << n  # stop after so many of them
+    n += 4 + size
     told = codes_of(own)
-    for s, extra, n in rows:
-        sink.put(*told[s])
-        if n:
-            sink.put(extra, n)
+    for r in rows:
+        v, m = told[r & 255]
+        value |= v << n
+        n += m
+        if r >> 16:
+            value |= (r >> 8 & 255) << n
+            n += r >> 16
+    sink.put(value, n)
     return codes_of(lengths)
 
 
@@ -200,40 +204,27 @@ def put_pixels(sink: Sink, pixels: list[int], width: int, height: int, top: bool
             blocks = [(x + y) % o.groups for y in range(-(-height >> shift)) for x in range(across)]
             sink.put(shift - 2, 3)
             put_pixels(sink, [OPAQUE | g << 8 for g in blocks], across, -(-height >> shift), False, Options())
-    counts = [[{} for _ in range(5)] for _ in range(max(blocks) + 1 if blocks else 1)]
-
-    def add(c: dict, s: int) -> None:
-        c[s] = c.get(s, 0) + 1
-
     rows = tokens_of(pixels, width, o.cache_bits, o.matches)
     where = [blocks[(t[0] // width >> shift) * across + (t[0] % width >> shift)] if blocks else 0 for t in rows]
-    for g, t in zip(where, rows):
-        c = counts[g]
-        if t[1] is not None:
-            p = t[1]
-            for k, s in enumerate((p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24)):
-                add(c[k], s)
-        elif len(t) == 3:
-            add(c[0], 280 + t[2])
-        else:
-            add(c[0], 256 + _prefix(t[2])[0])
-            add(c[4], _prefix(t[3])[0])
-    codes = [[put_code(sink, c) for c in group] for group in counts]
-    for g, t in zip(where, rows):
-        c = codes[g]
-        if t[1] is not None:
-            p = t[1]
-            bits = n = 0
-            for k, s in enumerate((p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24)):
-                v, m = c[k][s]
-                bits |= v << n
-                n += m
-            sink.put(bits, n)
+    codes = []
+    for g in range(max(blocks) + 1 if blocks else 1):
+        own = [t for h, t in zip(where, rows) if h == g] if blocks else rows
+        plain = [t[1] for t in own if t[1] is not None]
+        other = [t for t in own if t[1] is None]
+        green = [p >> 8 & 255 for p in plain] + [280 + t[2] if len(t) == 3 else 256 + _prefix(t[2])[0] for t in other]
+        far = [_prefix(t[3])[0] for t in other if len(t) == 4]
+        codes.append([put_code(sink, Counter(c)) for c in (green, [p >> 16 & 255 for p in plain], [p & 255 for p in plain], [p >> 24 for p in plain], far)])
+    for h, t in zip(where, rows):
+        green, red, blue, alpha, far = codes[h]
+        p = t[1]
+        if p is not None:
+            (v, n), (v1, n1), (v2, n2), (v3, n3) = green[p >> 8 & 255], red[p >> 16 & 255], blue[p & 255], alpha[p >> 24]
+            sink.put(v | (v1 | (v2 | v3 << n2) << n1) << n, n + n1 + n2 + n3)
         elif len(t) == 3:
-            sink.put(*c[0][280 + t[2]])
+            sink.put(*green[280 + t[2]])
         else:
-            for code, first, v in ((c[0], 256, t[2]), (c[4], 0, t[3])):
-                s, extra, n = _prefix(v)
+            for code, first, x in ((green, 256, t[2]), (far, 0, t[3])):
+                s, extra, n = _prefix(x)
                 sink.put(*code[first + s])
                 sink.put(extra, n)
 
