@@ -6,9 +6,11 @@ next shorter context is tried without the symbols already excluded; below order
 equally likely. Texts start in a boundary context (0xFF, which UTF-8 never holds).
 
 Pretrained: counts come from every byte of every document; each partition combines its own counts and only
-those are shuffled. Contexts with at least `min_share` of all bytes (at most 1 / min_share contexts at any size)
-and symbols seen `min_count` times make the trie. As counts are then fixed, escapes and exclusions are worked
-out once for each context and symbol, and a document is two gathers per byte in numpy.
+those are shuffled. Every context with a symbol seen `min_count` times is in the trie, however large the corpus
+is, so the trie grows with it (8 bytes a symbol of a context, 20 a context). As counts are then fixed, totals and
+exclusions are worked out once for each context, and a document is sorted lookups in numpy, for each distinct
+context and symbol of some MB of text. A trie of over `shard_entries` symbols is split by the last byte of the
+context, so that the driver, and each worker, holds one part of it at a time.
 Adaptive: the trie starts empty for each document and learns as it codes; byte by byte in Python.
 
 Defined results
@@ -55,6 +57,32 @@ def _streams(texts: list, order: int) -> Iterator[tuple[np.ndarray, list[int], l
         yield np.frombuffer(b"".join(parts), np.uint8), rows, [len(p) for p in parts[1::2]]
 
 
+def _codes(raw: np.ndarray, order: int) -> np.ndarray:
+    """The `order` bytes before each byte and the byte itself, as one number."""
+    x = raw.astype(np.uint32 if order <= 3 else np.uint64)
+    code = x[order:].copy()
+    for k in range(1, order + 1):
+        code |= x[order - k : len(x) - k] << x.dtype.type(8 * k)
+    return code
+
+
+def _tail(codes: np.ndarray, n: int) -> np.ndarray:
+    """The last n bytes of each code."""
+    return codes & codes.dtype.type(256**n - 1)
+
+
+def _context(codes: np.ndarray) -> np.ndarray:
+    return codes >> codes.dtype.type(8)
+
+
+def _find(known: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each code is in sorted `known`, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return at, known[at] == codes
+
+
 def _combine(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     c, n = np.concatenate(codes), np.concatenate(counts)
     order = np.argsort(c, kind="stable")
@@ -64,7 +92,7 @@ def _combine(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 
 
 def corpus_counts(docs: DataFrame, order: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """order, ctx, sym, n for every context of 0 to `order` bytes (at most 3) of the corpus."""
+    """order, ctx, sym, n for every context of 0 to `order` bytes (at most 7) of the corpus."""
     schema = T.StructType([T.StructField("order", T.IntegerType()), T.StructField("ctx", T.LongType()), T.StructField("sym", T.IntegerType()), T.StructField("n", T.LongType())])
 
     def count(batches: Iterator[dict]) -> Iterator[dict]:
@@ -73,11 +101,7 @@ def corpus_counts(docs: DataFrame, order: int, id_col: str = "doc_id", text_col:
         held = 0
         for b in batches:
             for raw, _, _ in _streams(b["text"], order):
-                x = raw.astype(np.uint32)
-                code = x[order:].copy()
-                for k in range(1, order + 1):
-                    code |= x[order - k : len(x) - k] << np.uint32(8 * k)
-                c, n = np.unique(code[x[order:] != EDGE], return_counts=True)
+                c, n = np.unique(_codes(raw, order)[raw[order:] != EDGE], return_counts=True)
                 codes.append(c)
                 counts.append(n)
                 held += len(c)
@@ -89,111 +113,138 @@ def corpus_counts(docs: DataFrame, order: int, id_col: str = "doc_id", text_col:
         c, n = _combine(codes, counts)
         for o in range(order, -1, -1):
             if o < order:
-                c, n = _combine([c & np.uint32(256 ** (o + 1) - 1)], [n])
+                c, n = _combine([_tail(c, o + 1)], [n])
             for at in range(0, len(c), 100_000):
                 part = c[at : at + 100_000]
-                yield {"order": np.full(len(part), o, np.int32), "ctx": (part >> np.uint32(8)).astype(np.int64), "sym": (part & np.uint32(255)).astype(np.int32), "n": n[at : at + 100_000].astype(np.int64)}
+                yield {"order": np.full(len(part), o, np.int32), "ctx": _context(part).astype(np.int64), "sym": _tail(part, 1).astype(np.int32), "n": n[at : at + 100_000].astype(np.int64)}
 
     parts = map_arrow(pick(docs, text=text_col), count, schema)
     return parts.repartition("order", "ctx").groupBy("order", "ctx", "sym").agg(F.sum("n").alias("n"))
 
 
+class Level:
+    """One order of the trie: sorted codes of its symbols in context and of its contexts, and what they cost in bits."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, up: Level | None):
+        by = np.argsort(codes)
+        self.codes, n = codes[by], n[by]
+        context = _context(self.codes) if up else np.zeros_like(self.codes)
+        self.contexts, first = np.unique(context, return_index=True) if len(codes) or up else (np.zeros(1, codes.dtype), None)
+        sums = lambda x: np.add.reduceat(x, first) if len(codes) else np.zeros(len(self.contexts), np.int64)
+        self.n, self.total, self.kinds = n, sums(n), sums(np.ones_like(n))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.log_n = np.log2(n).astype(np.float32)
+            self.log_all = np.log2(self.total + self.kinds).astype(np.float32)
+            self.escape = np.where(self.kinds > 0, np.log2((self.total + self.kinds) / self.kinds), 0).astype(np.float32)
+            if up:  # what the next shorter context has without the symbols of this one
+                above, _ = _find(up.contexts, _tail(self.contexts, up.size))
+                inner, _ = _find(up.codes, _tail(self.codes, up.size + 1))
+                rest, left = up.total[above] - sums(up.n[inner]), up.kinds[above] - self.kinds
+                self.log_rest = np.log2(rest + left).astype(np.float32)
+                self.fall = np.where(left > 0, np.log2((rest + left) / left), 0).astype(np.float32)
+        self.size = up.size + 1 if up else 0
+
+
+class Shard:
+    """The trie of all contexts that end in certain bytes, with the root."""
+
+    def __init__(self, levels: list[Level], ends: np.ndarray | None):
+        self.levels, self.ends = levels, ends
+        self.unseen = math.log2(max(1, 256 - int(levels[0].kinds[0])))
+        for x in levels:
+            del x.n, x.total, x.kinds
+
+    def cost(self, codes: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each code after the others, in the longest known context."""
+        root = self.levels[0]
+        at, seen = _find(root.codes, _tail(codes, 1))
+        log_n = root.log_n[at] if len(root.codes) else np.zeros(len(codes), np.float32)
+        below = np.full(len(codes), self.unseen)
+        cost = np.where(seen, root.log_all[0] - log_n, root.escape[0] + below)
+        for o, level in enumerate(self.levels[1:], 1):
+            if not len(level.codes):
+                break
+            c, known = _find(level.contexts, _tail(_context(codes), o))
+            below = np.where(seen, level.log_rest[c] - log_n, level.fall[c] + below)
+            at, seen = _find(level.codes, _tail(codes, o + 1))
+            log_n = level.log_n[at]
+            cost = np.where(known, np.where(seen, level.log_all[c] - log_n, level.escape[c] + below), cost)
+        return cost
+
+    def bits(self, texts: list, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of each text, and bits of those bytes whose context is of this shard."""
+        n, out = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        for raw, rows, sizes in _streams(texts, order):
+            codes, where = np.unique(_codes(raw, order), return_inverse=True)
+            own = _tail(codes, 1) != EDGE
+            if self.ends is not None:
+                own &= self.ends[_tail(_context(codes), 1).astype(np.int64)]
+            cost = np.zeros(len(codes))
+            cost[own] = self.cost(codes[own])
+            starts = np.cumsum([0] + [s + order for s in sizes[:-1]])
+            out[rows] = np.add.reduceat(cost[where], starts)
+            n[rows] = sizes
+        return n, out
+
+
 class Model:
-    """cost[context, symbol] in bits; contexts by order as sorted codes over symbols, the root first."""
-
-    def __init__(self, order: int, symbols: np.ndarray, contexts: list[np.ndarray], cost: np.ndarray):
-        self.order, self.symbols, self.contexts, self.cost = order, symbols, contexts, cost
-        self._table: np.ndarray | None = None
-
-    def table(self) -> np.ndarray:
-        """Context number by the last `order` symbols: the longest known one."""
-        if self._table is None:
-            a = self.cost.shape[1]
-            t = np.zeros((a,) * self.order, np.int32)
-            at = 1
-            for o in range(1, self.order + 1):
-                codes = self.contexts[o]
-                where = tuple((codes // a ** (o - 1 - k)) % a for k in range(o))
-                t[(Ellipsis, *where)] = np.arange(at, at + len(codes), dtype=np.int32)
-                at += len(codes)
-            self._table = t.ravel()
-        return self._table
-
-    def __getstate__(self):
-        return self.__dict__ | {"_table": None}
+    """The shards of a trie, each broadcast."""
+
+    def __init__(self, order: int, shards: list):
+        self.order, self.shards = order, shards
 
     def bits(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and bits of each text."""
-        n, out = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        a, k, flat = self.cost.shape[1], self.order, self.cost.ravel()
-        for raw, rows, sizes in _streams(texts, k):
-            x = self.symbols[raw]
-            ctx = np.zeros(len(x) - k, np.int64)
-            for j in range(k):
-                ctx *= a
-                ctx += x[j : len(x) - k + j]
-            c = flat[self.table()[ctx].astype(np.int64) * a + x[k:]].astype(np.float64)
-            starts = np.cumsum([0] + [s + k for s in sizes[:-1]])
-            out[rows] = np.add.reduceat(c, starts)
-            n[rows] = sizes
+        n, out = None, np.zeros(len(texts))
+        for shard in self.shards:
+            n, more = shard.value.bits(texts, self.order)
+            out += more
+            if len(self.shards) > 1:
+                del shard._value  # read again from its file for the next batch: one shard is held at a time
         return n, out
 
 
-def build(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], min_count: int = 1) -> Model:
-    """counts[o]: byte codes of contexts, symbols and counts at order o; contexts of all suffixes must be there."""
-    order = len(counts) - 1
-    used = np.unique(np.concatenate([counts[0][1]] + [np.zeros(0, np.int64)]).astype(np.int64))
-    a = len(used) + 2
-    symbols = np.full(256, a - 1, np.int64)  # the last one stands for bytes never seen
-    symbols[used] = np.arange(1, a - 1)
-    symbols[EDGE] = 0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        if not len(used):
-            cost = np.zeros((1, a), np.float32)
-            cost[0, 1:] = 8
-            return Model(order, symbols, [np.zeros(1, np.int64)] + [np.zeros(0, np.int64)] * order, cost)
-        contexts, costs = [], []
-        n_up = esc_up = None
-        for o, (ctx, sym, n) in enumerate(counts):
-            code = np.zeros(len(ctx), np.int64)
-            for k in range(o):
-                code = code * a + symbols[(ctx >> (8 * (o - 1 - k))) & 255]
-            own, row = np.unique(code, return_inverse=True)
-            c = np.zeros((len(own), a), np.float32)
-            c[row, symbols[sym]] = np.where(n >= min_count, n, 0)
-            seen = c > 0
-            total, kinds = c.sum(1, dtype=np.float64), seen.sum(1)
-            if o == 0:
-                esc = np.full((1, a), math.log2(max(1, 256 - kinds[0])), np.float32)
-            else:
-                up = np.searchsorted(contexts[-1], own % a ** (o - 1))
-                esc = np.empty((len(own), a), np.float32)
-                for at in range(0, len(own), 4096):
-                    s = slice(at, at + 4096)
-                    rest = np.where(seen[s], 0, n_up[up[s]])
-                    t, d = rest.sum(1, dtype=np.float64), (rest > 0).sum(1)
-                    fall = np.where(d > 0, np.log2((t + d) / d), 0)
-                    esc[s] = np.where(rest > 0, np.log2((t + d)[:, None] / rest), fall[:, None] + esc_up[up[s]])
-            out = np.where(kinds > 0, np.log2((total + kinds) / kinds), 0)
-            cost = np.where(seen, np.log2((total + kinds)[:, None] / c), out[:, None] + esc).astype(np.float32)
-            cost[:, 0] = 0
-            contexts.append(own)
-            costs.append(cost)
-            n_up, esc_up = c, esc
-    return Model(order, symbols, contexts, np.concatenate(costs))
-
-
-def fit(docs: DataFrame, *, order: int = 3, min_share: float = 2e-6, min_count: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts the whole corpus and builds the trie; only contexts of the stated share come to the driver."""
-    if not 1 <= order <= 3:
-        raise ValueError("order must be 1, 2 or 3")
-    ensure_checkpoint_dir(docs.sparkSession)
+def build(counts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ends: np.ndarray | None = None) -> Shard:
+    """counts[o]: byte codes of contexts, symbols and counts at order o; contexts of all suffixes must be there, with all their symbols."""
+    kind = np.uint32 if len(counts) <= 4 else np.uint64
+    levels: list[Level] = []
+    for ctx, sym, n in counts:
+        levels.append(Level((ctx.astype(np.uint64) << np.uint64(8) | sym.astype(np.uint64)).astype(kind), n, levels[-1] if levels else None))
+    return Shard(levels, ends)
+
+
+def _shares(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """The 256 last bytes of contexts in groups of at most `most` symbols, or of one byte."""
+    groups: list[list[int]] = [[]]
+    held = 0
+    for byte in range(256):
+        n = sizes.get(byte, 0)
+        if groups[-1] and held + n > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(byte)
+        held += n
+    return groups
+
+
+def fit(docs: DataFrame, *, order: int = 3, min_count: int = 2, shard_entries: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Counts the whole corpus and builds the trie of all contexts; `shard_entries` symbols come to the driver at a time."""
+    if not 1 <= order <= 7:
+        raise ValueError("order must be 1 to 7")
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
     counts = corpus_counts(docs, order, id_col, text_col).checkpoint()
-    total = counts.where(F.col("order") == 0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    common = counts.groupBy("order", "ctx").agg(F.sum("n").alias("t"), F.collect_list(F.struct("sym", "n")).alias("s")).where((F.col("t") >= min_share * total) | (F.col("order") == 0))
-    rows = common.select("order", "ctx", F.explode("s").alias("s")).select("order", "ctx", "s.sym", "s.n").where((F.col("n") >= min_count) | (F.col("order") == 0)).toArrow()
-    o, c, s, n = (rows.column(i).to_numpy().astype(np.int64) for i in range(4))
-    return build([(c[o == k], s[o == k], n[o == k]) for k in range(order + 1)], min_count=1)
+    last = F.pmod("ctx", F.lit(256)).cast("int")
+    kept = counts.where((F.col("n") >= min_count) | (F.col("order") == 0))
+    sizes = {r["last"]: r["n"] for r in kept.where("order > 0").groupBy(last.alias("last")).agg(F.count("*").alias("n")).collect()}
+    shares = _shares(sizes, shard_entries)
+    shards = []
+    for own in shares:
+        rows = (kept if len(shares) == 1 else kept.where((F.col("order") == 0) | last.isin(own))).toArrow()
+        o, c, s, n = (rows.column(name).to_numpy().astype(np.int64) for name in ("order", "ctx", "sym", "n"))
+        ends = None if len(shares) == 1 else np.isin(np.arange(256), own)
+        shards.append(spark.sparkContext.broadcast(build([(c[o == k], s[o == k], n[o == k]) for k in range(order + 1)], ends)))
+    return Model(order, shards)
 
 
 def adaptive_bits(data: bytes, order: int = 3) -> float:
@@ -232,13 +283,11 @@ def score(docs: DataFrame, model: Model | None = None, *, order: int = 3, id_col
     """doc_id, n_bytes, bits, bits_per_byte; pretrained with a model, else adaptive."""
     texts = pick(docs, doc_id=id_col, text=text_col)
     schema = T.StructType([T.StructField("doc_id", column_type(texts, "doc_id")), T.StructField("n_bytes", T.LongType()), T.StructField("bits", T.DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        m = shared.value
         for b in batches:
-            if m is not None:
-                n, bits = m.bits(b["text"])
+            if model is not None:
+                n, bits = model.bits(b["text"])
             else:
                 raw = [(t or "").encode("utf-8", "replace") for t in b["text"]]
                 n, bits = [len(r) for r in raw], [adaptive_bits(r, order) for r in raw]

@@ -194,6 +194,39 @@ def test_lm_scores_against_walk_of_the_trie(spark):
     assert got[0]["bits_per_byte"] < unseen["bits_per_byte"]
 
 
+def plain_trie(texts, order):
+    trie: list[dict] = [{} for _ in range(order + 1)]
+    for t in texts:
+        padded = b"\xff" * order + t.encode()
+        for k in range(order + 1):
+            for g, n in Counter(padded[i - k : i + 1] for i in range(order, len(padded))).items():
+                node = trie[k].setdefault(g[:-1], {})
+                node[g[-1]] = node.get(g[-1], 0) + n
+    return [{c: {s: n for s, n in node.items() if n >= 2 or not c} for c, node in level.items()} for level in trie]
+
+
+def test_lm_keeps_rare_contexts_of_a_large_corpus(spark):
+    texts = ["ab" * 800_000, "ζξψ qwz", "ζξψ qwz", "vkj φχ"]
+    df = docs(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["bits"] for r in ppm.score(df, ppm.fit(df)).collect()}
+    trie = plain_trie(texts, 3)
+    for i in (1, 2, 3):
+        assert got[i] == pytest.approx(plain_bits(texts[i].encode(), trie, 3), rel=1e-4)
+    assert got[1] < got[3] / 2
+
+
+@pytest.mark.parametrize("order, most", [(3, 200), (5, 4_000_000), (6, 300)])
+def test_lm_shards_and_longer_contexts(spark, order, most):
+    texts = [prose(i, 40) for i in range(12)] + ["naïve çà et là " * 5, "zzz"]
+    df = docs(spark, list(enumerate(texts)))
+    model = ppm.fit(df, order=order, shard_entries=most)
+    assert (len(model.shards) > 1) == (most < 1000)
+    got = {r["doc_id"]: r["bits"] for r in ppm.score(df, model).collect()}
+    trie = plain_trie(texts, order)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_bits(t.encode(), trie, order), rel=1e-4)
+
+
 def test_lm_scores_adaptive_and_awkward(spark):
     assert ppm.adaptive_bits(b"ab" * 50) < ppm.adaptive_bits(random.Random(1).randbytes(100))
     assert ppm.adaptive_bits(b"a") == pytest.approx(8)
