@@ -87,12 +87,12 @@ def heading_levels(blocks: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
 
 def heading_parents(levels: DataFrame) -> DataFrame:
     """levels with parent_id: the last heading before of a smaller level, if that is exactly one smaller."""
+    levels = cut(levels)
+    deepest = levels.agg(F.max("level").alias("n")).first()["n"] or 0
     w = Window.partitionBy("doc_id").orderBy("page_num", "y0", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    most = 12
-    parent = F.lit(None).cast("struct<level:int,id:string>")
-    for k in range(most, 0, -1):
-        last = F.last(F.when(F.col("level") <= k - 1, F.struct(F.col("level").cast("int").alias("level"), F.col("block_id").alias("id"))), ignorenulls=True).over(w)
-        parent = F.when(F.least("level", F.lit(most)) == k, last).otherwise(parent)
+    last = lambda k: F.last(F.when(F.col("level") < k, F.struct(F.col("level").cast("int").alias("level"), F.col("block_id").alias("id"))), ignorenulls=True).over(w)
+    none = F.lit(None).cast("struct<level:int,id:string>")
+    parent = F.get(F.array(none, *[last(k) for k in range(1, deepest + 1)]), F.col("level"))
     found = levels.withColumn("__p", parent)
     return found.withColumn("parent_id", F.when(F.col("__p.level") == F.col("level") - 1, F.col("__p.id"))).drop("__p")
 

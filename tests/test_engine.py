@@ -216,6 +216,14 @@ def test_heading_tree(spark):
     assert tree(long)[0] == want
 
 
+def test_heading_tree_of_many_levels(spark):
+    for n in (13, 14, 40):
+        rows = [("d", 0, i, f"h{i}", (0.0, 300.0 * i, 100.0, 300.0 * i + 200 - 4.0 * i), "heading") for i in range(n)]
+        made = crosspage.nest_headings(blocks(spark, rows))
+        name = {r["block_id"]: r["text"] for r in made.collect()}
+        assert [name.get(r["parent_id"]) for r in made.orderBy("seq").collect()] == [None] + [f"h{i}" for i in range(n - 1)]
+
+
 def plain_rejoin(items):
     import re
 
