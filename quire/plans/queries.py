@@ -258,12 +258,22 @@ v AS (SELECT *, lag(x) OVER (PARTITION BY doc_id, page_num, seq ORDER BY i) AS p
 z AS (SELECT *, CASE WHEN px IS NULL OR x - px >= 4 THEN 1 ELSE 0 END AS nw FROM v), g AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, page_num, seq ORDER BY i) AS part FROM z)
 SELECT doc_id, page_num, seq, (part - 1)::INTEGER AS part, string_agg(ch, '' ORDER BY i) AS text, min(x) AS x0 FROM g GROUP BY 1, 2, 3, 4""")
 def gap_split(spark, sf):
-    rows = T.lines(spark, sf).where("n < 200")
+    """Lines of under 200 characters, as in its SQL; gap_split_whole has all lines."""
+    return _gaps(T.lines(spark, sf).where("n < 200"))
+
+
+def _gaps(rows):
     at = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.struct(F.substr("text", i, F.lit(1)).alias("ch"), (i * 2.0 + F.floor(i / 17) * 9).alias("x")))
     parts = tables.split_on_gaps(F.col("text"), F.lit(0.0), F.col("n") * 2.0, at)
     return rows.select("doc_id", "page_num", "seq", F.posexplode(parts).alias("part", "p")).select("doc_id", "page_num", "seq", "part", "p.text", "p.x0")
 
 
+@query()
+def gap_split_whole(spark, sf):
+    """All lines, whole; one row a character is too much for SQL, tests hold it against a loop."""
+    return _gaps(T.lines(spark, sf))
+
+
 @query()
 def row_clusters(spark, sf):
     """Rows of words whose centres wander; a running median can't be said in plain SQL, tests hold it against a loop."""
