@@ -140,10 +140,20 @@ SCRIPT_TEXT = "CASE seq % 5 WHEN 1 THEN repeat('漢字', n % 40) WHEN 2 THEN rep
 SELECT doc_id, page_num, seq, CASE WHEN seq % 10 = 6 THEN 'arabic' WHEN cjk > 0.3 * len THEN 'cjk' WHEN ara > 0.3 * len THEN 'arabic' WHEN thai > 0.3 * len THEN 'thai' ELSE 'default' END AS family,
   CASE WHEN ara > 0.3 * (ara + length(regexp_replace(regexp_replace(t, '[؀-ۿ]', '', 'g'), '[^\\p{{L}}]', '', 'g'))) THEN 'rtl' ELSE 'ltr' END AS direction FROM c""".replace("\\\\p", "\\p"))
 def script_family(spark, sf):
-    rows = T.lines(spark, sf).withColumn("t", F.expr(SCRIPT_TEXT)).withColumn("language", F.when(F.col("seq") % 10 == 6, "ar-EG"))
+    return _families(T.lines(spark, sf), SCRIPT_TEXT)
+
+
+def _families(lines, text):
+    rows = lines.withColumn("t", F.expr(text)).withColumn("language", F.when(F.col("seq") % 10 == 6, "ar-EG"))
     return rows.select("doc_id", "page_num", "seq", X.script_family(F.col("language"), F.col("t")).alias("family"), X.direction(F.col("t")).alias("direction"))
 
 
+@query(SQL["script_family"].replace("substr(text, 1, 60)", "text"))
+def script_family_whole(spark, sf):
+    """script_family over whole lines."""
+    return _families(T.lines(spark, sf), SCRIPT_TEXT.replace("substr(text, 1, 60)", "text"))
+
+
 @query(f"""{WITH}, w AS (SELECT doc_id, page_num, seq, list_distinct(list_filter(string_split_regex(lower(text), '[\\s\\p{{Z}}]+'), lambda x: x <> '')) AS a FROM l),
 p AS (SELECT *, lead(a) OVER (PARTITION BY doc_id, page_num ORDER BY seq) AS b FROM w)
 SELECT doc_id, page_num, seq, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS similarity FROM p WHERE b IS NOT NULL""")
@@ -447,6 +457,16 @@ def dehyphen_cross(spark, sf):
     return post.rejoin(rows)
 
 
+#: Whole lines where CUT has a part of them or another word; alone is the line as one word.
+WHOLE = r"CASE WHEN seq % 3 = 0 THEN regexp_replace(text, '\.$', '') || '-' WHEN seq % 7 = 1 THEN regexp_replace(text, '\.$', '') || '- ' WHEN seq % 7 = 2 THEN regexp_replace(text, '[^\p{L}\p{N}]+', '') || '-' ELSE text END"
+
+
+@query(SQL["dehyphen_cross"].replace(CUT, WHOLE.replace("]+', '')", "]+', '', 'g')")))
+def dehyphen_cross_whole(spark, sf):
+    """dehyphen_cross over whole lines."""
+    return post.rejoin(T.lines(spark, sf).select("doc_id", "page_num", "seq", F.expr(WHOLE.replace("\\", "\\\\")).alias("text")))
+
+
 BROKEN = "CASE seq % 4 WHEN 0 THEN replace(text, 'e', chr(65533)) WHEN 1 THEN repeat(chr(65533), n % 5 + 1) || ' ' ELSE text || repeat(chr(65533), seq % 3) END"
 
 
@@ -462,8 +482,18 @@ def replacement_clean(spark, sf):
 p AS (SELECT *, string_split_regex(t, '[A-Z]{1,2}(?:\s+[A-Z]{1,2}){2,}') AS a, regexp_extract_all(t, '[A-Z]{1,2}(?:\s+[A-Z]{1,2}){2,}') AS m FROM b)
 SELECT doc_id, page_num, seq, array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || coalesce(regexp_replace(m[i], '\s+', '', 'g'), '')), '') AS text FROM p""")
 def collapse_spaced(spark, sf):
-    t = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("T I T L E of "), "text", F.lit(" A BC D"))).otherwise(F.replace(F.upper(F.substring("text", 1, 30)), F.lit("ẞ"), F.lit("SS")))
-    return T.lines(spark, sf).select("doc_id", "page_num", "seq", X.collapse_spaced(t).alias("text"))
+    return _collapsed(T.lines(spark, sf), F.substring("text", 1, 30))
+
+
+@query(SQL["collapse_spaced"].replace("upper(substr(text, 1, 30))", "upper(text)"))
+def collapse_spaced_whole(spark, sf):
+    """collapse_spaced over whole lines."""
+    return _collapsed(T.lines(spark, sf), F.col("text"))
+
+
+def _collapsed(lines, odd):
+    t = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("T I T L E of "), "text", F.lit(" A BC D"))).otherwise(F.replace(F.upper(odd), F.lit("ẞ"), F.lit("SS")))
+    return lines.select("doc_id", "page_num", "seq", X.collapse_spaced(t).alias("text"))
 
 
 FIXED = "x"
