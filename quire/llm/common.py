@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,8 +23,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quire-checkpoints")
+    """The cluster's shared folder; a temporary one only where none is set and all runs in this process (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "quire-checkpoints")
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -41,12 +47,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared_folder(spark))
 
 
+PIECE_ROWS, PIECE_BYTES = 1_000, 8_000_000
+
+
+def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most PIECE_ROWS rows and about PIECE_BYTES bytes, so that few rows at a time become Python objects."""
+    step = max(1, min(PIECE_ROWS, int(PIECE_BYTES * b.num_rows / max(1, b.nbytes))))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[dict]], Iterator[dict]], schema: T.StructType) -> DataFrame:
-    """mapInArrow over column lists: fn gets {column: list} per batch and yields {column: list or array}."""
+    """mapInArrow over column lists: fn gets {column: list} per piece of a batch and yields {column: list or array}."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ins = ({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches)
+        ins = ({n: p.column(i).to_pylist() for i, n in enumerate(p.schema.names)} for b in batches for p in pieces(b))
         for out in fn(ins):
             arrays = []
             for f in arrow:
@@ -73,12 +89,24 @@ def sample_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
     return df.orderBy(h, F.col(key)).limit(limit)
 
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32_000_000
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row of df takes: 16 a value, and what strings, bytes and arrays hold."""
+    total = F.lit(16 * len(df.columns)).cast("long")
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+            total = total + 32 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return total
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows (of a few numbers each), else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most `most` bytes, else df for a shuffled join. df is read for this."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df)).alias("n")).first()["n"] or 0) <= most else df
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

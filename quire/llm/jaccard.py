@@ -1,29 +1,35 @@
 """N-gram Jaccard self join with PartEnum signatures.
 
 A document is the set of its word n-grams (case folded, letters and digits only), as 64-bit hashes. Equal sets
-form one class. Set sizes fall into bands such that similar sets lie in one band or in neighbouring ones; a set
-signs for its own band and the next. Of two sets in a pair of bands with Jaccard similarity t or more at most k
-elements differ, so if the domain is cut into (k + 1) / 2 parts some part has at most one difference, and if
+form one text class. Set sizes fall into bands such that similar sets lie in one band or in neighbouring ones; a
+set signs for its own band and the next. Of two sets in a pair of bands with Jaccard similarity t or more at most
+k elements differ, so if the domain is cut into (k + 1) / 2 parts some part has at most one difference, and if
 each part is cut in 4, leaving out the right quarter leaves equal rests. Each (band, part, quarter left out,
-rest) is one signature. Large sets need many parts, of which a similar pair agrees on a large share: only the
-first `parts` are signed. The chance that a pair just at the
-threshold has no part with at most one difference is about 0.6 ^ parts.
-
-A signature of fewer than `least` elements says little and is left out where a set has more parts than are signed.
-
-Classes that share a signature and whose sizes allow it are compared by a sketch first: the smallest hash in each of
-64 ranges, 4 bits of each; pairs whose sketches are 3.5 deviations below the threshold go. What is left is linked,
-links are closed into blocks, and blocks compared exactly through an inverted index, so that no pair of false
-similarity is reported and no candidate is cut off. Members of a class are never gathered in one row.
+rest) is one signature.
+
+With `parts=None` all parts are signed and no similar pair can be missed; a set then has about 3 signatures for
+each element. By default sets of up to `whole` parts (some 90 elements) are signed so. Larger ones have
+many parts of which a similar pair agrees on a steady share: they sign the first `parts` only, without signatures of
+fewer than 2 elements (3 above 64 parts), which say little. Elements fall into parts at random, so the chance that a
+pair exactly at the threshold has no common signature is at most 3e-5 for any sizes (0.61 ^ 21 or 0.75 ^ 40), and far
+less above the threshold or if both are linked to a third text; tests/llm measures it.
+
+Text classes that share a signature and whose sizes allow it are compared by a sketch first: the smallest hash in
+each of 64 ranges, 4 bits of each. Pairs that are 6 deviations below the threshold go (by Hoeffding's bound a similar
+pair does so with a chance of 2e-8). What is left is closed into blocks, and a block is compared exactly through
+inverted indexes. Only pairs of different texts are ever looked at; copies are never gathered. A signature of many
+classes is joined in salted shares, and a block of many classes or elements is cut into tiles, of which each pair is a
+task, so neither is one task's work, and no candidate is cut off. What leaves a tile is a line for each class.
 
 Defined results
-  null or empty text, text without words   in no pair
-  null doc_id                              in no pair
+  null or empty text, text without words   a class of its own without links
+  null doc_id                              in no pair, no row in classes, kept by keep_one
   fewer words than n                       the whole text is the one n-gram
-  equal sets                               similarity 1.0
+  equal sets                               one class, counted as copies, not as links
   repeated rows of one id                  one document: no pair of an id with itself
+  several texts of one id                  the smallest class of them; links are added up
   empty table                              an empty result
-  extra columns                            ignored by similar_pairs, kept by keep_one
+  extra columns                            ignored by classes and text_pairs, kept by keep_one
 """
 
 from __future__ import annotations
@@ -40,9 +46,12 @@ from pyspark.sql import types as T
 from quire.llm.common import column_type, drop_ids, ensure_checkpoint_dir, map_arrow, pick, small
 
 WORD = re.compile(r"[^\W_]+")
-CACHE = 1_000_000
+CACHE = 100_000
 QUARTERS = 4
 STEP = 4_000_000
+HOT = 2_000
+TILE = 2_000
+TILE_ELEMENTS = 4_000_000
 
 
 class _Hashes(dict):
@@ -99,32 +108,45 @@ class Bands:
         return int(2 * self.ends[level] * (1 - self.t) / (1 + self.t) + 1e-9)
 
 
-def signatures(feats: np.ndarray, bands: Bands, parts: int, least: int = 3) -> np.ndarray:
+def _cut(size: int, k: int, parts: int | None, whole: int) -> tuple[int, int, int]:
+    """Parts of the domain for sets of up to `size` elements of which k differ, how many are signed, and the fewest elements of a signature."""
+    n = (k + 2) // 2
+    if parts is None or n <= whole:
+        return n, n, 1
+    if n <= 64:
+        return n, min(n, parts), 2
+    n = size // 6
+    return n, min(n, parts), 3
+
+
+def signatures(feats: np.ndarray, bands: Bands, parts: int | None = 40, whole: int = 20) -> np.ndarray:
     """Distinct signatures as int64; feats must be sorted."""
     if not len(feats):
         return np.zeros(0, np.int64)
     own = bands.of(len(feats))
     out = []
-    mixed = None
+    mixed = np.zeros(0, np.uint64)
     for level in (own, own + 1):
         k = bands.differ(level)
         salt = np.uint64(level * 0x9E3779B97F4A7C15 % 2**64)
         if k == 0:
             out.append(mix(np.sum(mix(feats), dtype=np.uint64, keepdims=True) + salt))
             continue
-        n1 = (k + 2) // 2
-        used = min(parts, n1)
-        cells = ((feats >> np.uint64(32)) * np.uint64(n1 * QUARTERS)) >> np.uint64(32)
-        m = int(np.searchsorted(cells, used * QUARTERS))
-        cell = cells[:m].astype(np.int64)
-        mixed = mix(feats[:m]) if mixed is None or len(mixed) < m else mixed
-        sums = np.zeros(used * QUARTERS, np.uint64)
-        np.add.at(sums, cell, mixed[:m])
-        count = np.bincount(cell, minlength=used * QUARTERS).reshape(used, QUARTERS)
-        sums = sums.reshape(used, QUARTERS)
+        n, used, least = _cut(bands.ends[level], k, parts, whole)
+        edges = np.arange(used * QUARTERS + 1, dtype=np.uint64) * np.uint64(2**32 // (n * QUARTERS)) << np.uint64(32)
+        if used == n:
+            edges = edges[:-1]
+        at = np.searchsorted(feats, edges)
+        if used == n:
+            at = np.append(at, len(feats))
+        if len(mixed) < at[-1]:
+            mixed = mix(feats[: at[-1]])
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[: at[-1]])))[at]
+        sums = (total[1:] - total[:-1]).reshape(used, QUARTERS)
+        count = np.diff(at).reshape(used, QUARTERS)
         rest = sums.sum(1, dtype=np.uint64)[:, None] - sums
         place = np.arange(used * QUARTERS, dtype=np.uint64).reshape(used, QUARTERS) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(mix(mix(rest + salt) + place)[(count.sum(1)[:, None] - count) >= (least if n1 > used else 1)])
+        out.append(mix(mix(rest + salt) + place)[(count.sum(1)[:, None] - count) >= least])
     return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -154,56 +176,64 @@ def likely(a: str, b: str, threshold: float) -> Column:
     sides = [(F.col(f"{a}.s{k}"), F.col(f"{b}.s{k}")) for k in range(4)]
     used = sum(_filled(x.bitwiseOR(y)) for x, y in sides)
     unlike = sum(_filled(x.bitwiseXOR(y)) for x, y in sides)
-    least = used * threshold - 3.5 * F.sqrt(used * threshold * (1 - threshold)) - 0.5
+    least = used * threshold - 6 * F.sqrt(used * threshold * (1 - threshold)) - 0.5
     n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
     return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-6) & (used - unlike >= least)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Smallest member `b` of each member `a`'s component, for edges (a, b) with a > b: stars until nothing moves."""
+    """Smallest member `b` of each member `a`'s component, for edges (a, b) with a > b: stars until nothing moves.
+
+    The smallest neighbour comes from a pre-aggregated count by member and a join back, which adaptive execution can
+    split where one member has very many neighbours.
+    """
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = edges.distinct().checkpoint()
     before = None
-    while (now := state(edges)) != before:
+    while (now := state(edges))[0] and now != before:
         before = now
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = F.least("a", F.min("b").over(Window.partitionBy("a")))
-        large = both.withColumn("m", low).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = F.min("b").over(Window.partitionBy("a"))
-        small_star = large.withColumn("m", low)
-        edges = small_star.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where(F.col("a") > F.col("b")).distinct().checkpoint()
+        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().checkpoint()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        stars = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        edges = stars.select("e.a", "e.b").where(F.col("a") > F.col("b")).distinct().checkpoint()
     return edges
 
 
-def _compare(classes: list[np.ndarray], threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(i, js, similarities) with i < j for the pairs of classes of one block that reach the threshold."""
-    sizes = np.array([len(c) for c in classes])
-    whole = np.concatenate(classes)
-    owner = np.repeat(np.arange(len(classes)), sizes)
+def _compare(sets: list[np.ndarray], threshold: float, split: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, js, similarities) for the pairs i < j of sets that reach the threshold; with split, i before it and j from it on."""
+    sizes = np.array([len(c) for c in sets])
+    whole = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
     _, gram = np.unique(whole, return_inverse=True)
     order = np.argsort(gram, kind="stable")
     post, count = owner[order], np.bincount(gram)
     ends = np.cumsum(count)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    if split:
+        begin = ends - np.bincount(gram[sizes[:split].sum() :], minlength=len(count))
+    else:
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
     at = 0
-    for i, m in enumerate(sizes):
-        first, last = rank[at : at + m] + 1, ends[gram[at : at + m]]  # postings after this one: larger j
+    for i, m in enumerate(sizes[:split] if split else sizes):
+        own = gram[at : at + m]
+        first, last = begin[own] if split else rank[at : at + m] + 1, ends[own]
         at += m
         n = last - first
         total = int(n.sum())
         if not total:
             continue
-        shared = np.zeros(len(classes), np.int64)
+        shared = np.zeros(len(sets), np.int64)
         bounds = np.searchsorted(np.cumsum(n), np.arange(STEP, total + STEP, STEP)) + 1 if total > STEP else [len(n)]
         low = 0
         for high in bounds:
             f, k = first[low:high], n[low:high]
             where = np.arange(int(k.sum())) + np.repeat(f - np.concatenate(([0], np.cumsum(k)[:-1])), k)
-            shared += np.bincount(post[where], minlength=len(classes))
+            shared += np.bincount(post[where], minlength=len(sets))
             low = high
         js = np.flatnonzero(shared)
         sim = shared[js] / (m + sizes[js] - shared[js])
@@ -212,10 +242,26 @@ def _compare(classes: list[np.ndarray], threshold: float) -> Iterator[tuple[int,
             yield i, js[ok], sim[ok]
 
 
-def _signed(docs: DataFrame, n: int, threshold: float, parts: int, least: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members (key, doc_id), and the texts of linked classes (block, key, text)."""
+def _candidates(shared: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a > b of text classes that share a signature, by its size and sketch; hot signatures in salted shares."""
+
+    def pairs(x: DataFrame, y: DataFrame, on: tuple[str, ...]) -> DataFrame:
+        same = F.col("x.key") > F.col("y.key")
+        for c in on:
+            same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+        return x.alias("x").join(y.alias("y"), same).where(likely("x", "y", threshold)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+    cold, hot = shared.where(F.col("n") <= HOT), shared.where(F.col("n") > HOT)
+    shares = F.ceil(F.col("n") / HOT)
+    one = hot.withColumn("share", F.pmod(F.xxhash64("key"), shares))
+    every = hot.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+    return pairs(cold, cold, ("sig",)).unionAll(pairs(one, every, ("sig", "share")))
+
+
+def _signed(docs: DataFrame, n: int, threshold: float, parts: int | None, whole: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Members (key, doc_id), key null without words, and tiles: the texts of the classes to compare (block, low, high, side, key, text)."""
     ensure_checkpoint_dir(docs.sparkSession)
-    texts = pick(docs, doc_id=id_col, text=text_col).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    texts = pick(docs, doc_id=id_col, text=text_col).where(F.col("doc_id").isNotNull())
     long = [T.StructField(f"s{k}", T.LongType()) for k in range(4)]
     schema = T.StructType([T.StructField("doc_id", column_type(texts, "doc_id")), T.StructField("key", T.LongType()), T.StructField("size", T.IntegerType()), *long, T.StructField("sigs", T.ArrayType(T.LongType()))])
 
@@ -225,79 +271,87 @@ def _signed(docs: DataFrame, n: int, threshold: float, parts: int, least: int, i
             rows = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 f = features(text, n)
-                if len(f):
-                    rows.append((doc, class_key(f), len(f), *sketch(f), signatures(f, bands, parts, least)))
+                rows.append((doc, class_key(f), len(f), *sketch(f), signatures(f, bands, parts, whole)) if len(f) else (doc, None, 0, 0, 0, 0, 0, None))
             if rows:
                 yield dict(zip(schema.names, zip(*rows)))
 
-    signed = map_arrow(texts, sign, schema).checkpoint()
-    classes = signed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), *(F.first(f"s{k}").alias(f"s{k}") for k in range(4)))
-    one = signed.join(classes.select("key", "doc_id"), ["key", "doc_id"]).select("key", F.explode("sigs").alias("sig"))
-    shared = one.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1").drop("n")
-    shared = shared.join(classes.drop("doc_id"), "key").checkpoint()
-    links = shared.alias("x").join(shared.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") > F.col("y.key"))).where(likely("x", "y", threshold)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    found = components(links)
+    signed = map_arrow(texts, sign, schema).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    info = [F.first(c).alias(c) for c in ("size", *(f.name for f in long))]
+    classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "row")).alias("rep"), *info).select("key", "rep.*", "size", *(f.name for f in long))
+    shared = signed.drop("key").join(small(classes.select("key", "row")), "row").select("key", F.explode("sigs").alias("sig"))
+    shared = shared.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).where("n > 1")
+    shared = shared.join(classes.drop("doc_id", "row"), "key").checkpoint()
+    found = components(_candidates(shared, threshold))
     block = found.select(F.col("a").alias("key"), F.col("b").alias("block")).unionAll(found.select(F.col("b").alias("key"), F.col("b").alias("block")).distinct())
-    own = classes.select("key", "doc_id").join(block, "key").checkpoint()
-    return signed.select("key", "doc_id").distinct(), texts.join(small(own), "doc_id").select("block", "key", "text")
+    own = classes.select("key", "doc_id", "size").join(block, "key").checkpoint()
+    cuts = own.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_ELEMENTS)).alias("tiles"))
+    own = own.drop("size").join(small(cuts), "block")
+    tile = F.pmod(F.xxhash64("key"), F.col("tiles"))
+    own = own.withColumn("side", tile).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    own = own.select("block", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "key", "doc_id")
+    return signed.select("key", "doc_id").distinct(), texts.join(small(own), "doc_id").select("block", "low", "high", "side", "key", "text")
 
 
-def _by_block(linked: DataFrame, n: int, fn, schema: T.StructType) -> DataFrame:
-    """fn(classes) for each block; a class is (key, features)."""
-    spread = linked.repartition("block").sortWithinPartitions("block", "key")
+def _by_tile(linked: DataFrame, n: int, fn, schema: T.StructType) -> DataFrame:
+    """fn(keys, sets, split) for each pair of tiles; split is 0 where both are one tile."""
+    spread = linked.repartition("block", "low", "high").sortWithinPartitions("block", "low", "high", "side", "key")
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        now, classes = None, {}
+        now, sides, sets = None, {}, {}
+
+        def done() -> Iterator[dict]:
+            if len(sets) > 1:
+                split = sum(s == now[1] for s in sides.values()) if now[1] != now[2] else 0
+                if split < len(sets) and (split or now[1] == now[2]):
+                    yield from fn(list(sets), list(sets.values()), split)
+
         for b in batches:
-            for block, key, text in zip(b["block"], b["key"], b["text"]):
-                if block != now:
-                    if len(classes) > 1:
-                        yield from fn(list(classes.items()))
-                    now, classes = block, {}
-                if key not in classes:
+            for block, low, high, side, key, text in zip(*(b[c] for c in ("block", "low", "high", "side", "key", "text"))):
+                if (block, low, high) != now:
+                    yield from done()
+                    now, sides, sets = (block, low, high), {}, {}
+                if key not in sets:
                     f = features(text, n)
-                    if class_key(f) == key:  # another text may bear the same id
-                        classes[key] = f
-        if len(classes) > 1:
-            yield from fn(list(classes.items()))
+                    if len(f) and class_key(f) == key:  # another text may bear the same id
+                        sets[key], sides[key] = f, side
+        yield from done()
 
     return map_arrow(spread, run, schema)
 
 
-def similar_pairs(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int = 16, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id_a < doc_id_b and jaccard for all pairs of documents of similarity `threshold` or more."""
-    members, linked = _signed(docs, n, threshold, parts, least, id_col, text_col)
+def text_pairs(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int | None = 40, whole: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rep_a < rep_b and jaccard for all pairs of different texts of similarity `threshold` or more, each text told by its smallest doc_id."""
+    members, linked = _signed(docs, n, threshold, parts, whole, id_col, text_col)
     schema = T.StructType([T.StructField("key_a", T.LongType()), T.StructField("key_b", T.LongType()), T.StructField("jaccard", T.DoubleType())])
 
-    def pairs(classes: list[tuple]) -> Iterator[dict]:
-        keys = np.array([c[0] for c in classes], np.int64)
-        a: list = []
-        b: list = []
-        s: list = []
-        for i, js, sim in _compare([c[1] for c in classes], threshold):
-            a.append(np.full(len(js), keys[i]))
-            b.append(keys[js])
-            s.append(sim)
-            if len(a) > 2000:
-                yield {"key_a": np.concatenate(a), "key_b": np.concatenate(b), "jaccard": np.concatenate(s)}
-                a, b, s = [], [], []
-        if a:
-            yield {"key_a": np.concatenate(a), "key_b": np.concatenate(b), "jaccard": np.concatenate(s)}
-
-    one, two = members.toDF("key_a", "p"), members.toDF("key_b", "q")
-    near = _by_block(linked, n, pairs, schema).join(one, "key_a").join(two, "key_b").where(F.col("p") != F.col("q"))
-    same = one.join(two, (F.col("key_a") == F.col("key_b")) & (F.col("p") < F.col("q"))).withColumn("jaccard", F.lit(1.0))
-    both = same.select("p", "q", "jaccard").unionAll(near.select("p", "q", "jaccard"))
-    return both.select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"), "jaccard")
-
-
-def groups(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int = 16, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and keep_id, the smallest id of its group, for documents linked by chains of similar pairs."""
-    members, linked = _signed(docs, n, threshold, parts, least, id_col, text_col)
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("group", T.LongType())])
-
-    def group(classes: list[tuple]) -> Iterator[dict]:
-        up = list(range(len(classes)))
+    def pairs(keys: list, sets: list[np.ndarray], split: int) -> Iterator[dict]:
+        names = np.array(keys, np.int64)
+        held: list[tuple] = []
+        for i, js, sim in _compare(sets, threshold, split):
+            held.append((np.full(len(js), names[i]), names[js], sim))
+            if len(held) > 2000:
+                yield dict(zip(schema.names, map(np.concatenate, zip(*held))))
+                held = []
+        if held:
+            yield dict(zip(schema.names, map(np.concatenate, zip(*held))))
+
+    reps = members.groupBy("key").agg(F.min("doc_id").alias("rep"))
+    near = _by_tile(linked, n, pairs, schema).join(reps.toDF("key_a", "p"), "key_a").join(reps.toDF("key_b", "q"), "key_b").where(F.col("p") != F.col("q"))
+    return near.select(F.least("p", "q").alias("rep_a"), F.greatest("p", "q").alias("rep_b"), "jaccard")
+
+
+def classes(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int | None = 40, whole: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, links and copies, one row for each document id.
+
+    class_id is the smallest id of all documents that chains of similar pairs link to this one, itself included;
+    links counts the different texts of similarity `threshold` or more, copies the other documents of an equal set.
+    """
+    members, linked = _signed(docs, n, threshold, parts, whole, id_col, text_col)
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("root", T.LongType()), T.StructField("links", T.LongType())])
+
+    def link(keys: list, sets: list[np.ndarray], split: int) -> Iterator[dict]:
+        up = list(range(len(keys)))
+        links = np.zeros(len(keys), np.int64)
 
         def root(i: int) -> int:
             while up[i] != i:
@@ -305,21 +359,31 @@ def groups(docs: DataFrame, *, n: int = 2, threshold: float = 0.65, parts: int =
                 i = up[i]
             return i
 
-        for i, js, _ in _compare([c[1] for c in classes], threshold):
+        for i, js, _ in _compare(sets, threshold, split):
+            links[i] += len(js)
+            links[js] += 1
             for j in js.tolist():
                 a, b = root(i), root(j)
                 if a != b:
-                    up[max(a, b)] = min(a, b)
-        yield {"key": [c[0] for c in classes], "group": [classes[root(i)][0] for i in range(len(classes))]}
-
-    found = _by_block(linked, n, group, schema)
-    least_id = members.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).join(found, "key", "left").withColumn("group", F.coalesce("group", "key")).checkpoint()
-    keep = least_id.groupBy("group").agg(F.min("low").alias("keep_id"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    named = least_id.select("key", "group").join(keep, "group").select("key", "keep_id")
-    return members.join(named, "key").groupBy("doc_id").agg(F.min("keep_id").alias("keep_id"))
+                    if keys[a] < keys[b]:
+                        a, b = b, a
+                    up[a] = b
+        yield {"key": keys, "root": [keys[root(i)] for i in range(len(keys))], "links": links}
+
+    tiles = _by_tile(linked, n, link, schema).checkpoint()
+    found = components(tiles.where("key > root").select(F.col("key").alias("a"), F.col("root").alias("b")))
+    links = tiles.groupBy("key").agg(F.sum("links").alias("links"))
+    per = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low"), (F.count("*") - 1).alias("copies"))
+    per = per.join(links, "key", "left").join(found.select(F.col("a").alias("key"), F.col("b").alias("root")), "key", "left")
+    per = per.withColumn("root", F.coalesce("root", "key")).checkpoint()
+    lowest = per.groupBy("root").agg(F.min("low").alias("class_id"))
+    named = per.join(lowest, "root").select("key", "class_id", "links", "copies")
+    all_of = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    told = members.join(named, "key", "left").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), all_of("links"), all_of("copies"))
+    return told.withColumn("class_id", F.coalesce("class_id", "doc_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without all but the smallest id of each group; all columns are kept."""
-    found = groups(docs, id_col=id_col, **options)
-    return drop_ids(docs, found.where(F.col("doc_id") > F.col("keep_id")).select("doc_id"), id_col)
+    """docs without all but the smallest id of each class; all columns are kept."""
+    found = classes(docs, id_col=id_col, **options)
+    return drop_ids(docs, found.where(F.col("doc_id") > F.col("class_id")).select("doc_id"), id_col)

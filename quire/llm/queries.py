@@ -32,18 +32,28 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
+    return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
 OP5_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
-s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT p.a AS doc_id_a, p.b AS doc_id_b, p.n / (x.n + y.n - p.n) AS jaccard
-FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b
-WHERE p.n / (x.n + y.n - p.n) >= 0.65
+t AS (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS grams FROM g GROUP BY doc_id),
+m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY grams) AS rep, count(*) OVER (PARTITION BY grams) - 1 AS copies FROM t),
+h AS (SELECT g.* FROM g JOIN m ON m.doc_id = g.doc_id AND m.rep = m.doc_id),
+s AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE p.n / (x.n + y.n - p.n) >= 0.65),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS rep, min(b) AS class_id FROM r GROUP BY 1),
+k AS (SELECT a AS rep, count(*) AS links FROM e GROUP BY 1)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(k.links, 0) AS links, coalesce(m.copies, 0) AS copies
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d
+LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN c ON c.rep = m.rep LEFT JOIN k ON k.rep = m.rep
 """
 
 
