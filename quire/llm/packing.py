@@ -1,16 +1,18 @@
 """Bounded-space online packing of documents into token windows.
 
-Documents are tokenised where they lie; only (id, length) is shuffled. Each bucket of documents is packed in id
-order with at most `open_windows` windows open: a piece goes to the window it leaves the least room in (the
-oldest on a tie); if none fits and no more may be opened, the fullest is emitted. A full window is emitted at
-once. What stays open in each run of `merge_buckets` buckets is merged, fullest first, by the same rule.
+Documents are tokenised where they lie; only (id, length) is shuffled. Each bucket of documents (by hash of id and
+length, so that no id or null ids fill one) is packed in id order with at most `open_windows` windows open: a piece
+goes to the window it leaves the least room in (the oldest on a tie); if none fits and no more may be opened, the
+fullest is emitted. A full window is emitted at once. Windows that are done stay where they were made; only what is
+still open at the end of a bucket, `open_windows` windows at most, is shuffled: that of each run of `merge_buckets`
+buckets is merged, fullest first, by the same rule.
 A document ends with one separator token; one longer than the window is cut into whole windows and a rest.
 
 Defined results
   null or empty text, text of no tokens   not packed
-  null doc_id                             packed, after the others of bucket 0
+  null doc_id                             packed, after the others of its bucket
   repeated rows                           each is packed
-  ties                                    the order is (bucket, doc_id, length)
+  ties                                    the order is (bucket, doc_id, length); equal ones are the same piece
   empty table                             an empty result
   extra columns                           ignored, whatever their names
 """
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import column_type, map_arrow, pick
+from quire.llm.common import column_type, ensure_checkpoint_dir, map_arrow, pick
 
 _ENCODERS: dict[str, object] = {}
 
@@ -93,15 +95,14 @@ def cut(doc, n: int, window: int) -> list[tuple]:
     return [(doc, s, min(n, s + window)) for s in range(0, n, window)]
 
 
-def pack_windows(docs: DataFrame, *, window: int = 2048, open_windows: int = 16, tokenizer: str | None = None, rows_per_bucket: int = 20_000, merge_buckets: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_windows(docs: DataFrame, *, window: int = 2048, open_windows: int = 16, tokenizer: str | None = None, rows_per_bucket: int = 20_000, merge_buckets: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """window_id, used, pieces: array of (doc_id, start, end) token ranges, in the order they are laid out."""
     counts = token_counts(docs, tokenizer, id_col, text_col)
     buckets = max(1, math.ceil(docs.count() / rows_per_bucket))
     kind = column_type(counts, "doc_id")
     piece = T.ArrayType(T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("used", T.LongType()), T.StructField("done", T.BooleanType()), T.StructField("pieces", piece)])
-    bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    spread = counts.withColumn("bucket", bucket.cast("long")).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "n")
+    spread = counts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "n"), F.lit(buckets)).cast("long")).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "n")
 
     def rows(bucket: int, found: list[tuple[list, bool]], seq: int) -> dict:
         return {"bucket": [bucket] * len(found), "seq": list(range(seq, seq + len(found))), "used": [w[0] for w, _ in found], "done": [d for _, d in found], "pieces": [[dict(zip(("doc_id", "start", "end"), p)) for p in w[1]] for w, _ in found]}
@@ -123,26 +124,28 @@ def pack_windows(docs: DataFrame, *, window: int = 2048, open_windows: int = 16,
 
     def last(batches: Iterator[dict]) -> Iterator[dict]:
         now, packer, seq = None, None, 0
+
+        def told(found: list[list]) -> dict:
+            return {"bucket": [-1 - now] * len(found), "seq": list(range(seq, seq + len(found))), "used": [w[0] for w in found], "done": [True] * len(found), "pieces": [w[1] for w in found]}
+
         for b in batches:
-            for g, used, done, pieces, bk, sq in zip(b["group"], b["used"], b["done"], b["pieces"], b["bucket"], b["seq"]):
-                if done:
-                    yield {"bucket": [bk], "seq": [sq], "used": [used], "done": [True], "pieces": [pieces]}
-                    continue
+            for g, used, pieces in zip(b["group"], b["used"], b["pieces"]):
                 if g != now:
                     if packer is not None:
-                        yield {"bucket": [-1 - now] * len(packer.open), "seq": list(range(seq, seq + len(packer.open))), "used": [w[0] for w in packer.open], "done": [True] * len(packer.open), "pieces": [w[1] for w in packer.open]}
+                        yield told(packer.rest())
                     now, packer, seq = g, Packer(window, open_windows), 0
                 out = packer.add(used, pieces)
                 if out:
-                    yield {"bucket": [-1 - now] * len(out), "seq": list(range(seq, seq + len(out))), "used": [w[0] for w in out], "done": [True] * len(out), "pieces": [w[1] for w in out]}
+                    yield told(out)
                     seq += len(out)
         if packer is not None:
-            yield {"bucket": [-1 - now] * len(packer.open), "seq": list(range(seq, seq + len(packer.open))), "used": [w[0] for w in packer.open], "done": [True] * len(packer.open), "pieces": [w[1] for w in packer.open]}
+            yield told(packer.rest())
 
-    packed = map_arrow(spread, _batched(first), schema)
+    ensure_checkpoint_dir(docs.sparkSession)
+    packed = map_arrow(spread, _batched(first), schema).checkpoint()
+    left = packed.where("NOT done").withColumn("group", F.floor(F.col("bucket") / merge_buckets).cast("long"))
     groups = math.ceil(buckets / merge_buckets)
-    grouped = packed.withColumn("group", F.floor(F.col("bucket") / merge_buckets).cast("long"))
-    merged = map_arrow(grouped.repartition(groups, "group").sortWithinPartitions("group", "done", F.desc("used"), "bucket", "seq"), _batched(last), schema)
+    merged = packed.where("done").unionAll(map_arrow(left.repartition(groups, "group").sortWithinPartitions("group", F.desc("used"), "bucket", "seq"), _batched(last), schema))
     name = F.when(F.col("bucket") < 0, F.concat(F.lit("m"), (-1 - F.col("bucket")).cast("string"), F.lit("-"), F.col("seq").cast("string"))).otherwise(F.concat(F.lit("b"), F.col("bucket").cast("string"), F.lit("-"), F.col("seq").cast("string")))
     return merged.select(name.alias("window_id"), "used", "pieces")
 
