@@ -2,10 +2,11 @@
 
 A gear hash rolls over the UTF-8 bytes: h = 2 h + gear[byte], of which the lowest 16 bits are used, so that it
 depends on the last 16 bytes only. A chunk ends where the top `bits` of those are zero, but not within `least`
-bytes of its start nor inside a character; it is cut at `most` bytes anyway. An insertion therefore moves the
-chunk ends next to it only. Chunks are compared by a 64-bit digest. Of equal chunks the one in the smallest
-doc_id, and there the first, stays; a run of neighbouring chunks that all have an earlier copy is removed if it
-is at least `min_run` characters long, so that short phrases shared by chance are left alone.
+bytes of its start nor inside a character; where none such comes within `most` bytes it ends at their smallest hash,
+so that this place too goes with the content. An insertion therefore moves the chunk ends next to it only. Chunks are
+compared by a 128-bit digest (at 10^12 chunks two different ones are equal with a chance of 2e-15). Of equal chunks
+the one in the smallest doc_id, and there the first, stays; a run of neighbouring chunks that all have an earlier
+copy is removed if it is at least `min_run` characters long, so that short phrases shared by chance are left alone.
 
 Digests are first counted with partial aggregation, so a chunk that millions of documents share costs one row
 for each map task; only rows of repeated digests are joined back, and skew there is left to adaptive execution.
@@ -54,31 +55,21 @@ def cuts(raw: np.ndarray, bits: int, least: int, most: int) -> list[int]:
     head = np.empty(n + 1, bool)  # a character starts here
     head[:n] = (raw & 0xC0) != 0x80
     head[n] = True
-    ends = np.flatnonzero((gear(raw) >> np.uint16(16 - bits) == 0) & head[1:]) + 1
+    h = gear(raw)
+    ends = np.flatnonzero((h >> np.uint16(16 - bits) == 0) & head[1:]) + 1
     out, start = [], 0
-    for e in ends.tolist():
+    for e in ends.tolist() + [n]:
         while e - start > most:
-            cut = start + most
-            while not head[cut]:
-                cut -= 1
-            out.append(cut)
-            start = cut
-        if e - start >= least:
+            start += least + int(np.argmin(np.where(head[start + least : start + most + 1], h[start + least - 1 : start + most], 0xFFFF)))
+            out.append(start)
+        if e - start >= least or (e == n and start < n):
             out.append(e)
             start = e
-    while n - start > most:
-        cut = start + most
-        while not head[cut]:
-            cut -= 1
-        out.append(cut)
-        start = cut
-    if start < n:
-        out.append(n)
     return out
 
 
-def chunk(text: str, bits: int, least: int, most: int) -> list[tuple[int, int, int]]:
-    """(digest, first, last + 1 character) of each chunk."""
+def chunk(text: str, bits: int, least: int, most: int) -> list[tuple[tuple[int, int], int, int]]:
+    """(digest as two numbers, first, last + 1 character) of each chunk."""
     raw = text.encode("utf-8", "surrogatepass")
     b = np.frombuffer(raw, np.uint8)
     ends = cuts(b, bits, least, most)
@@ -88,12 +79,9 @@ def chunk(text: str, bits: int, least: int, most: int) -> list[tuple[int, int, i
         at = ends
     else:
         at = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))[ends].tolist()
-    out, s, c = [], 0, 0
-    for e, x in zip(ends, at):
-        d = xxhash.xxh3_64_intdigest(raw[s:e])
-        out.append((d - (1 << 64) if d >> 63 else d, c, x))
-        s, c = e, x
-    return out
+    digest = xxhash.xxh3_128_digest
+    told = np.frombuffer(b"".join([digest(raw[s:e]) for s, e in zip([0] + ends, ends)]), ">i8").tolist()
+    return list(zip(zip(told[::2], told[1::2]), [0] + at, at))
 
 
 def dedup_spans(docs: DataFrame, *, bits: int = 5, least: int = 24, most: int = 512, min_run: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,21 +94,22 @@ def dedup_spans(docs: DataFrame, *, bits: int = 5, least: int = 24, most: int =
         for b in batches:
             ids, found, count = [], [], []
             for doc, text in zip(b["doc_id"], b["text"]):
-                own: dict[int, int] = {}
+                own: dict[tuple, int] = {}
                 for d, _, _ in chunk(text, bits, least, most):
                     own[d] = own.get(d, 0) + 1
                 ids += [doc] * len(own)
                 found += own.keys()
                 count += own.values()
-            yield {"digest": found, "doc_id": ids, "n": count}
+            yield {"d1": [d[0] for d in found], "d2": [d[1] for d in found], "doc_id": ids, "n": count}
 
     def places(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("digest", "doc_id", "part", "start", "end", "again")}
+            out: dict[str, list] = {c: [] for c in ("d1", "d2", "doc_id", "part", "start", "end", "again")}
             for doc, part, text in zip(b["doc_id"], b["part"], b["text"]):
-                own: set[int] = set()
+                own: set[tuple] = set()
                 for d, s, e in chunk(text, bits, least, most):
-                    out["digest"].append(d)
+                    out["d1"].append(d[0])
+                    out["d2"].append(d[1])
                     out["doc_id"].append(doc)
                     out["part"].append(part)
                     out["start"].append(s)
@@ -129,11 +118,11 @@ def dedup_spans(docs: DataFrame, *, bits: int = 5, least: int = 24, most: int =
                     own.add(d)
             yield out
 
-    digest = T.StructField("digest", T.LongType())
-    counted = map_arrow(texts.drop("part"), digests, T.StructType([digest, who[0], T.StructField("n", T.IntegerType())]))
-    first = counted.groupBy("digest").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
-    rows = map_arrow(texts, places, T.StructType([digest, *who, T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("again", T.BooleanType())]))
-    later = rows.join(first, "digest").where(F.col("again") | (F.col("doc_id") > F.col("first_id")))
+    digest = [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
+    counted = map_arrow(texts.drop("part"), digests, T.StructType([*digest, who[0], T.StructField("n", T.IntegerType())]))
+    first = counted.groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
+    rows = map_arrow(texts, places, T.StructType([*digest, *who, T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("again", T.BooleanType())]))
+    later = rows.join(first, ["d1", "d2"]).where(F.col("again") | (F.col("doc_id") > F.col("first_id")))
     w = Window.partitionBy("doc_id", "part").orderBy("start")
     runs = later.select("doc_id", "part", "start", "end").withColumn("new", (F.col("start") > F.coalesce(F.lag("end").over(w), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(w)).groupBy("doc_id", "part", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") >= min_run)
     return runs.groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
