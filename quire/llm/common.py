@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -84,11 +84,46 @@ def sample_by_hash(df: DataFrame, key: str, limit: int) -> DataFrame:
     Rows are counted first, so that only about `limit` of them are sorted, however many there are.
     """
     h, n = F.xxhash64(F.col(key)), df.count()
-    if n > 2 * limit:
+    if n > 1.5 * limit + 100:
         df = df.where(h < int(-(2**63) + 2**64 * (1.5 * limit + 100) / n))
     return df.orderBy(h, F.col(key)).limit(limit)
 
 
+def sample_each_by_hash(df: DataFrame, key: str, kind: str, limit: int) -> DataFrame:
+    """At most `limit` rows of each value of `kind`, of the smallest key hashes: the same rows at every run, whatever the partitioning.
+
+    Rows are counted by kind first, so that only about `limit` of each are ranked, however many there are.
+    """
+    h = F.xxhash64(F.col(key))
+    n = df.groupBy(kind).agg(F.count("*").alias("__n")).withColumnRenamed(kind, "__kind")
+    near = df.join(small(n), F.col(kind) == F.col("__kind")).where(h < -(2.0**63) + 2.0**64 * (1.5 * limit + 100) / F.col("__n"))
+    w = Window.partitionBy(kind).orderBy(h, key)
+    return near.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n", "__kind")
+
+
+def labelled_texts(docs: DataFrame, marks: DataFrame, limits: dict[int, int], most_chars: int) -> list[tuple[int, str]]:
+    """(label, text) of a bounded sample, in an order by id hash: whole texts, of at most limits[label] ids a label and `most_chars` characters in all.
+
+    docs has doc_id and text, marks doc_id and label. Lengths come first, so that texts beyond the bound are never sent.
+    """
+    few = None
+    for label, limit in limits.items():
+        part = sample_by_hash(marks.where(F.col("label") == label), "doc_id", limit)
+        few = part if few is None else few.unionAll(part)
+    rows = docs.where(F.length("text") > 0).join(F.broadcast(few), "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    most = 4 * sum(limits.values())
+    chars, last, whole = 0, None, True
+    for r in rows.select("h", F.length("text").alias("n")).orderBy("h").limit(most).collect():
+        chars += r["n"]
+        if chars > most_chars:
+            whole = False
+            break
+        last = r["h"]
+    if not whole:
+        rows = rows.where(F.col("h") <= last) if last is not None else rows.limit(0)
+    return [(r["label"], r["text"]) for r in rows.orderBy("h", "doc_id", "text").select("label", "text").limit(most).collect()]
+
+
 BROADCAST_BYTES = 32_000_000
 
 
