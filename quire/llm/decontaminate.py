@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import column_type, map_arrow, pick
+from quire.llm.common import column_type, map_arrow, pick, pieces
 
 
 class _Fold(dict):
@@ -186,7 +186,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words:
         def keep(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             found, sizes = model.value
             auto = _automaton(found) if found else None
-            for b in batches:
+            for b in (p for batch in batches for p in pieces(batch)):
                 yield b if auto is None else b.filter(pa.array([next(auto.iter(" " + " ".join(words(t)) + " "), None) is None if t else True for t in b.column(place).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)

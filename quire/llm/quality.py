@@ -1,8 +1,10 @@
 """Quality by compression: a zstandard dictionary of good text against one of bad text.
 
-A text is compressed with either dictionary; the difference of the compressed sizes over the size of the text is
-its raw score, positive for good text, and a logistic curve fitted on labelled documents that the dictionaries
-have not seen turns it into the probability that the document is good.
+A text is cut into even pieces of about PIECE bytes, which are compressed each by itself with either dictionary, so
+that every part of a long text has the dictionaries' help; the difference of the compressed sizes over the size of
+the text is its raw score, positive for good text. A logistic curve, fitted on labelled documents that the dictionaries
+have not seen, turns it into the probability that the document is good; as the score of less than one piece
+says less, the curve has the logarithm of the length below one piece and its product with the score besides.
 
 Defined results
   null or empty text   score 0.0 and the calibrated probability of 0.0
@@ -18,18 +20,31 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import column_type, map_arrow, pick, sample_by_hash
+from quire.llm.common import column_type, labelled_texts, map_arrow, pick, pieces
+
+
+PIECE = 500
+
+
+def parts_of(raw: bytes) -> list[bytes]:
+    """Even pieces of about PIECE bytes."""
+    n = max(1, round(len(raw) / PIECE))
+    ends = [len(raw) * i // n for i in range(n + 1)]
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
 
 
 class Model:
-    def __init__(self, good: bytes, bad: bytes, level: int, slope: float, offset: float):
-        self.good, self.bad, self.level, self.slope, self.offset = good, bad, level, slope, offset
+    """curve: weights of the score, of 1, of the score times the log length below one piece, and of that length."""
+
+    def __init__(self, good: bytes, bad: bytes, level: int, curve: list[float]):
+        self.good, self.bad, self.level, self.curve = good, bad, level, curve
         self._pair: tuple | None = None
 
     def __getstate__(self):
@@ -50,68 +65,65 @@ class Model:
             return 0.0
         raw = text.encode("utf-8", "replace")
         good, bad = self.pair()
-        return (len(bad.compress(raw)) - len(good.compress(raw))) / len(raw)
+        return sum(len(bad.compress(p)) - len(good.compress(p)) for p in parts_of(raw)) / len(raw)
+
+    def judge(self, text: str | None) -> tuple[float, float]:
+        """Score and probability of a text."""
+        s = self.score(text)
+        x = sum(c * v for c, v in zip(self.curve, terms(s, text)))
+        return s, 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
 
-    def probability(self, score: float) -> float:
-        x = max(-500.0, min(500.0, self.slope * score + self.offset))
-        return 1 / (1 + math.exp(-x))
+
+def terms(score: float, text: str | None) -> list[float]:
+    n = len((text or "").encode("utf-8", "replace"))
+    short = math.log(min(n, PIECE) / PIECE) if n else 0.0
+    return [score, 1.0, score * short, short]
 
 
 def dictionary(texts: list[str], size: int) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train on."""
-    raw = [t.encode("utf-8", "replace") for t in texts]
+    """A dictionary trained on the pieces of the texts, or the texts themselves where there are too few to train on."""
+    raw = [p for t in texts for p in parts_of(t.encode("utf-8", "replace"))]
     try:
         return zstandard.train_dictionary(size, raw).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(raw)[-size:] + b" " * 8
 
 
-def calibrate(scores: list[float], labels: list[int], rounds: int = 100) -> tuple[float, float]:
-    """Logistic fit by Newton steps on smoothed targets."""
-    pos, neg = sum(labels), len(labels) - sum(labels)
-    target = [(pos + 1) / (pos + 2) if y else 1 / (neg + 2) for y in labels]
-    mean = sum(scores) / len(scores)
-    scale = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)) or 1.0
-    xs = [(s - mean) / scale for s in scores]
-    a, b = 0.0, math.log((pos + 1) / (neg + 1))
+def calibrate(rows: np.ndarray, labels: np.ndarray, rounds: int = 100) -> list[float]:
+    """Weights of a logistic fit by Newton steps on smoothed targets, with a slight pull to 0."""
+    pos, neg = int(labels.sum()), int(len(labels) - labels.sum())
+    target = np.where(labels > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    scale = np.sqrt((rows**2).mean(0)) + 1e-12
+    x, w = rows / scale, np.zeros(rows.shape[1])
     for _ in range(rounds):
-        ga = gb = haa = hab = hbb = 0.0
-        for x, t in zip(xs, target):
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, a * x + b))))
-            w = p * (1 - p)
-            ga, gb = ga + (t - p) * x, gb + (t - p)
-            haa, hab, hbb = haa + w * x * x, hab + w * x, hbb + w
-        haa, hbb = haa + 1e-3, hbb + 1e-3
-        det = haa * hbb - hab * hab
-        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        step = min(1.0, 2.0 / max(abs(da), abs(db), 1e-12))
-        a, b = a + step * da, b + step * db
-        if abs(da) + abs(db) < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (target - p) - 1e-2 * w)
+        w += np.clip(step, -2, 2)
+        if np.abs(step).sum() < 1e-9:
             break
-    return a / scale, b - a * mean / scale
+    return (w / scale).tolist()
 
 
 def train(rows: list[tuple[int, str]], *, size: int = 65_536, level: int = 3, odds: float | None = None) -> Model:
     """rows: (1 good or 0 bad, text). Even rows of either kind train the dictionaries, odd ones the curve, which is then moved to `odds`, good against bad in all labels."""
     kinds = {q: [t for y, t in rows if y == q and t] for q in (0, 1)}
     if min(map(len, kinds.values())) < 2:
-        return Model(b"", b"", level, 0.0, 0.0)
-    model = Model(dictionary(kinds[1][::2], size), dictionary(kinds[0][::2], size), level, 1.0, 0.0)
+        return Model(b"", b"", level, [0.0] * 4)
+    model = Model(dictionary(kinds[1][::2], size), dictionary(kinds[0][::2], size), level, [0.0] * 4)
     held = [(q, t) for q in (0, 1) for t in kinds[q][1::2]]
-    model.slope, model.offset = calibrate([model.score(t) for _, t in held], [q for q, _ in held])
+    y = np.array([q for q, _ in held])
+    model.curve = calibrate(np.array([terms(model.score(t), t) for _, t in held]), y)
     if odds:
-        model.offset += math.log(odds * sum(q == 0 for q, _ in held) / sum(q for q, _ in held))
+        model.curve[1] += math.log(odds * (y == 0).sum() / y.sum())
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_per_class: int = 1500, max_train_chars: int = 20_000, **options) -> Model:
-    """Trains on at most `max_per_class` labelled documents of either kind, of at most `max_train_chars` characters; the odds are those of all labels."""
-    marks = pick(labels, doc_id=id_col, quality=label_col).where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    few = sample_by_hash(marks.where("quality = 0"), "doc_id", max_per_class).unionAll(sample_by_hash(marks.where("quality = 1"), "doc_id", max_per_class))
-    texts = pick(docs, doc_id=id_col, text=text_col).where(F.length("text").between(1, max_train_chars))
-    rows = texts.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("quality", "text").limit(4 * max_per_class).collect()
-    n = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
-    return train([(r["quality"], r["text"]) for r in rows], odds=n.get(1, 0) / n[0] if n.get(0) else None, **options)
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_per_class: int = 1500, max_train_chars: int = 30_000_000, **options) -> Model:
+    """Trains on whole texts of at most `max_per_class` labelled documents of either kind, of `max_train_chars` characters in all; the odds are those of all labels."""
+    marks = pick(labels, doc_id=id_col, label=label_col).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    rows = labelled_texts(pick(docs, doc_id=id_col, text=text_col), marks, {0: max_per_class, 1: max_per_class}, max_train_chars)
+    n = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
+    return train(rows, odds=n.get(1, 0) / n[0] if n.get(0) else None, **options)
 
 
 def classify(docs: DataFrame, model: Model, *, keep_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,9 +135,8 @@ def classify(docs: DataFrame, model: Model, *, keep_from: float = 0.5, id_col: s
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         m = shared.value
         for b in batches:
-            s = [m.score(t) for t in b["text"]]
-            p = [m.probability(x) for x in s]
-            yield {"doc_id": b["doc_id"], "score": s, "p_good": p, "keep": [x >= keep_from for x in p]}
+            told = [m.judge(t) for t in b["text"]]
+            yield {"doc_id": b["doc_id"], "score": [s for s, _ in told], "p_good": [p for _, p in told], "keep": [p >= keep_from for _, p in told]}
 
     return map_arrow(texts, run, schema)
 
@@ -137,7 +148,7 @@ def keep_good(docs: DataFrame, model: Model, *, keep_from: float = 0.5, text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            yield b.filter(pa.array([m.probability(m.score(t)) >= keep_from for t in b.column(place).to_pylist()], pa.bool_()))
+        for b in (p for batch in batches for p in pieces(batch)):
+            yield b.filter(pa.array([m.judge(t)[1] >= keep_from for t in b.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
