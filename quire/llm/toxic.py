@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import column_type, pick, sample_by_hash
+from quire.llm.common import column_type, labelled_texts, pick, pieces
 
 BITS = 18
 SLICE = 1_500_000
@@ -359,13 +359,10 @@ def train(rows: list[tuple[int, str]], *, min_docs: int = 4, min_ratio: float =
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1000, max_clean: int = 2000, max_train_chars: int = 20_000, **options) -> Model | None:
-    """Trains on at most `max_toxic` and `max_clean` labelled documents of at most `max_train_chars` characters."""
-    marks = pick(labels, doc_id=id_col, toxic=label_col).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-    few = sample_by_hash(marks.where("toxic = 1"), "doc_id", max_toxic).unionAll(sample_by_hash(marks.where("toxic = 0"), "doc_id", max_clean))
-    texts = pick(docs, doc_id=id_col, text=text_col).where(F.length("text").between(1, max_train_chars))
-    rows = texts.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("toxic", "text").limit(2 * (max_toxic + max_clean)).collect()
-    return train([(r["toxic"], r["text"]) for r in rows], **options)
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = 1000, max_clean: int = 2000, max_train_chars: int = 30_000_000, **options) -> Model | None:
+    """Trains on whole texts of at most `max_toxic` and `max_clean` labelled documents, of `max_train_chars` characters in all."""
+    marks = pick(labels, doc_id=id_col, label=label_col).where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    return train(labelled_texts(pick(docs, doc_id=id_col, text=text_col), marks, {1: max_toxic, 0: max_clean}, max_train_chars), **options)
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
@@ -405,7 +402,7 @@ def tag_documents(docs: DataFrame, model: Model | None, *, toxic_from: float = 0
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for batch in batches for p in pieces(batch)):
             score, total, spans = tag(b.column(1).to_pylist(), shared.value, span_from)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(score >= toxic_from), pa.array(total), spans], ["doc_id", "score", "toxic", "toxic_words", "spans"])
 
