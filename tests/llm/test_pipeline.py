@@ -39,7 +39,7 @@ def test_stages_keep_the_columns_and_take_effect(spark, folder):
     assert names == ["quality", "near_duplicates", "substring_dedup", "decontamination", "packing"]
     _, before, after = seen[0]
     model = quality.fit(before, spark.read.parquet(f"{d}/labels.parquet"))
-    want = sorted(repr(r["doc_id"]) for r in before.collect() if model.probability(model.score(r["text"])) >= 0.5)
+    want = sorted(repr(r["doc_id"]) for r in before.collect() if model.judge(r["text"])[1] >= 0.5)
     assert sorted(repr(r["doc_id"]) for r in after.collect()) == want
     _, before, after = seen[1]
     pairs = plain_pairs([(r["doc_id"], r["text"]) for r in before.collect()])
