@@ -15,11 +15,12 @@ pair exactly at the threshold has no common signature is at most 3e-5 for any si
 less above the threshold or if both are linked to a third text; tests/llm measures it.
 
 Text classes that share a signature and whose sizes allow it are compared by a sketch first: the smallest hash in
-each of 64 ranges, 4 bits of each. Pairs that are 6 deviations below the threshold go (by Hoeffding's bound a similar
-pair does so with a chance of 2e-8). What is left is closed into blocks, and a block is compared exactly through
-inverted indexes. Only pairs of different texts are ever looked at; copies are never gathered. A signature of many
-classes is joined in salted shares, and a block of many classes or elements is cut into tiles, of which each pair is a
-task, so neither is one task's work, and no candidate is cut off. What leaves a tile is a line for each class.
+each of 64 ranges, 4 bits of each. Pairs of too many unlike places for any two sets of their sizes go, and pairs that
+are 5 deviations below the threshold (one at the threshold is so with a chance of 1e-5 at most, by Serfling's bound). What is left is closed into blocks, and a block is compared exactly
+through inverted indexes. Only pairs of different texts are ever looked at; copies are never gathered. A signature of
+many classes is worked on in shares, and a block of many classes or elements is cut into tiles, of which each two come
+together in one group of rows, so neither is one task's work, and no candidate is cut off. What leaves a signature or a tile is a line
+for each class, not one for each pair.
 
 Defined results
   null or empty text, text without words   a class of its own without links
@@ -38,6 +39,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,7 +51,9 @@ WORD = re.compile(r"[^\W_]+")
 CACHE = 100_000
 QUARTERS = 4
 STEP = 4_000_000
+FEW = 8
 HOT = 2_000
+DEVIATIONS = 5
 TILE = 2_000
 TILE_ELEMENTS = 4_000_000
 
@@ -172,13 +176,18 @@ def _filled(x: Column) -> Column:
 
 
 def likely(a: str, b: str, threshold: float) -> Column:
-    """Whether sizes and sketches of rows a and b allow the threshold."""
+    """Whether sizes and sketches of rows a and b allow the threshold.
+
+    Each place where the sketches are unlike has an element of one set only, of which similar sets have few; and the
+    places used are so many elements drawn from the union without replacement, most of which similar sets share.
+    """
     sides = [(F.col(f"{a}.s{k}"), F.col(f"{b}.s{k}")) for k in range(4)]
     used = sum(_filled(x.bitwiseOR(y)) for x, y in sides)
     unlike = sum(_filled(x.bitwiseXOR(y)) for x, y in sides)
-    least = used * threshold - 6 * F.sqrt(used * threshold * (1 - threshold)) - 0.5
     n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
-    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-6) & (used - unlike >= least)
+    union = (n + m) / (1 + threshold)
+    least = used * threshold - DEVIATIONS * F.sqrt(used * threshold * (1 - threshold) * F.greatest(F.lit(0.0), 1 - used / union)) - 0.5
+    return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-6) & (unlike <= union * (1 - threshold) + 1e-6) & (used - unlike >= least)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -242,20 +251,77 @@ def _compare(sets: list[np.ndarray], threshold: float, split: int = 0) -> Iterat
             yield i, js[ok], sim[ok]
 
 
-def _candidates(shared: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a > b of text classes that share a signature, by its size and sketch; hot signatures in salted shares."""
+def _alike(sizes: np.ndarray, marks: np.ndarray, i: int, js: np.ndarray, threshold: float) -> np.ndarray:
+    """likely() of member i against members js, in numpy; marks has a row of four sketch numbers for each."""
+
+    def filled(x: np.ndarray) -> np.ndarray:
+        x = x | x >> np.uint64(1)
+        return np.bitwise_count((x | x >> np.uint64(2)) & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+
+    other = marks[js]
+    used, unlike = filled(other | marks[i]), filled(other ^ marks[i])
+    small_, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
+    union = (small_ + large) / (1 + threshold)
+    least = used * threshold - DEVIATIONS * np.sqrt(used * threshold * (1 - threshold) * np.maximum(0, 1 - used / union)) - 0.5
+    return (small_ >= large * threshold - 1e-6) & (unlike <= union * (1 - threshold) + 1e-6) & (used - unlike >= least)
+
+
+def _stars(keys: np.ndarray, sizes: np.ndarray, marks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(members, smallest member of the component of each) for the members of one signature that candidate pairs link."""
+    by = np.argsort(keys, kind="stable")
+    keys, sizes, marks = keys[by], sizes[by], marks[by]
+    left = np.arange(len(keys))
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    while len(left) > 1:
+        first, left = left[0], left[1:]
+        wave = [first]
+        while wave and len(left):
+            hit = _alike(sizes, marks, wave.pop(), left, threshold)
+            if hit.any():
+                own = left[hit]
+                left = left[~hit]
+                wave += own.tolist()
+                a.append(keys[own])
+                b.append(np.full(len(own), keys[first]))
+    return (np.concatenate(a), np.concatenate(b)) if a else (keys[:0], keys[:0])
+
 
-    def pairs(x: DataFrame, y: DataFrame, on: tuple[str, ...]) -> DataFrame:
-        same = F.col("x.key") > F.col("y.key")
-        for c in on:
-            same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-        return x.alias("x").join(y.alias("y"), same).where(likely("x", "y", threshold)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+def _candidates(shared: DataFrame, threshold: float) -> DataFrame:
+    """Edges a > b whose components are those of all pairs that share a signature and pass likely().
 
-    cold, hot = shared.where(F.col("n") <= HOT), shared.where(F.col("n") > HOT)
+    The pairs of a signature of at most FEW classes are joined. One of more is closed into components where it lies, of
+    which only a star of edges is sent; beyond HOT classes it is cut in shares, of which each two come together.
+    """
+    x, y = (shared.where(F.col("n") <= FEW).alias(c) for c in "xy")
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") > F.col("y.key"))).where(likely("x", "y", threshold)).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    zero = F.lit(0).cast("long")
     shares = F.ceil(F.col("n") / HOT)
-    one = hot.withColumn("share", F.pmod(F.xxhash64("key"), shares))
-    every = hot.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
-    return pairs(cold, cold, ("sig",)).unionAll(pairs(one, every, ("sig", "share")))
+    many = shared.where(F.col("n") > FEW).withColumn("own", F.pmod(F.xxhash64("key"), shares))
+    others = F.when(shares == 1, F.array(zero)).otherwise(F.array_remove(F.sequence(zero, shares - 1), F.col("own")))
+    many = many.withColumn("other", F.explode(others)).select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "size", "s0", "s1", "s2", "s3")
+    spread = many.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high")
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # columns of the signature that the last batch may not have ended
+
+        def told(cols: np.ndarray) -> pa.RecordBatch | None:
+            cut = np.flatnonzero((cols[:3, 1:] != cols[:3, :-1]).any(0)) + 1
+            found = [_stars(own[3], own[4], np.ascontiguousarray(own[5:].T).view(np.uint64), threshold) for own in np.split(cols, cut, axis=1) if own.shape[1] > 1]
+            edges = np.unique(np.concatenate([np.stack(f, 1) for f in found] or [np.zeros((0, 2), np.int64)]), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            cols = np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in range(9)])
+            whole = np.concatenate([*held, cols], 1)
+            last = int(np.flatnonzero((whole[:3] != whole[:3, -1:]).any(0))[-1]) + 1 if (whole[:3] != whole[:3, -1:]).any() else 0
+            held = [whole[:, last:]]
+            if last:
+                yield told(whole[:, :last])
+        if held:
+            yield told(held[0])
+
+    return pairs.unionAll(spread.mapInArrow(stars, "a long, b long"))
 
 
 def _signed(docs: DataFrame, n: int, threshold: float, parts: int | None, whole: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
