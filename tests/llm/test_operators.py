@@ -376,6 +376,7 @@ def test_jaccard_classes_against_brute_force(spark, near, options, monkeypatch):
     if "tile" in options:  # blocks of several tiles, signatures in several shares
         monkeypatch.setattr(jaccard, "TILE", options["tile"])
         monkeypatch.setattr(jaccard, "HOT", options["hot"])
+        monkeypatch.setattr(jaccard, "FEW", 1)
         options = {}
     got = {r["doc_id"]: (r["class_id"], r["links"], r["copies"]) for r in jaccard.classes(docs(spark, rows), **options).collect()}
     assert got == want
