@@ -1,8 +1,13 @@
 """Lossless WebP to pixel arrays.
 
-A VP8L stream is read bit by bit: transforms first, then prefix codes (one group, or one for each block of an
-entropy image), then literals, back-references and colour cache hits. Predictor, cross-colour, subtract-green and
-palette transforms are undone in reverse order. Pixels are RGBA bytes, row by row.
+A VP8L stream has transforms first, then prefix codes (one group, or one for each block of an entropy image), then
+literals, back-references and colour cache hits. Predictor, cross-colour, subtract-green and palette transforms are
+undone in reverse order. Pixels are RGBA bytes, row by row.
+
+The symbols of one stream depend on each other, those of different streams don't: all images of a batch advance in
+step in numpy, a symbol of each at a time, and the last few, or a single large one, go on symbol by symbol in Python.
+Predictions depend on the pixels to the left and above only, so all pixels of equal x + 2 y, of all images of a batch,
+are undone at once. Pixels are kept in arrays of 4 bytes each; a batch holds BATCH of them, or one larger image.
 
 Defined results
   null bytes             width, height, pixels and error null
@@ -16,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +37,12 @@ for _k in (1, 2, 4, 8):
     _m = sum(((1 << _k) - 1) << i for i in range(0, 16, 2 * _k))
     _B = (_B >> _k & _m) | (_B & _m) << _k
 REVERSED = _B.tolist()
+#: The numbers of n bits in reverse order.
+TURNED = [(_B[: 1 << n] >> 16 - n).astype(np.int64) for n in range(16)]
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 OPAQUE = 0xFF000000
+LEAST = 40
+BATCH = 4_000_000
 
 
 def _near() -> list[tuple[int, int]]:
@@ -42,6 +52,7 @@ def _near() -> list[tuple[int, int]]:
 
 
 NEAR = _near()
+NEAR_AT = np.array([(0, 0), *NEAR], np.int64)
 
 
 class Bits:
@@ -58,6 +69,14 @@ class Bits:
         if self.at > len(self.data) + 96:
             raise ValueError("the stream ends too early")
 
+    def place(self) -> int:
+        """How many bits were read."""
+        return self.at * 8 - self.count
+
+    def seek(self, bit: int) -> None:
+        self.at, self.value, self.count = bit >> 3, 0, 0
+        self.read(bit & 7)
+
     def read(self, n: int) -> int:
         if self.count < n:
             self.fill()
@@ -71,46 +90,41 @@ class Code:
     """A prefix code as one table: entry = symbol << 4 | length, by the next `bits` bits."""
 
     def __init__(self, lengths: list[int]):
-        used = [n << 16 | s for s, n in enumerate(lengths) if n]
-        if not used:
+        n = np.array(lengths, np.int64)
+        used = np.flatnonzero(n)
+        if not len(used):
             raise ValueError("an empty prefix code")
         if len(used) == 1:
-            self.bits, self.table = 0, [(used[0] & 0xFFFF) << 4]
+            self.bits, self.array = 0, used << 4
             return
-        used.sort()
-        self.bits = top = used[-1] >> 16
-        size = 1 << top
-        table = [-1] * size
-        code = last = 0
-        for x in used:
-            n = x >> 16
-            if n != last:
-                code <<= n - last
-                last = n
-                step = 1 << n
-                times = size >> n
-                down = 16 - n
-            if code >> n:
-                raise ValueError("an overfull prefix code")
-            entry = (x & 0xFFFF) << 4 | n
-            low = REVERSED[code] >> down
-            if times == 1:
-                table[low] = entry
-            else:
-                table[low::step] = [entry] * times
-            code += 1
-        if code != size:
-            raise ValueError("an incomplete prefix code")
-        self.table = table
-
-    def read(self, b: Bits) -> int:
-        if b.count < 16:
-            b.fill()
-        e = self.table[b.value & ((1 << self.bits) - 1)]
-        n = e & 15
-        b.value >>= n
-        b.count -= n
-        return e >> 4
+        n = n[used]
+        order = np.argsort(n, kind="stable")
+        used, n = used[order], n[order]
+        self.bits = int(n[-1])
+        times = 1 << self.bits - n
+        if times.sum() != 1 << self.bits:
+            raise ValueError("an incomplete prefix code" if times.sum() < 1 << self.bits else "an overfull prefix code")
+        self.array = np.repeat(used << 4 | n, times)[TURNED[self.bits]]
+
+    @property
+    def table(self) -> list[int]:
+        return self.array.tolist()
+
+
+def small_table(lengths: list[int]) -> tuple[list[int], int]:
+    """The table of a code of few symbols and its bits; the same as Code makes, for 19 symbols faster in plain Python."""
+    used = sorted(n << 8 | s for s, n in enumerate(lengths) if n)
+    if not used:
+        raise ValueError("an empty prefix code")
+    if len(used) == 1:
+        return [(used[0] & 255) << 4], 0
+    top = used[-1] >> 8
+    table = []
+    for x in used:
+        table += [(x & 255) << 4 | x >> 8] * (1 << top - (x >> 8))
+    if len(table) != 1 << top:
+        raise ValueError("an incomplete prefix code" if len(table) < 1 << top else "an overfull prefix code")
+    return [table[REVERSED[i] >> 16 - top] for i in range(1 << top)], top
 
 
 def read_code(b: Bits, size: int) -> Code:
@@ -126,11 +140,11 @@ def read_code(b: Bits, size: int) -> Code:
     own = [0] * 19
     for k in range(4 + b.read(4)):
         own[LENGTH_ORDER[k]] = b.read(3)
-    inner = Code(own)
+    table, width = small_table(own)
     left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
     lengths: list[int] = []
     before = 8
-    table, mask = inner.table, (1 << inner.bits) - 1
+    mask = (1 << width) - 1
     value, count = b.value, b.count
     done = 0
     while done < size and left:
@@ -167,41 +181,56 @@ def _extra(b: Bits, code: int) -> int:
     return ((2 + (code & 1)) << n) + b.read(n) + 1
 
 
-def read_pixels(b: Bits, width: int, height: int, top: bool) -> list[int]:
+class Plan:
+    """What precedes the symbols of an entropy-coded image."""
+
+    def __init__(self, b: Bits, width: int, height: int, top: bool):
+        self.width, self.total = width, width * height
+        self.cache_bits = b.read(4) if b.read(1) else 0
+        if self.cache_bits > 11:
+            raise ValueError("a colour cache of too many bits")
+        self.blocks: np.ndarray | None = None
+        self.shift = self.across = 0
+        groups = 1
+        if top and b.read(1):
+            self.shift = b.read(3) + 2
+            self.across = -(-width >> self.shift)
+            self.blocks = (read_pixels(b, self.across, -(-height >> self.shift), False) >> 8 & 0xFFFF).astype(np.int64)
+            groups = int(self.blocks.max()) + 1
+        green = 280 + (1 << self.cache_bits if self.cache_bits else 0)
+        self.codes = [tuple(read_code(b, n) for n in (green, 256, 256, 256, 40)) for _ in range(groups)]
+
+
+def read_pixels(b: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """ARGB values of an entropy-coded image."""
-    cache_bits = b.read(4) if b.read(1) else 0
-    if cache_bits > 11:
-        raise ValueError("a colour cache of too many bits")
-    blocks: list[int] = []
-    shift = across = 0
-    groups = 1
-    if top and b.read(1):
-        shift = b.read(3) + 2
-        across = -(-width >> shift)
-        blocks = [p >> 8 & 0xFFFF for p in read_pixels(b, across, -(-height >> shift), False)]
-        groups = max(blocks) + 1
-    green_size = 280 + (1 << cache_bits if cache_bits else 0)
-    codes = [tuple(read_code(b, n) for n in (green_size, 256, 256, 256, 40)) for _ in range(groups)]
-    cache = [0] * (1 << cache_bits) if cache_bits else []
-    down = 32 - cache_bits
-    total = width * height
-    out: list[int] = []
-    group = codes[0]
+    return one_by_one(Plan(b, width, height, top), b)
+
+
+def one_by_one(plan: Plan, b: Bits, before: np.ndarray | None = None) -> np.ndarray:
+    """The pixels from the symbols that follow, after those already read."""
+    width, total, codes, shift, across = plan.width, plan.total, plan.codes, plan.shift, plan.across
+    blocks = [] if plan.blocks is None else plan.blocks.tolist()
+    cache = [0] * (1 << plan.cache_bits) if plan.cache_bits else []
+    down = 32 - plan.cache_bits
+    out = array("I", b"" if before is None else before.tobytes())
     here = -1
     done = 0  # pixels already in the cache
+    tables: dict[int, list] = {}
 
-    def use(group):
-        return [x for c in group[:4] for x in (c.table, (1 << c.bits) - 1)]
+    def use(k: int) -> list:
+        if k not in tables:
+            tables[k] = [x for c in codes[k] for x in (c.table, (1 << c.bits) - 1)]
+        return tables[k]
 
-    gt, gm, rt, rm, bt, bm, at, am = use(group)
+    gt, gm, rt, rm, bt, bm, at, am, dt, dm = use(0)
     value, count, fill = b.value, b.count, b.fill
     while len(out) < total:
         if blocks:
             n = len(out)
             now = blocks[(n // width >> shift) * across + (n % width >> shift)]
             if now != here:
-                here, group = now, codes[now]
-                gt, gm, rt, rm, bt, bm, at, am = use(group)
+                here = now
+                gt, gm, rt, rm, bt, bm, at, am, dt, dm = use(now)
         if count < 64:
             b.value, b.count = value, count
             fill()
@@ -222,7 +251,12 @@ def read_pixels(b: Bits, width: int, height: int, top: bool) -> list[int]:
         elif s < 280:
             b.value, b.count = value, count
             length = _extra(b, s - 256)
-            d = _extra(b, group[4].read(b))
+            if b.count < 16:
+                b.fill()
+            e = dt[b.value & dm]
+            b.value >>= e & 15
+            b.count -= e & 15
+            d = _extra(b, e >> 4)
             value, count = b.value, b.count
             if d > 120:
                 d -= 120
@@ -243,42 +277,179 @@ def read_pixels(b: Bits, width: int, height: int, top: bool) -> list[int]:
                 raise ValueError("a symbol outside of the colour cache")
             out.append(cache[s - 280])
     b.value, b.count = value, count
-    return out
+    return np.frombuffer(out, np.uint32) if out else np.zeros(0, np.uint32)
+
+
+def in_step(images: list[Image]) -> None:
+    """Reads the pixels of several images, a symbol of each at a time; LEAST of them or fewer go on one by one."""
+    plans = [x.plan for x in images]
+    raw = np.frombuffer(b"".join(x.bits.data + bytes(24) for x in images), np.uint8)
+    base = np.cumsum([0] + [len(x.bits.data) + 24 for x in images])
+    wide = np.zeros(len(raw) - 8, np.uint64)  # the 8 bytes from each byte on
+    for k in range(8):
+        wide |= raw[k : k + len(wide)].astype(np.uint64) << np.uint64(8 * k)
+    wide = wide.view(np.int64)
+    all_codes = [g for p in plans for g in p.codes]
+    tables = np.concatenate([c.array for g in all_codes for c in g])
+    places = np.cumsum([0] + [len(c.array) for g in all_codes for c in g])[:-1].reshape(-1, 5).T.copy()
+    masks = np.array([[(1 << c.bits) - 1 for c in g] for g in all_codes], np.int64).T.copy()
+    clear = not masks[3].any()  # the alpha codes say the same always
+    blocks = np.concatenate([np.zeros(1, np.int64) if p.blocks is None else p.blocks for p in plans])
+    grouped = len(blocks) > len(plans)
+    cached = any(p.cache_bits for p in plans)
+    out = np.zeros(sum(p.total for p in plans), np.int64)
+    starts = np.cumsum([0] + [p.total for p in plans])
+    caches = np.cumsum([0] + [1 << p.cache_bits for p in plans])
+    cache = np.zeros(caches[-1], np.int64)
+    rows = [
+        range(len(images)), [(int(b) * 8 + x.bits.place()) for b, x in zip(base, images)], starts[:-1], starts[1:], starts[:-1], [p.width for p in plans], np.cumsum([0] + [len(p.codes) for p in plans])[:-1],
+        [p.shift or 30 for p in plans], [p.across for p in plans], np.cumsum([0] + [1 if p.blocks is None else len(p.blocks) for p in plans])[:-1], caches[:-1], [32 - p.cache_bits for p in plans],
+    ]
+    state = np.array([list(map(int, r)) for r in rows], np.int64)  # who, bit, next pixel, end, start, width, first group, block shift, blocks across, first block, first place in the cache, hash shift
+
+    def keep(where, pixels: np.ndarray) -> None:
+        out[state[2, where]] = pixels
+        if cached:
+            cache[state[10, where] + ((pixels * 0x1E35A7BD & 0xFFFFFFFF) >> state[11, where])] = pixels
+        state[2, where] += 1
+
+    def extra(where: np.ndarray, code: np.ndarray) -> np.ndarray:
+        n = np.maximum(0, code - 2 >> 1)
+        bit = state[1, where]
+        more = wide[bit >> 3] >> (bit & 7) & (1 << n) - 1
+        state[1, where] += n
+        return np.where(code < 4, code + 1, ((2 + (code & 1)) << n) + more + 1)
+
+    last = len(wide) - 1
+    while state.shape[1] > LEAST:
+        bit = state[1]
+        group = state[6]
+        if grouped:
+            n = state[2] - state[4]
+            y = n // state[5]
+            group = group + blocks[state[9] + (y >> state[7]) * state[8] + (n - y * state[5] >> state[7])]
+        w = wide[np.minimum(bit >> 3, last)] >> (bit & 7)
+        e = tables[places[0][group] + (w & masks[0][group])]
+        n = e & 15
+        bit += n
+        s = e >> 4
+        plain = s < 256
+        if plain.all():
+            at, g = slice(None), group
+        else:
+            at = np.flatnonzero(plain)
+            g, w, n, s_all, s = group[at], w[at], n[at], s, s[at]
+        if isinstance(at, slice) or len(at):
+            w = w >> n
+            r = tables[places[1][g] + (w & masks[1][g])]
+            n = r & 15
+            b = tables[places[2][g] + (w >> n & masks[2][g])]
+            bit[at] += n + (b & 15)
+            if clear:
+                a = tables[places[3][g]]
+            else:
+                here = bit[at]
+                a = tables[places[3][g] + (wide[np.minimum(here >> 3, last)] >> (here & 7) & masks[3][g])]
+                bit[at] += a & 15
+            keep(at, (a >> 4) << 24 | (r >> 4) << 16 | s << 8 | b >> 4)
+        bad = None
+        if not isinstance(at, slice):
+            hit = np.flatnonzero(s_all >= 280)
+            if len(hit):
+                place = s_all[hit] - 280
+                wrong = place >= 1 << 32 - state[11, hit]
+                if wrong.any():
+                    bad = hit[wrong]
+                    for k in bad.tolist():
+                        images[state[0, k]].error = "a symbol outside of the colour cache"
+                    hit, place = hit[~wrong], place[~wrong]
+                keep(hit, cache[state[10, hit] + place])
+            far = np.flatnonzero((s_all >= 256) & (s_all < 280))
+            if len(far):
+                np.minimum(bit, last * 8, out=bit)
+                length = extra(far, s_all[far] - 256)
+                np.minimum(bit, last * 8, out=bit)
+                here = state[1, far]
+                e = tables[places[4][group[far]] + (wide[here >> 3] >> (here & 7) & masks[4][group[far]])]
+                state[1, far] += e & 15
+                np.minimum(bit, last * 8, out=bit)
+                d = extra(far, e >> 4)
+                near = NEAR_AT[np.minimum(d, 120)]
+                d = np.where(d > 120, d - 120, np.maximum(1, near[:, 0] + near[:, 1] * state[5, far]))
+                wrong = (d > state[2, far] - state[4, far]) | (length > state[3, far] - state[2, far])
+                for k, m, back, no in zip(far.tolist(), length.tolist(), d.tolist(), wrong.tolist()):
+                    if no:
+                        images[state[0, k]].error = "a reference outside of the image"
+                        bad = np.append(bad, k).astype(np.int64) if bad is not None else np.array([k])
+                        continue
+                    i = int(state[2, k])
+                    if back >= m:
+                        part = out[i - back : i - back + m]
+                    else:
+                        part = np.resize(out[i - back : i], m)
+                    out[i : i + m] = part
+                    if cached:
+                        cache[state[10, k] + ((out[i : i + m] * 0x1E35A7BD & 0xFFFFFFFF) >> state[11, k])] = out[i : i + m]
+                    state[2, k] = i + m
+        stay = state[2] < state[3]
+        if bad is not None:
+            stay[bad] = False
+        if not stay.all():
+            for k in np.flatnonzero(~stay).tolist():
+                x = images[state[0, k]]
+                x.end = int(state[1, k]) - int(base[state[0, k]]) * 8
+            state = state[:, stay]
+    left = {int(k): (int(n), int(bit)) for k, bit, n in state[:3].T}
+    for k, x in enumerate(images):
+        if x.error:
+            continue
+        own = out[starts[k] : starts[k + 1]]
+        if k in left:
+            n, bit = left[k]
+            try:
+                x.bits.seek(bit - int(base[k]) * 8)
+                x.pixels = one_by_one(x.plan, x.bits, own[: n - starts[k]].astype(np.uint32))
+                x.end = x.bits.place()
+            except (ValueError, IndexError) as e:
+                x.error = str(e)
+                continue
+        else:
+            x.pixels = own.astype(np.uint32)
+        if x.end > len(x.bits.data) * 8:
+            x.error = "the stream ends too early"
 
 
-def _half(a: int, b: int) -> int:
+def _half(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a & b) + (((a ^ b) & 0xFEFEFEFE) >> 1)
 
 
-def _add(a: int, b: int) -> int:
+def _add(a: np.ndarray, b) -> np.ndarray:
     return (a & 0xFF00FF00) + (b & 0xFF00FF00) & 0xFF00FF00 | (a & 0x00FF00FF) + (b & 0x00FF00FF) & 0x00FF00FF
 
 
-def _channels(p: int) -> tuple[int, int, int, int]:
-    return p >> 24, p >> 16 & 255, p >> 8 & 255, p & 255
+def _channels(p: np.ndarray) -> np.ndarray:
+    return p[:, None] >> np.array([24, 16, 8, 0], np.uint32) & 255
 
 
-def _select(left: int, up: int, corner: int) -> int:
-    by_left = by_up = 0
-    for a, t, c in zip(_channels(left), _channels(up), _channels(corner)):
-        by_left += abs(t - c)
-        by_up += abs(a - c)
-    return left if by_left < by_up else up
+def _select(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    a, t, c = (_channels(x).astype(np.int32) for x in (left, up, corner))
+    return np.where(np.abs(t - c).sum(1) < np.abs(a - c).sum(1), left, up)
 
 
-def _join(values) -> int:
-    p = 0
-    for v in values:
-        p = p << 8 | (0 if v < 0 else 255 if v > 255 else v)
-    return p
+def _join(values: np.ndarray) -> np.ndarray:
+    v = np.clip(values, 0, 255).astype(np.uint32)
+    return v[:, 0] << 24 | v[:, 1] << 16 | v[:, 2] << 8 | v[:, 3]
 
 
-def _full(left: int, up: int, corner: int) -> int:
-    return _join(a + t - c for a, t, c in zip(_channels(left), _channels(up), _channels(corner)))
+def _full(left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    a, t, c = (_channels(x).astype(np.int32) for x in (left, up, corner))
+    return _join(a + t - c)
 
 
-def _step(mean: int, corner: int) -> int:
-    return _join(m + int((m - c) / 2) for m, c in zip(_channels(mean), _channels(corner)))
+def _step(mean: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    m, c = (_channels(x).astype(np.int32) for x in (mean, corner))
+    d = m - c
+    return _join(m + np.sign(d) * (np.abs(d) >> 1))
 
 
 #: By mode, from left, up, up left and up right.
@@ -302,27 +473,34 @@ PREDICT = (
 )
 
 
-def unpredict(pixels: list[int], width: int, modes: list[int], shift: int) -> list[int]:
-    """Adds the prediction of each pixel, in place."""
-    pixels[0] = _add(pixels[0], OPAQUE)
-    for x in range(1, min(width, len(pixels))):
-        pixels[x] = _add(pixels[x], pixels[x - 1])
+def unpredict(jobs: list[tuple[np.ndarray, int, np.ndarray, int]]) -> list[np.ndarray]:
+    """Adds the prediction of each pixel: (pixels, width, modes by block, block shift) of several images at once."""
+    pad = max(w for _, w, _, _ in jobs) + 1
+    pixels = np.concatenate([np.zeros(pad, np.uint32), *(p for p, *_ in jobs)])
+    starts = pad + np.cumsum([0] + [len(p) for p, *_ in jobs])
+    keys, widths = [], []
+    for p, w, modes, shift in jobs:
+        h = len(p) // w
+        mode = _spread(modes, w, h, shift).reshape(h, w) >> 8 & 15
+        mode[0, 1:], mode[1:, 0], mode[0, 0] = 1, 2, 0
+        keys.append((((np.arange(w) + 2 * np.arange(h)[:, None]) << 4) + mode).ravel())
+        widths.append(np.full(len(p), w))
+    key, width = np.concatenate(keys), np.concatenate(widths)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at, width = order + pad, width[order]
+    cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])).tolist()
+    for s, e in zip(cuts, cuts[1:]):
+        j, w = at[s:e], width[s:e]
+        up = j - w
+        value = PREDICT[int(key[s]) & 15](pixels[j - 1], pixels[up], pixels[up - 1], pixels[up + 1])
+        pixels[j] = _add(pixels[j], value)
+    return [pixels[a:b] for a, b in zip(starts, starts[1:])]
+
+
+def _spread(blocks: np.ndarray, width: int, height: int, shift: int) -> np.ndarray:
     across = -(-width >> shift)
-    for y in range(1, len(pixels) // width):
-        i = y * width
-        pixels[i] = _add(pixels[i], pixels[i - width])
-        row = (y >> shift) * across
-        for block in range(across):
-            mode = PREDICT[modes[row + block] >> 8 & 15]
-            for x in range(max(1, block << shift), min(width, (block + 1) << shift)):
-                j = i + x
-                pixels[j] = _add(pixels[j], mode(pixels[j - 1], pixels[j - width], pixels[j - width - 1], pixels[j - width + 1]))
-    return pixels
-
-
-def _spread(blocks: list[int], width: int, height: int, shift: int) -> np.ndarray:
-    across = -(-width >> shift)
-    b = np.array(blocks, np.uint32).reshape(-1, across)
+    b = blocks.reshape(-1, across)
     return np.repeat(np.repeat(b, 1 << shift, 0)[:height], 1 << shift, 1)[:, :width].ravel()
 
 
@@ -367,48 +545,103 @@ def size_of(data: bytes) -> tuple[int, int, int]:
     return (head & 0x3FFF) + 1, (head >> 14 & 0x3FFF) + 1, at + 13
 
 
+class Image:
+    """A file read up to the symbols of its pixels."""
+
+    def __init__(self, data: bytes, max_pixels: int):
+        self.error = ""
+        self.pixels: np.ndarray | None = None
+        self.end = 0
+        self.width, self.height, at = size_of(data)
+        if self.width * self.height > max_pixels:
+            raise ValueError("too many pixels")
+        b = self.bits = Bits(data[at:])
+        self.undo: list[tuple] = []
+        own = self.width
+        while b.read(1):
+            kind = b.read(2)
+            if any(kind == u[0] for u in self.undo):
+                raise ValueError("a transform twice")
+            if kind < 2:
+                shift = b.read(3) + 2
+                self.undo.append((kind, own, shift, read_pixels(b, -(-own >> shift), -(-self.height >> shift), False)))
+            elif kind == 2:
+                self.undo.append((kind, own))
+            else:
+                n = b.read(8) + 1
+                colours = np.cumsum(read_pixels(b, n, 1, False).view(np.uint8).reshape(-1, 4), 0, dtype=np.uint8).view(np.uint32).ravel()
+                bundle = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
+                packed = -(-own >> bundle)
+                self.undo.append((kind, own, packed, colours, bundle))
+                own = packed
+        self.plan = Plan(b, own, self.height, True)
+        if b.place() > len(b.data) * 8:
+            raise ValueError("the stream ends too early")
+
+    def back(self, predicted: bool) -> bool:
+        """Undoes transforms, the last one first, up to the predictor, or from there on; whether a predictor is next."""
+        p = self.pixels
+        while self.undo:
+            kind, wide, *more = self.undo[-1]
+            if kind == 0 and not predicted:
+                self.pixels = p
+                return True
+            self.undo.pop()
+            if kind == 1:
+                p = uncross(p, _spread(more[1], wide, self.height, more[0]))
+            elif kind == 2:
+                p = unsubtract(p)
+            elif kind == 3:
+                p = unindex(p, more[0], wide, self.height, more[1], more[2])
+        self.pixels = p
+        return False
+
+    def rgba(self) -> bytes:
+        return self.pixels.astype("<u4").view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]].tobytes()
+
+
+def _finish(images: list[Image]) -> None:
+    in_step(images)
+    jobs = [x for x in images if not x.error and x.back(False)]
+    if jobs:
+        for x, p in zip(jobs, unpredict([(x.pixels, u[1], u[3], u[2]) for x in jobs for u in x.undo[-1:]])):
+            x.pixels = p
+            x.back(True)
+
+
+def decode_many(files: list[bytes | None], max_pixels: int = 64_000_000) -> Iterator[list[tuple]]:
+    """(width, height, RGBA bytes, error) of each file, in order, in lists of some BATCH pixels; all None for None."""
+    held: list = []
+    pixels = entries = 0
+
+    def done() -> list[tuple]:
+        good = [x for x in held if isinstance(x, Image)]
+        if good:
+            _finish(good)
+        return [(None, None, None, x if isinstance(x, str) else x.error) if isinstance(x, str) or (x is not None and x.error) else (None,) * 4 if x is None else (x.width, x.height, x.rgba(), None) for x in held]
+
+    for data in files:
+        try:
+            x = None if data is None else Image(data, max_pixels)
+        except (ValueError, IndexError) as e:
+            x = str(e)
+        if isinstance(x, Image):
+            size, tables = x.width * x.height, sum(len(c.array) for g in x.plan.codes for c in g)
+            if held and (pixels + size > BATCH or entries + tables > BATCH):
+                yield done()
+                held, pixels, entries = [], 0, 0
+            pixels, entries = pixels + size, entries + tables
+        held.append(x)
+    if held:
+        yield done()
+
+
 def decode(data: bytes, max_pixels: int = 64_000_000) -> tuple[int, int, bytes]:
     """Width, height and RGBA bytes."""
-    width, height, at = size_of(data)
-    if width * height > max_pixels:
-        raise ValueError("too many pixels")
-    b = Bits(data[at:])
-    undo: list[tuple] = []
-    own = width
-    while b.read(1):
-        kind = b.read(2)
-        if any(kind == u[0] for u in undo):
-            raise ValueError("a transform twice")
-        if kind < 2:
-            shift = b.read(3) + 2
-            undo.append((kind, own, shift, read_pixels(b, -(-own >> shift), -(-height >> shift), False)))
-        elif kind == 2:
-            undo.append((kind, own))
-        else:
-            n = b.read(8) + 1
-            raw = np.array(read_pixels(b, n, 1, False), np.uint32)
-            colours = np.cumsum(raw.view(np.uint8).reshape(-1, 4), 0, dtype=np.uint8).view(np.uint32).ravel()
-            bundle = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-            packed = -(-own >> bundle)
-            undo.append((kind, own, packed, colours, bundle))
-            own = packed
-    pixels = read_pixels(b, own, height, True)
-    if b.at * 8 - b.count > len(b.data) * 8:
-        raise ValueError("the stream ends too early")
-    p = pixels
-    for kind, wide, *more in reversed(undo):
-        if kind == 0:
-            p = unpredict(p if isinstance(p, list) else p.tolist(), wide, more[1], more[0])
-            continue
-        p = np.array(p, np.uint32)
-        if kind == 1:
-            p = uncross(p, _spread(more[1], wide, height, more[0]))
-        elif kind == 2:
-            p = unsubtract(p)
-        else:
-            p = unindex(p, more[0], wide, height, more[1], more[2])
-    p = np.array(p, "<u4").view(np.uint8).reshape(-1, 4)
-    return width, height, p[:, [2, 1, 0, 3]].tobytes()
+    width, height, pixels, error = next(decode_many([data], max_pixels))[0]
+    if error:
+        raise ValueError(error)
+    return width, height, pixels
 
 
 def decode_images(images: DataFrame, *, id_col: str = "image_id", data_col: str = "data", max_pixels: int = 64_000_000) -> DataFrame:
@@ -418,21 +651,9 @@ def decode_images(images: DataFrame, *, id_col: str = "image_id", data_col: str
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            held: list[tuple] = []
-            ids: list = []
-            size = 0
-            for i, data in zip(b["image_id"], b["data"]):
-                try:
-                    found = (None, None, None, None) if data is None else (*decode(data, max_pixels), None)
-                except (ValueError, IndexError) as e:
-                    found = (None, None, None, str(e))
-                ids.append(i)
-                held.append(found)
-                size += len(found[2] or b"")
-                if size > 64_000_000:
-                    yield dict(zip(schema.names, (ids, *zip(*held))))
-                    ids, held, size = [], [], 0
-            if held:
-                yield dict(zip(schema.names, (ids, *zip(*held))))
+            at = 0
+            for found in decode_many(b["data"], max_pixels):
+                yield dict(zip(schema.names, (b["image_id"][at : at + len(found)], *zip(*found))))
+                at += len(found)
 
     return map_arrow(rows, run, schema)

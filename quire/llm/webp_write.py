@@ -5,6 +5,7 @@ Every tool of the format can be turned on by itself; the writer aims at covering
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,8 +18,6 @@ from pyspark.sql import types as T
 from quire.llm.common import column_type, map_arrow, pick
 from quire.llm.webp import LENGTH_ORDER, NEAR, OPAQUE, REVERSED
 
-NEAR_CODE = {d: k + 1 for k, d in reversed(list(enumerate(NEAR)))}
-
 
 @dataclass(frozen=True)
 class Options:
@@ -44,6 +43,22 @@ class Sink:
             self.value >>= 512
             self.count -= 512
 
+    def put_many(self, values: np.ndarray, bits: np.ndarray) -> None:
+        """Each value in so many bits, one after the other."""
+        bits = bits.astype(np.int64)
+        total = int(bits.sum())
+        if not total:
+            return
+        where = np.repeat(np.arange(len(bits)), bits)
+        inner = np.arange(total) - np.repeat(np.cumsum(bits) - bits, bits)
+        packed = np.packbits((values[where] >> inner & 1).astype(np.uint8), bitorder="little")
+        self.value |= int.from_bytes(packed.tobytes(), "little") << self.count
+        self.count += total
+        n = self.count >> 3
+        self.parts.append((self.value & (1 << 8 * n) - 1).to_bytes(n, "little"))
+        self.value >>= 8 * n
+        self.count &= 7
+
     def bytes(self) -> bytes:
         return b"".join(self.parts) + self.value.to_bytes((self.count + 7) // 8, "little")
 
@@ -149,84 +164,99 @@ def put_code(sink: Sink, counts: dict[int, int]) -> dict[int, tuple[int, int]]:
     return codes_of(lengths)
 
 
-def _prefix(v: int) -> tuple[int, int, int]:
-    """Prefix symbol, extra value and extra bits of a length or distance from 1."""
-    v -= 1
-    if v < 4:
-        return v, 0, 0
-    n = v.bit_length() - 2
-    return 2 * (n + 1) + (v >> n & 1), v & (1 << n) - 1, n
-
-
-def tokens_of(pixels: list[int], width: int, cache_bits: int, matches: bool) -> list[tuple]:
-    """(place, ARGB) literals, (place, None, cache index) hits and (place, None, length, distance code) references."""
-    out: list[tuple] = []
-    cache = [-1] * (1 << cache_bits)
-    seen: dict[tuple, int] = {}
-    i, n = 0, len(pixels)
-    while i < n:
-        best = 0
-        if matches and i + 3 <= n:
-            key = (pixels[i], pixels[i + 1], pixels[i + 2])
-            j = seen.get(key)
-            if j is not None:
-                best = 3
-                while best < 4096 and i + best < n and pixels[j + best] == pixels[i + best]:
-                    best += 1
-                d = i - j
-                code = next((NEAR_CODE[x, y] for y in range(d // width, d // width + 2) if (x := d - y * width, y)[0] in range(-7, 9) and (x, y) in NEAR_CODE), d + 120)
-                out.append((i, None, best, code))
-        step = best or 1
-        if not best:
-            p = pixels[i]
-            k = (p * 0x1E35A7BD & 0xFFFFFFFF) >> 32 - cache_bits if cache_bits else 0
-            out.append((i, None, k) if cache_bits and cache[k] == p else (i, p))
-        for k in range(i, i + step):
-            p = pixels[k]
-            if cache_bits:
-                cache[(p * 0x1E35A7BD & 0xFFFFFFFF) >> 32 - cache_bits] = p
-            if matches and k + 3 <= n:
-                seen[p, pixels[k + 1], pixels[k + 2]] = k
-        i += step
+def _prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbols, extra values and extra bits of lengths or distances from 1."""
+    v = v.astype(np.int64) - 1
+    n = np.maximum(0, np.floor(np.log2(np.maximum(v, 1))).astype(np.int64) - 1)
+    few = v < 4
+    return np.where(few, v, 2 * (n + 1) + (v >> n & 1)), np.where(few, 0, v & (1 << n) - 1), np.where(few, 0, n)
+
+
+def _before(keys: np.ndarray) -> np.ndarray:
+    """Where each key stood last, -1 if nowhere."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1)
+    same = keys[order[1:]] == keys[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
     return out
 
 
-def put_pixels(sink: Sink, pixels: list[int], width: int, height: int, top: bool, o: Options) -> None:
+def references(pixels: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """(place, length, distance code): back-references, taken greedily wherever the last three pixels like these allow it."""
+    n = len(pixels)
+    if n < 4:
+        return []
+    p = pixels.astype(np.uint64)
+    last = _before((p[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ p[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(3) + p[2:])
+    same = last >= 0
+    for k in range(3):
+        same &= pixels[k : n - 2 + k] == pixels[np.maximum(last, 0) + k]
+    on = np.zeros(len(last), bool)  # the next place refers to the next one
+    on[:-1] = same[:-1] & same[1:] & (last[1:] == last[:-1] + 1)
+    stops = np.flatnonzero(~on)
+    length = np.minimum(stops[np.searchsorted(stops, np.arange(len(last)))] - np.arange(len(last)) + 3, 4096)
+    near = {max(1, x + y * width): k for k, (x, y) in reversed(list(enumerate(NEAR, 1)))}
+    out = []
+    free = 0
+    at = np.flatnonzero(same)
+    for i, j, m in zip(at.tolist(), last[at].tolist(), length[at].tolist()):
+        if i >= free:
+            out.append((i, m, near.get(i - j, i - j + 120)))
+            free = i + m
+    return out
+
+
+def put_pixels(sink: Sink, pixels: np.ndarray, width: int, height: int, top: bool, o: Options) -> None:
+    """pixels: ARGB as int64."""
     sink.put(bool(o.cache_bits), 1)
     if o.cache_bits:
         sink.put(o.cache_bits, 4)
     shift = 2
     across = -(-width >> shift)
-    blocks = []
+    group = np.zeros(len(pixels), np.int64)
+    groups = 1
     if top:
         sink.put(o.groups > 1, 1)
         if o.groups > 1:
-            blocks = [(x + y) % o.groups for y in range(-(-height >> shift)) for x in range(across)]
+            blocks = (np.arange(across) + np.arange(-(-height >> shift))[:, None]) % o.groups
             sink.put(shift - 2, 3)
-            put_pixels(sink, [OPAQUE | g << 8 for g in blocks], across, -(-height >> shift), False, Options())
-    rows = tokens_of(pixels, width, o.cache_bits, o.matches)
-    where = [blocks[(t[0] // width >> shift) * across + (t[0] % width >> shift)] if blocks else 0 for t in rows]
-    codes = []
-    for g in range(max(blocks) + 1 if blocks else 1):
-        own = [t for h, t in zip(where, rows) if h == g] if blocks else rows
-        plain = [t[1] for t in own if t[1] is not None]
-        other = [t for t in own if t[1] is None]
-        green = [p >> 8 & 255 for p in plain] + [280 + t[2] if len(t) == 3 else 256 + _prefix(t[2])[0] for t in other]
-        far = [_prefix(t[3])[0] for t in other if len(t) == 4]
-        codes.append([put_code(sink, Counter(c)) for c in (green, [p >> 16 & 255 for p in plain], [p & 255 for p in plain], [p >> 24 for p in plain], far)])
-    for h, t in zip(where, rows):
-        green, red, blue, alpha, far = codes[h]
-        p = t[1]
-        if p is not None:
-            (v, n), (v1, n1), (v2, n2), (v3, n3) = green[p >> 8 & 255], red[p >> 16 & 255], blue[p & 255], alpha[p >> 24]
-            sink.put(v | (v1 | (v2 | v3 << n2) << n1) << n, n + n1 + n2 + n3)
-        elif len(t) == 3:
-            sink.put(*green[280 + t[2]])
-        else:
-            for code, first, x in ((green, 256, t[2]), (far, 0, t[3])):
-                s, extra, n = _prefix(x)
-                sink.put(*code[first + s])
-                sink.put(extra, n)
+            put_pixels(sink, (OPAQUE | blocks << 8).ravel(), across, blocks.shape[0], False, Options())
+            at = np.arange(len(pixels))
+            group = blocks[at // width >> shift, at % width >> shift]
+            groups = int(blocks.max()) + 1
+    kind = np.zeros(len(pixels), np.int64)  # 0 literal, 1 in the cache, 2 reference, 3 inside of one
+    place = np.zeros(len(pixels), np.int64)
+    if o.cache_bits:
+        place = (pixels * 0x1E35A7BD & 0xFFFFFFFF) >> 32 - o.cache_bits
+        last = _before(place)
+        kind[(last >= 0) & (pixels[last] == pixels)] = 1
+    length, far = np.ones(len(pixels), np.int64), np.ones(len(pixels), np.int64)
+    for i, m, d in references(pixels, width) if o.matches else ():
+        kind[i : i + m] = 3
+        kind[i], length[i], far[i] = 2, m, d
+    at = np.flatnonzero(kind < 3)
+    kind, group, p, place = kind[at], group[at], pixels[at], place[at]
+    lit, ref = kind == 0, kind == 2
+    ls, lx, ln = _prefixes(length[at])
+    ds, dx, dn = _prefixes(far[at])
+    green = np.where(lit, p >> 8 & 255, np.where(ref, 256 + ls, 280 + place))
+    channels = (p >> 16 & 255, p & 255, p >> 24)
+    value, bits = np.zeros((len(at), 4), np.int64), np.zeros((len(at), 4), np.int64)
+    for g in range(groups):
+        own = group == g if groups > 1 else np.ones(len(at), bool)
+        for k, (rows, symbols) in enumerate(((own, green), *((own & lit, c) for c in channels), (own & ref, ds))):
+            found = symbols[rows]
+            counts = np.bincount(found)
+            there = np.flatnonzero(counts)
+            told = put_code(sink, dict(zip(there.tolist(), counts[there].tolist())))
+            if not len(there):
+                continue
+            v, n = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+            v[there], n[there] = zip(*(told[x] for x in there.tolist()))
+            slot = 2 if k == 4 else k
+            value[rows, slot], bits[rows, slot] = v[found], n[found]
+    value[ref, 1], bits[ref, 1], value[ref, 3], bits[ref, 3] = lx[ref], ln[ref], dx[ref], dn[ref]
+    sink.put_many(value.ravel(), bits.ravel())
 
 
 def _predicted(p: np.ndarray, mode: np.ndarray) -> np.ndarray:
@@ -234,15 +264,29 @@ def _predicted(p: np.ndarray, mode: np.ndarray) -> np.ndarray:
     h, w, _ = p.shape
     flat = np.concatenate((np.zeros((w + 1, 4), np.int32), p.reshape(-1, 4)))
     left, up, corner, right = (flat[w + 1 - k : w + 1 - k + h * w].reshape(h, w, 4) for k in (1, w, w + 1, w - 1))
-    opaque = np.zeros_like(p)
-    opaque[..., 3] = 255
     half = lambda a, b: (a + b) >> 1
     clip = lambda a: np.clip(a, 0, 255)
-    nearer = (np.abs(up - corner).sum(2) < np.abs(left - corner).sum(2))[..., None]
-    mean = half(left, up)
-    step = mean - corner
-    made = [opaque, left, up, right, corner, half(half(left, right), up), half(left, corner), mean, half(corner, up), half(up, right), half(half(left, corner), half(up, right)), np.where(nearer, left, up), clip(left + up - corner), clip(mean + np.sign(step) * (np.abs(step) >> 1))]
-    out = np.take_along_axis(np.stack(made), mode[None, :, :, None], 0)[0]
+
+    def step(l, u, c, r):
+        m = half(l, u)
+        return clip(m + np.sign(m - c) * (np.abs(m - c) >> 1))
+
+    made = (
+        lambda l, u, c, r: opaque[: len(l)], lambda l, u, c, r: l, lambda l, u, c, r: u, lambda l, u, c, r: r, lambda l, u, c, r: c,
+        lambda l, u, c, r: half(half(l, r), u), lambda l, u, c, r: half(l, c), lambda l, u, c, r: half(l, u), lambda l, u, c, r: half(c, u), lambda l, u, c, r: half(u, r),
+        lambda l, u, c, r: half(half(l, c), half(u, r)), lambda l, u, c, r: np.where((np.abs(u - c).sum(1) < np.abs(l - c).sum(1))[:, None], l, u), lambda l, u, c, r: clip(l + u - c), step,
+    )
+    out = np.zeros((h * w, 4), np.int32)
+    opaque = np.tile(np.array([0, 0, 0, 255], np.int32), (h * w, 1))
+    flat_left, flat_up, flat_corner, flat_right = (x.reshape(-1, 4) for x in (left, up, corner, right))
+    order = np.argsort(mode.ravel(), kind="stable")
+    ends = np.searchsorted(mode.ravel()[order], np.arange(15))
+    for k in range(14):
+        j = order[ends[k] : ends[k + 1]]
+        if len(j):
+            out[j] = made[k](flat_left[j], flat_up[j], flat_corner[j], flat_right[j])
+    out = out.reshape(h, w, 4)
+    opaque = opaque.reshape(h, w, 4)
     out[0, 1:], out[1:, 0], out[0, 0] = left[0, 1:], up[1:, 0], opaque[0, 0]
     return out
 
@@ -253,9 +297,9 @@ def _blocks(width: int, height: int, shift: int, values: np.ndarray) -> tuple[np
     return b, np.repeat(np.repeat(b, 1 << shift, 0)[:height], 1 << shift, 1)[:, :width]
 
 
-def _argb(p: np.ndarray) -> list[int]:
-    q = p.astype(np.uint32).reshape(-1, 4)
-    return (q[:, 3] << 24 | q[:, 0] << 16 | q[:, 1] << 8 | q[:, 2]).tolist()
+def _argb(p: np.ndarray) -> np.ndarray:
+    q = p.astype(np.int64).reshape(-1, 4)
+    return q[:, 3] << 24 | q[:, 0] << 16 | q[:, 1] << 8 | q[:, 2]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -270,17 +314,15 @@ def encode(rgba: np.ndarray, o: Options = Options(), seed: int = 0) -> bytes:
     p = rgba.astype(np.int32)
     plain = Options(cache_bits=2 if o.cache_bits else 0)
     if o.palette:
-        flat = _argb(p)
-        colours = sorted(set(flat))
+        colours, index = np.unique(_argb(p), return_inverse=True)
         if len(colours) <= 256:
             n = len(colours)
-            place = {c: k for k, c in enumerate(colours)}
             bundle = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             sink.put(7, 3)
             sink.put(n - 1, 8)
-            table = np.array(colours, "<u4").view(np.uint8).reshape(-1, 4)
-            put_pixels(sink, np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8).view("<u4").ravel().tolist(), n, 1, False, Options())
-            index = np.array([place[c] for c in flat], np.int32).reshape(h, w)
+            table = colours.astype("<u4").view(np.uint8).reshape(-1, 4)
+            put_pixels(sink, np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8).view("<u4").ravel().astype(np.int64), n, 1, False, Options())
+            index = index.astype(np.int32).reshape(h, w)
             wide = -(-w >> bundle)
             if bundle:
                 index = np.pad(index, ((0, 0), (0, (wide << bundle) - w))).reshape(h, wide, -1)
@@ -292,13 +334,13 @@ def encode(rgba: np.ndarray, o: Options = Options(), seed: int = 0) -> bytes:
         b, mode = _blocks(w, h, o.predictor, (np.arange(29) * 5 + seed) % 14)
         sink.put(1, 3)
         sink.put(o.predictor - 2, 3)
-        put_pixels(sink, (OPAQUE | b.astype(np.int64) << 8).ravel().tolist(), b.shape[1], b.shape[0], False, plain)
+        put_pixels(sink, (OPAQUE | b.astype(np.int64) << 8).ravel(), b.shape[1], b.shape[0], False, plain)
         p = p - _predicted(p, mode) & 255
     if o.cross:
         b, t = _blocks(w, h, o.cross, (np.arange(1, 18) * 0x35A1C7 + seed * 0x010305) & 0xFFFFFF)
         sink.put(3, 3)
         sink.put(o.cross - 2, 3)
-        put_pixels(sink, (OPAQUE | b.astype(np.int64)).ravel().tolist(), b.shape[1], b.shape[0], False, plain)
+        put_pixels(sink, (OPAQUE | b.astype(np.int64)).ravel(), b.shape[1], b.shape[0], False, plain)
         green, red = _signed(p[..., 1]), _signed(p[..., 0])
         p = p.copy()
         p[..., 0] -= _signed(t) * green >> 5
@@ -329,18 +371,20 @@ VARIANTS = (
 )
 
 
-def picture(text: str, side: int, colours: int) -> np.ndarray:
-    """How often pairs of neighbouring bytes of the whole text occur, as an opaque image of side x side pixels."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8).astype(np.int64)
-    cell = (raw[:-1] * 31 + raw[1:]) % (side * side)
-    heat = np.stack([np.bincount(cell, w, side * side) for w in (None, raw[:-1] >> 4, raw[1:] & 15)], 1)
-    top = np.log1p(heat) * 255 / max(1.0, float(np.log1p(heat).max(initial=0)))
-    out = np.full((side, side, 4), 255, np.uint8)
-    out[..., :3] = (top.astype(np.int64) * colours // 256 * (255 // max(1, colours - 1))).reshape(side, side, 3)
+def picture(text: str, grey: bool) -> np.ndarray:
+    """All bytes of the text as an opaque image, about square: three bytes a pixel, or one in grey, zeros after the end."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    n = max(1, -(-len(raw) // (1 if grey else 3)))
+    w = max(1, math.ceil(math.sqrt(n)))
+    h = -(-n // w)
+    out = np.full((h, w, 4), 255, np.uint8)
+    body = np.zeros(h * w * (1 if grey else 3), np.uint8)
+    body[: len(raw)] = raw
+    out[..., :3] = body.reshape(h, w, -1)
     return out
 
 
-def picture_files(texts: DataFrame, *, side: int = 12, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
+def picture_files(texts: DataFrame, *, id_col: str = "page_id", text_col: str = "html") -> DataFrame:
     """image_id and data: a lossless WebP of the picture of each text, its options by turns; null where the text is null."""
     rows = pick(texts, image_id=id_col, text=text_col)
     schema = T.StructType([T.StructField("image_id", column_type(rows, "image_id")), T.StructField("data", T.BinaryType())])
@@ -350,7 +394,7 @@ def picture_files(texts: DataFrame, *, side: int = 12, id_col: str = "page_id",
             data = []
             for i, t in zip(b["image_id"], b["text"]):
                 k = (i or 0) % len(VARIANTS)
-                data.append(None if t is None else encode(picture(t, side, 2 if VARIANTS[k].palette else 256), VARIANTS[k], k))
+                data.append(None if t is None else encode(picture(t, VARIANTS[k].palette), VARIANTS[k], k))
             yield {"image_id": b["image_id"], "data": data}
 
     return map_arrow(rows, run, schema)
