@@ -660,6 +660,8 @@ def test_preference_tokens(spark):
 
 # --- 10
 
+ALPHA = "J6KokSTleucYX+ffKpmImP90cY3gJjDi4Yt3MsjBEVyDKzDosHgVjnhRNcEIDAJPkqBqsFUZHNa2bUYvTsZ2PLbtd/uvKa4hov9J0f2PkPe6REkkGzolkTTzFG0Ox9PlFiD0CxS+kOGDtxoynjaCfx0pfk52CPuInrOR75lzRugygtv4zEiy90UwfSD9NheMITJWLaXWayO8XeOlWRXVnIGk2W6WdYoYMQ+KqixQNPowgt+6a1BSKbUtz+lUFAoBAAA="
+
 
 def image(r, h, w, kind):
     if kind == 0:
@@ -683,9 +685,36 @@ def test_webp_round_trips():
         assert webp.decode(webp_write.encode(a, o, k)) == (w, h, a.tobytes()), o
 
 
-def test_webp_of_another_writer():
-    """A widely published file of one transparent pixel."""
+def test_webp_of_other_writers():
+    """A widely published file of one transparent pixel, and the alpha plane (a palette, bundled) of a widely published 16 x 16 logo, put in a file of its own."""
     assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")) == (1, 1, bytes(4))
+    stream = base64.b64decode(ALPHA)
+    body = b"\x2f" + (15 | 15 << 14 | 1 << 28).to_bytes(4, "little") + stream + b"\0" * ((len(stream) + 5) % 2)
+    w, h, pixels = webp.decode(b"RIFF" + (len(body) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body)
+    green = np.frombuffer(pixels, np.uint8).reshape(h, w, 4)[..., 1]
+    assert green[0].tolist() == [0, 0, 0, 0, 175, 237, 255, 255, 255, 247, 146, 11, 3, 0, 0, 0]
+    assert green[8].tolist() == [247, 255, 255, 170, 78, 166, 247, 255, 255, 255, 255, 255, 255, 255, 247, 71]
+    assert green[15].tolist() == [0, 0, 0, 0, 8, 29, 53, 66, 71, 69, 56, 31, 8, 0, 0, 0]
+
+
+def test_webp_batches_of_mixed_sizes():
+    """Many images in step, large ones and broken ones among them, are what each is by itself."""
+    r = np.random.default_rng(5)
+    files, want = [], []
+    for k in range(130):
+        h, w = (int(x) for x in (r.integers(1, 30, 2) if k % 40 else (300, 211)))
+        o = webp_write.VARIANTS[k % len(webp_write.VARIANTS)]
+        a = image(r, h, w, k % 4)
+        files.append(webp_write.encode(a, o, k))
+        want.append((w, h, a.tobytes(), None))
+        if k % 10 == 3:
+            files.append(None if k % 20 == 3 else files[-1][: len(files[-1]) // 2])
+            want.append((None, None, None, None))
+    for batch in (webp.BATCH, 20_000):
+        webp.BATCH, before = batch, webp.BATCH
+        got = [x for part in webp.decode_many(files) for x in part]
+        webp.BATCH = before
+        assert len(got) == len(want) and all(g == x if x[0] or f is None else g[:3] == (None,) * 3 and g[3] for f, g, x in zip(files, got, want))
 
 
 def test_webp_tables(spark):
@@ -709,8 +738,10 @@ def test_webp_tables(spark):
     made = {x["image_id"]: x for x in webp.decode_images(webp_write.picture_files(pages)).collect()}
     assert made[12]["pixels"] is None and len(made) == 14
     for i in range(12):
-        want = webp_write.picture(prose(i, 30), 12, 2 if webp_write.VARIANTS[i % 6].palette else 256)
-        assert bytes(made[i]["pixels"]) == want.tobytes()
+        grey = webp_write.VARIANTS[i % 6].palette
+        assert bytes(made[i]["pixels"]) == webp_write.picture(prose(i, 30), grey).tobytes()
+        body = np.frombuffer(made[i]["pixels"], np.uint8).reshape(-1, 4)[:, : 1 if grey else 3].tobytes()
+        assert body.rstrip(b"\0") == prose(i, 30).encode()  # the whole page is in the picture
 
 
 # --- all
