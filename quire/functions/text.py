@@ -45,8 +45,8 @@ def count_of(t: Column, chars: str) -> Column:
 
 
 def printable(t: Column) -> Column:
-    """Visible characters: neither control, unassigned nor white."""
-    return F.length(F.regexp_replace(t, r"[\p{C}\p{Z}\s]", ""))
+    """Visible characters: neither control, unassigned nor white. Only texts with other such characters than the plain space are searched for them."""
+    return F.when(t.rlike(r"[\p{C}\p{Z}\s&&[^ ]]"), F.length(F.regexp_replace(t, r"[\p{C}\p{Z}\s]", ""))).otherwise(F.length(t) - spaces(t))
 
 
 def spaces(t: Column) -> Column:
@@ -62,13 +62,14 @@ def script_family(language: Column, sample: Column) -> Column:
     seen = F.lit("default")
     for name, chars in reversed(SCRIPTS):
         seen = F.when(count_of(sample, chars) > 0.30 * F.length(sample), name).otherwise(seen)
-    return F.coalesce(told, F.when(language.isNotNull() & (language != ""), "default"), seen)
+    latin = ~sample.rlike("[^\u0000-\u05ff]")  # no character of any of the scripts
+    return F.coalesce(told, F.when((language.isNotNull() & (language != "")) | latin, "default"), seen)
 
 
 def direction(t: Column) -> Column:
     right = F.length(t) - F.length(F.regexp_replace(t, RTL, ""))
     left = F.length(F.regexp_replace(F.regexp_replace(t, RTL, ""), r"[^\p{L}]", ""))
-    return F.when(right > 0.30 * (right + left), "rtl").otherwise("ltr")
+    return F.when(t.rlike(RTL) & (right > 0.30 * (right + left)), "rtl").otherwise("ltr")
 
 
 def quality(t: Column, language: Column) -> Column:

@@ -22,16 +22,17 @@ def coverage(lo: np.ndarray, hi: np.ndarray, start: float, end: float, across_lo
     size = (end - start) / bins
     first = np.maximum(0, ((lo - start) / size).astype(int))
     last = np.minimum(bins - 1, ((hi - start) / size).astype(int))
-    out = np.zeros(bins)
     order = np.argsort(across_lo, kind="stable")
-    reach = np.full(bins, -np.inf)
-    for k in order:
-        if across_hi[k] <= across_lo[k]:
-            continue
-        s = slice(first[k], last[k] + 1)
-        out[s] += np.maximum(0.0, across_hi[k] - np.maximum(across_lo[k], reach[s]))
-        reach[s] = np.maximum(reach[s], across_hi[k])
-    return out / extent
+    order = order[across_hi[order] > across_lo[order]]
+    if not len(order):
+        return np.zeros(bins)
+    at = np.arange(bins)[:, None]
+    touch = (first[order] <= at) & (at <= last[order])
+    low, high = across_lo[order], across_hi[order]
+    reach = np.full(touch.shape, -np.inf)  # how far the boxes before go, by bin
+    reach[:, 1:] = np.maximum.accumulate(np.where(touch, high, -np.inf), 1)[:, :-1]
+    new = np.where(touch, np.maximum(0.0, high - np.maximum(low, reach)), 0.0)
+    return np.cumsum(new, 1)[:, -1] / extent
 
 
 def best_cut(cover: np.ndarray, start: float, end: float, gap: float) -> float | None:

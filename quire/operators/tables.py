@@ -49,25 +49,29 @@ def split_on_gaps(text: Column, x0: Column, x1: Column, positions: Column | None
     """Parts (text, x0, x1) of a span, cut where a character starts `gap` or more after the last one that is no space."""
     n, w = F.length(text), x1 - x0
     one = w / F.greatest(n, F.lit(1))
-    spread = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(F.substr(text, i + 1, F.lit(1)).alias("ch"), (x0 + i * one).alias("x")))
+    letters = F.when(n > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    spread = F.transform(letters, lambda c, i: F.struct(c.alias("ch"), (x0 + i * one).alias("x")))
     chars = spread if positions is None else F.when(F.size(positions) > 0, positions).otherwise(spread)
-    kind = "array<struct<text:string,x0:double,x1:double>>"
-    start = F.struct(F.array().cast(kind).alias("done"), F.lit("").alias("t"), F.lit(0.0).alias("a"), F.lit(0.0).alias("last"))
-    part = lambda acc: F.struct(acc["t"].alias("text"), acc["a"].alias("x0"), (acc["last"] + one).alias("x1"))
-
-    def step(acc: Column, c: Column) -> Column:
-        space, empty = c["ch"] == " ", acc["t"] == ""
-        cut = ~empty & (c["x"] - acc["last"] >= gap)
-        fresh = cut | empty
-        return F.struct(
-            F.when(cut, F.array_append(acc["done"], part(acc))).otherwise(acc["done"]).alias("done"),
-            F.when(space, F.when(cut, "").otherwise(acc["t"])).when(fresh, c["ch"]).otherwise(F.concat(acc["t"], c["ch"])).alias("t"),
-            F.when(~space & fresh, c["x"]).otherwise(acc["a"]).alias("a"),
-            F.when(space, acc["last"]).otherwise(c["x"]).alias("last"),
-        )
+    count = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def cut(c: Column) -> Column:
+        """c: characters; v: places of those that are no space; s: places in v where a part starts."""
+
+        def starts(v: Column, k: Column) -> Column:
+            before, here = F.get(v, k - 1), F.get(v, k)
+            reach = F.when(here - before == 1, F.get(c, here)["x"]).otherwise(F.array_max(F.transform(F.slice(c, before + 2, here - before), lambda o: o["x"])))
+            return (k == 0) | (reach - F.get(c, before)["x"] >= gap)
+
+        def part(v: Column, s: Column, k: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(s, j + 1), F.size(v))
+            letters = F.transform(F.slice(v, k + 1, end - k), lambda i: F.get(c, i)["ch"])
+            return F.struct(F.array_join(letters, "").alias("text"), F.get(c, F.get(v, k))["x"].cast("double").alias("x0"), (F.get(c, F.get(v, end - 1))["x"] + one).cast("double").alias("x1"))
+
+        full = F.filter(count(c), lambda i: F.get(c, i)["ch"] != " ")
+        return X.let(full, lambda v: X.let(F.filter(count(v), lambda k: starts(v, k)), lambda s: F.transform(s, lambda k, j: part(v, s, k, j))))
 
     whole = F.array(F.struct(text.alias("text"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1")))
-    parts = F.aggregate(chars, start, step, lambda acc: F.when(acc["t"] != "", F.array_append(acc["done"], part(acc))).otherwise(acc["done"]))
+    parts = X.let(chars, cut)
     return F.when((n == 0) | (w <= 0) | (F.size(parts) == 0), whole).otherwise(parts)
 
 
