@@ -9,8 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What the cluster names in spark.checkpoint.dir; a local folder only where it names none (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quire-checkpoints")
+    """What the cluster names in spark.checkpoint.dir; a temporary folder only where it names none and all runs in this process (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "quire-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
