@@ -33,7 +33,7 @@ def run_extract(a: argparse.Namespace, spark: SparkSession) -> int:
             print(f"{r['path']}: {r['message']}", file=sys.stderr)
         return 1
     folder = a.output or (a.path if os.path.isdir(a.path) else os.path.dirname(os.path.abspath(a.path)))
-    texts = made.json().withColumnRenamed("json", "text") if a.format == "json" else made.texts
+    texts = made.json(time.time() - began).withColumnRenamed("json", "text") if a.format == "json" else made.texts
     written = sinks.write_documents(texts, folder, SUFFIX[a.format]).collect()
     total = sinks.summary(made.scores, made.failures).first().asDict()
     if a.format == "json" and os.path.isdir(a.path):
@@ -42,7 +42,7 @@ def run_extract(a: argparse.Namespace, spark: SparkSession) -> int:
     if not a.quiet:
         print(sinks.report(made.scores, triage.tally(made.pages)))
         for r in written:
-            print(r["path"])
+            print(f"{r['path']}{' (overwritten)' if r['overwritten'] else ''}")
     return 0
 
 

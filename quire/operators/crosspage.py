@@ -122,4 +122,7 @@ def run(pages: DataFrame, blocks: DataFrame, cfg: EngineConfig = DEFAULT) -> tup
     changed = typed.alias("n").join(blocks.select("doc_id", "block_id", F.col("block_type").alias("was")), ["doc_id", "block_id"]).where("block_type <> was").groupBy("doc_id").agg(F.count("*").alias("n"))
     said = B.warnings(changed.withColumn("page_num", F.lit(None).cast("int")), 7, F.format_string("stage7: %d repeating block(s) typed header or footer", F.col("n")))
     headed, more = guess_headings(typed, cfg)
-    return nest_headings(cut(headed), cfg), said.unionByName(more)
+    nested = cut(nest_headings(cut(headed), cfg))
+    broken = B.dangling_parents(nested)
+    lost = B.warnings(broken, 7, F.format_string("stage7: block %s on page %d names an unknown parent %s", "block_id", "page_num", "parent_id"))
+    return nested, said.unionByName(more).unionByName(lost)

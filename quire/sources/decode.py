@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.functions import text as X
-from quire.schema import BBOX
+from quire.schema import BBOX, RAW_BLOCK
+from quire.sources import pdf
 
-#: One page: (width, height, plain text, image boxes as (x0, y0, x1, y1)).
-Layer = tuple[float, float, str, list[tuple[float, float, float, float]]]
-Decoder = Callable[[bytes, str | None], tuple[str | None, list[Layer]]]
+#: A decoder gets the bytes of a file and a password, and returns its title and pages.
+Decoder = Callable[[bytes, str | None], tuple[str | None, list[pdf.Page]]]
 
-DECODED = f"doc_id string, title string, page_num int, width double, height double, text string, image_boxes array<{BBOX}>, error string"
+BLOCKS = "array<struct<" + RAW_BLOCK.split("page_num int, ")[1].replace("block_no int, type int, bbox ", "block_no:int,type:int,bbox:").replace(", lines ", ",lines:") + ">>"
+DECODED = f"doc_id string, title string, page_num int, width double, height double, text string, image_boxes array<{BBOX}>, blocks {BLOCKS}, error string"
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
@@ -28,48 +29,7 @@ def files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
     return reader.load(path).select("path", "content", "length")
 
 
-_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)\s*(?:Tj|')|\[((?:\\.|[^\]])*)\]\s*TJ|(T\*|TD|Td|ET)", re.S)
-_PART = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
-_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3})")
-_PLAIN = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"(": b"(", b")": b")", b"\\": b"\\"}
-
-
-def _unescape(raw: bytes) -> bytes:
-    return _ESCAPE.sub(lambda m: _PLAIN.get(m[1]) or bytes([int(m[1], 8) & 255]), raw)
-
-
-def simple_pdf(data: bytes, password: str | None = None) -> tuple[str | None, list[Layer]]:
-    """A small reader for unencrypted files with Flate or plain content streams and Latin text; no libraries."""
-    if not data.startswith(b"%PDF"):
-        raise ValueError("not a PDF file")
-    if b"/Encrypt" in data:
-        raise ValueError("the file is encrypted and needs a password")
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
-
-    def stream(number: int) -> bytes:
-        m = re.search(rb"stream\r?\n(.*?)\r?\n?endstream", objects.get(number, b""), re.S)
-        if not m:
-            return b""
-        return zlib.decompressobj().decompress(m[1]) if b"FlateDecode" in objects[number] else m[1]
-
-    title = re.search(rb"/Title\s*\(((?:\\.|[^\\)])*)\)", data, re.S)
-    pages: list[Layer] = []
-    for _, body in sorted(objects.items()):
-        if not re.search(rb"/Type\s*/Page\b", body):
-            continue
-        box = re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", body) or re.search(rb"/MediaBox\s*\[\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)", data)
-        x0, y0, x1, y1 = map(float, box.groups()) if box else (0.0, 0.0, 612.0, 792.0)
-        content = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
-        raw = b"\n".join(stream(int(n)) for n in re.findall(rb"(\d+)\s+\d+\s+R", content[1])) if content else b""
-        text = b""
-        for m in _STRING.finditer(raw):
-            text += _unescape(m[1]) if m[1] is not None else b"".join(_unescape(p) for p in _PART.findall(m[2])) if m[2] is not None else b"\n"
-        images = [(e, f, e + a, f + d) for a, d, e, f in (map(float, g) for g in re.findall(rb"([-\d.]+)\s+[-\d.]+\s+[-\d.]+\s+([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)\s+cm\s+/\w+\s+Do", raw))]
-        pages.append((x1 - x0, y1 - y0, re.sub(r"\n{2,}", "\n", text.decode("latin-1")).strip(), images))
-    return (_unescape(title[1]).decode("latin-1") or None) if title else None, pages
-
-
-DECODERS: dict[str, Decoder] = {"simple": simple_pdf}
+DECODERS: dict[str, Decoder] = {"simple": pdf.read}
 
 
 def register_decoder(name: str, decoder: Decoder) -> None:
@@ -78,27 +38,44 @@ def register_decoder(name: str, decoder: Decoder) -> None:
 
 
 def decode(found: DataFrame, decoder: str | Decoder = "simple", password: str | None = None) -> DataFrame:
-    """A row for each page, and one with an error for each file without any."""
+    """A row for each page, with an error where it can't be read, and one with an error for each file without any.
+
+    A task holds the files of its partition (of spark.sql.files.maxPartitionBytes at most) and the pages of one of them.
+    """
     read = DECODERS[decoder] if isinstance(decoder, str) else decoder
+    schema = to_arrow_schema(T._parse_datatype_string(DECODED))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows: list[tuple] = []
-            for path, data in zip(pdf["path"], pdf["content"]):
-                try:
-                    title, pages = read(bytes(data), password)
-                    rows += [(path, title, k, w, h, text, [dict(zip(("x0", "y0", "x1", "y1"), b)) for b in boxes], None) for k, (w, h, text, boxes) in enumerate(pages)]
-                    if not pages:
-                        rows.append((path, title, None, None, None, None, None, "no pages"))
-                except Exception as e:  # a broken file must not end the job: it becomes a row
-                    rows.append((path, None, None, None, None, None, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["doc_id", "title", "page_num", "width", "height", "text", "image_boxes", "error"])
+    def rows(path: str, data: bytes) -> list[dict]:
+        none = dict.fromkeys(schema.names) | {"doc_id": path}
+        try:
+            title, pages = read(bytes(data), password)
+        except Exception as e:  # a broken file must not end the job: it becomes a row
+            return [none | {"error": str(e) or type(e).__name__}]
+        box = lambda b: dict(zip(("x0", "y0", "x1", "y1"), b))
+        told = [none | {"title": title, "page_num": k, "width": float(p.width), "height": float(p.height), "text": p.text, "image_boxes": [box(b) for b in p.images], "blocks": p.blocks or None, "error": p.error} for k, p in enumerate(pages)]
+        return told or [none | {"title": title, "error": "no pages"}]
 
-    return found.select("path", "content").mapInPandas(run, DECODED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield pa.RecordBatch.from_pylist(rows(b.column(0)[i].as_py(), b.column(1)[i].as_py()), schema=schema)
+
+    return found.select("path", "content").mapInArrow(run, DECODED)
 
 
 def pages_of(decoded: DataFrame) -> DataFrame:
-    return decoded.where("page_num IS NOT NULL").withColumn("title", F.nullif("title", F.lit(""))).drop("error")
+    return decoded.where("page_num IS NOT NULL").withColumn("title", F.nullif("title", F.lit(""))).drop("error", "blocks")
+
+
+def raw_blocks(decoded: DataFrame) -> DataFrame:
+    """RAW_BLOCK rows of the pages whose decoder tells the place of each character."""
+    return decoded.where("page_num IS NOT NULL").select("doc_id", "page_num", F.explode("blocks").alias("b")).select("doc_id", "page_num", "b.*")
+
+
+def page_errors(decoded: DataFrame) -> DataFrame:
+    """Warnings of the pages that could not be read."""
+    bad = decoded.where("page_num IS NOT NULL AND error IS NOT NULL")
+    return bad.select("doc_id", "page_num", F.lit(0).alias("stage"), F.lit(0).alias("seq"), F.concat(F.lit("stage0: page can't be read: "), F.col("error")).alias("msg"))
 
 
 def failures(decoded: DataFrame) -> DataFrame:
@@ -107,13 +84,11 @@ def failures(decoded: DataFrame) -> DataFrame:
     return decoded.where("page_num IS NULL").select(F.col("doc_id").alias("path"), said.alias("message"))
 
 
-def text_blocks(pages: DataFrame, cfg=None) -> DataFrame:
-    """Blocks from the plain text of pages, a line each, for decoders without character boxes."""
-    from quire.functions import geometry as G
+def text_blocks(decoded: DataFrame, cfg=None) -> DataFrame:
+    """Blocks from the plain text of pages, a line each, for decoders that don't tell where characters are: they have no boxes."""
     from quire.operators import blocks as B
 
-    lines = pages.select("doc_id", "page_num", "width", F.posexplode(F.split("text", "\n")).alias("seq", "text")).where(~X.blank(F.col("text")))
-    y = F.lit(40.0) + F.col("seq") * 16
-    rows = lines.withColumns({"bbox": G.bbox(F.lit(72.0), y, F.lit(72.0) + F.least(F.length("text") * 5.0, F.lit(450.0)), y + 12.0), "text": X.strip(F.col("text"))})
-    rows = rows.withColumns({"confidence": B.confidence(text_quality=X.quality(F.col("text"), F.lit(None).cast("string"))), "script_direction": X.direction(F.col("text"))})
+    pages = decoded.where("page_num IS NOT NULL AND blocks IS NULL")
+    rows = pages.select("doc_id", "page_num", F.posexplode(F.split("text", "\n")).alias("seq", "text")).where(~X.blank(F.col("text")))
+    rows = rows.withColumn("text", X.strip(F.col("text"))).withColumns({"confidence": B.confidence(text_quality=X.quality(F.col("text"), F.lit(None).cast("string"))), "script_direction": X.direction(F.col("text"))})
     return B.as_blocks(rows, "s1")

@@ -41,8 +41,8 @@ def collected_warnings(warnings: DataFrame) -> DataFrame:
     return warnings.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda w: w["msg"]).alias("warnings"))
 
 
-def payload(pages: DataFrame, blocks: DataFrame, scores: DataFrame, texts: DataFrame, warnings: DataFrame) -> DataFrame:
-    """doc_id and json: source, confidence, warnings, triage counts, blocks, pages and text."""
+def payload(pages: DataFrame, blocks: DataFrame, scores: DataFrame, texts: DataFrame, warnings: DataFrame, elapsed: float | None = None) -> DataFrame:
+    """doc_id and json: source, confidence, elapsed seconds of the run (if given), warnings, triage counts, blocks, pages and text."""
     n = blocks.groupBy("doc_id", "page_num").agg(F.count("*").alias("blocks"))
     said = warnings.where("page_num IS NOT NULL").groupBy("doc_id", "page_num").agg(F.transform(F.array_sort(F.collect_list(F.struct("stage", "seq", "msg"))), lambda w: w["msg"]).alias("warnings"))
     none = F.array().cast("array<string>")
@@ -51,7 +51,7 @@ def payload(pages: DataFrame, blocks: DataFrame, scores: DataFrame, texts: DataF
     kinds = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.count_if(F.col("triage") == k)) for k in ("text_native", "ocr_needed", "hybrid")]))
     by = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"), kinds.alias("triage"), F.sum(F.coalesce("blocks", F.lit(0))).alias("total_blocks"))
     whole = by.join(scores, "doc_id", "left").join(texts, "doc_id", "left").join(collected_warnings(warnings), "doc_id", "left")
-    out = F.struct(F.col("doc_id").alias("source"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("warnings", none).alias("warnings"), "triage", "total_blocks", "pages", F.coalesce("text", F.lit("")).alias("text"))
+    out = F.struct(F.col("doc_id").alias("source"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.round(F.lit(elapsed).cast("double"), 2).alias("elapsed_seconds"), F.coalesce("warnings", none).alias("warnings"), "triage", "total_blocks", "pages", F.coalesce("text", F.lit("")).alias("text"))
     return whole.select("doc_id", F.to_json(out).alias("json"))
 
 
@@ -61,8 +61,17 @@ def summary(scores: DataFrame, failures: DataFrame) -> DataFrame:
     return ok.crossJoin(failures.agg(F.count("*").alias("failed"))).select((F.col("succeeded") + F.col("failed")).alias("total"), "succeeded", "failed", "avg_confidence")
 
 
+def names(texts: DataFrame, suffix: str) -> DataFrame:
+    """texts with the file name of each document: its stem, and a part of its id's hash where several have the same stem."""
+    base = F.regexp_extract("doc_id", r"([^/]*?)(?:\.[^./]*)?/?$", 1)
+    stem = F.when(base == "", "document").otherwise(base)
+    alike = texts.select("doc_id", stem.alias("stem")).distinct().groupBy("stem").agg((F.count("*") > 1).alias("alike"))
+    on = texts.withColumn("stem", stem).join(alike, "stem")
+    return on.withColumn("name", F.concat("stem", F.when(F.col("alike"), F.concat(F.lit("-"), F.substring(F.md5("doc_id"), 1, 8))).otherwise(""), F.lit(f".{suffix}"))).drop("stem", "alike")
+
+
 def write_documents(texts: DataFrame, folder: str, suffix: str = "md") -> DataFrame:
-    """Writes each document that has text to folder/<name>.<suffix> from the executors; returns path and bytes written."""
+    """Writes each document that has text to folder/<name>.<suffix> from the executors, which must all see the folder; returns path, bytes written and whether a file was overwritten."""
 
     def write(batches):
         import os
@@ -72,17 +81,16 @@ def write_documents(texts: DataFrame, folder: str, suffix: str = "md") -> DataFr
         os.makedirs(folder, exist_ok=True)
         for pdf in batches:
             done = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                if text:
-                    name = os.path.splitext(os.path.basename(str(doc)))[0] or "document"
-                    path, part = os.path.join(folder, f"{name}.{suffix}"), os.path.join(folder, f".{name}.{os.getpid()}")
-                    with open(part, "w", encoding="utf-8") as f:
-                        f.write(text)
-                    os.replace(part, path)  # a retried task leaves a whole file
-                    done.append((path, len(text.encode())))
-            yield pd.DataFrame(done, columns=["path", "bytes"])
-
-    return texts.select("doc_id", "text").mapInPandas(write, "path string, bytes long")
+            for name, text in zip(pdf["name"], pdf["text"]):
+                path, part = os.path.join(folder, name), os.path.join(folder, f".{name}.{os.getpid()}")
+                there = os.path.exists(path)
+                with open(part, "w", encoding="utf-8") as f:
+                    f.write(text)
+                os.replace(part, path)  # a retried task leaves a whole file
+                done.append((path, len(text.encode()), there))
+            yield pd.DataFrame(done, columns=["path", "bytes", "overwritten"])
+
+    return names(texts.select("doc_id", "text").where("text <> ''"), suffix).select("name", "text").mapInPandas(write, "path string, bytes long, overwritten boolean")
 
 
 def report(scores: DataFrame, tally: DataFrame) -> str:

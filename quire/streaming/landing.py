@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.config import DEFAULT, EngineConfig
+from quire.lineage import cut
 from quire.plans import pipeline
-from quire.sources import decode
 
 
 def landing(spark: SparkSession, folder: str, pattern: str = "*.pdf", per_trigger: int = 1000) -> DataFrame:
@@ -18,13 +18,11 @@ def landing(spark: SparkSession, folder: str, pattern: str = "*.pdf", per_trigge
 
 
 def extract_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, *, decoder="simple", output_format: str = "markdown", cfg: EngineConfig = DEFAULT, available_now: bool = True) -> StreamingQuery:
-    """Appends texts, scores and warnings of new files below `out`, each batch under its own number, so a repeated batch replaces itself."""
+    """Appends texts, scores, warnings and failures of new files below `out`, each batch under its own number, so a repeated batch replaces itself."""
 
     def batch(files: DataFrame, number: int) -> None:
-        session = files.sparkSession
-        pages = decode.pages_of(decode.decode(files, decoder))
-        made = pipeline.run_layers(session, pages, blocks=decode.text_blocks(pages), output_format=output_format, cfg=cfg)
-        for name, df in (("texts", made.texts), ("scores", made.scores), ("warnings", made.warnings)):
+        made = pipeline.extract_files(files.sparkSession, cut(files), decoder=decoder, output_format=output_format, cfg=cfg)
+        for name, df in (("texts", made.texts), ("scores", made.scores), ("warnings", made.warnings), ("failures", made.failures)):
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     writer = landing(spark, folder).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

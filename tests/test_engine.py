@@ -289,7 +289,7 @@ def test_plans_do_not_depend_on_partitions(spark):
 def pdf(folder, name, page_lines):
     objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [] /MediaBox [0 0 595 842] >>"]
     for lines in page_lines:
-        body = b"BT " + b" T* ".join(b"(" + t.encode("latin-1") + b") Tj" for t in lines) + b" ET"
+        body = b"BT /F1 10 Tf 14 TL 60 790 Td " + b" T* ".join(b"(" + t.encode("latin-1") + b") Tj" for t in lines) + b" ET"
         objects += [b"<< /Type /Page /Contents %d 0 R >>" % (len(objects) + 2), b"<< /Length %d >>\nstream\n" % len(body) + body + b"\nendstream"]
     (folder / name).write_bytes(b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i + 1, o) for i, o in enumerate(objects)) + b"<< /Title (My title) >>\n%%EOF")
 
@@ -303,6 +303,8 @@ def test_files_end_to_end(spark, tmp_path, capsys):
     out = tmp_path / "out"
     assert sinks.write_documents(made.texts, str(out), "txt").count() == 1 and (out / "a.txt").exists()
     assert cli.main(["info", str(tmp_path), "--json"], spark) == 0 and '"page_count": 3' in capsys.readouterr().out
+    boxes = [tuple(b["bbox"]) for b in made.blocks.where("page_num = 1").collect()]
+    assert boxes and all(60 <= x0 < x1 <= 595 and 40 < y0 < y1 < 250 for x0, y0, x1, y1 in boxes)  # from the file: 13 lines of 14 points below 790
     assert cli.main(["info", str(tmp_path / "nothing")], spark) == 1
     assert cli.main(["version", "-v"]) == 0
     with pytest.raises(ValueError):
