@@ -13,7 +13,7 @@ Defined results
   one side a prefix of the other      its completion is empty, its mask too
   several turns of one number         ordered by role, then text (nulls first)
   repeated rows                       a turn told twice is one turn
-  marks inside a text                 "<|" is written "< |", so that no text can forge a turn
+  marks inside a text or role         "<|" is written "< |", in a role "|>" "| >" and a line end a space too, so that none can forge a turn
   empty tables                        an empty result
   extra columns                       ignored, whatever their names
 """
@@ -38,7 +38,8 @@ def _safe(x: Column) -> Column:
 
 
 def _head(turn: Column) -> Column:
-    return F.concat(F.lit("<|"), _safe(turn["role"]), F.lit("|>\n"))
+    role = F.translate(F.replace(_safe(turn["role"]), F.lit("|>"), F.lit("| >")), "\n\r", "  ")
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"))
 
 
 def _tail(turn: Column) -> Column:

@@ -33,6 +33,12 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "quire-checkpoints")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is not needed any more, in whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A name like `name` that no column of df has."""
     taken = {c.lower() for c in df.columns}

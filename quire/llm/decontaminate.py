@@ -150,12 +150,12 @@ def _models(docs: DataFrame, benchmark: DataFrame, n: int, min_words: int, item_
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), max_automaton_chars: int = 64_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), max_automaton_chars: int = 8_000_000) -> DataFrame:
     """Every run of at least `n` words that a document shares with a benchmark item.
 
     Returns doc_id, item_id, start, end (characters of the original text, end exclusive), n_words and
     item_share (the share of the item's words in the run). The benchmark is broadcast only up to
-    `max_automaton_chars` pattern characters; a larger one is scanned in several automata by hash of the item.
+    `max_automaton_chars` pattern characters (some 400 MB of automaton for each worker); a larger one is scanned in several automata by hash of the item.
     """
     item_type = column_type(benchmark, item_col)
     texts = pick(docs, doc_id=id_col, text=text_col)
@@ -178,7 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words:
     return result
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words: int = 4, text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), max_automaton_chars: int = 64_000_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, n: int = 8, min_words: int = 4, text_col: str = "text", item_col: str = "item_id", item_text_cols: tuple[str, ...] = ("text",), max_automaton_chars: int = 8_000_000) -> DataFrame:
     """The rows of docs without a leak, with all their columns: each row is decided on its own text, without a join."""
     place = docs.columns.index(text_col)
     for model in _models(docs, benchmark, n, min_words, item_col, item_text_cols, max_automaton_chars):

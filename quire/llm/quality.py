@@ -7,7 +7,7 @@ have not seen, turns it into the probability that the document is good; as the s
 says less, the curve has the logarithm of the length below one piece and its product with the score besides.
 
 Defined results
-  null or empty text   score 0.0 and the calibrated probability of 0.0
+  null or empty text   score 0.0 and probability 0.5: nothing speaks against it, it is kept
   labels with null id or quality, or of documents that are not there   ignored
   labels of one kind only, or none   probability 0.5 for all: everything is kept
   several labels for one id   each counts
@@ -69,6 +69,8 @@ class Model:
 
     def judge(self, text: str | None) -> tuple[float, float]:
         """Score and probability of a text."""
+        if not text:
+            return 0.0, 0.5
         s = self.score(text)
         x = sum(c * v for c, v in zip(self.curve, terms(s, text)))
         return s, 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))

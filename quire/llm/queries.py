@@ -91,7 +91,7 @@ b AS (
   FROM e),
 d AS (SELECT *, min(CASE WHEN c IS DISTINCT FROM r THEN k END) OVER (PARTITION BY conv_id) AS f FROM b),
 h AS (
-  SELECT conv_id, k, f, role, '<|' || replace(coalesce(role, ''), '<|', '< |') || '|>' || chr(10) AS h,
+  SELECT conv_id, k, f, role, '<|' || translate(replace(replace(coalesce(role, ''), '<|', '< |'), '|>', '| >'), chr(10) || chr(13), '  ') || '|>' || chr(10) AS h,
     replace(coalesce(c, ''), '<|', '< |') || '<|end|>' || chr(10) AS c, replace(coalesce(r, ''), '<|', '< |') || '<|end|>' || chr(10) AS r
   FROM d WHERE f IS NOT NULL),
 s AS (
