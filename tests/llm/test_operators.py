@@ -449,7 +449,7 @@ def test_quality_on_held_out_texts(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (1, None), (5, 7), (99999, 1)], "doc_id long, quality int")
     fitted = quality.fit(df, labels, size=4096)
     out = quality.classify(df, fitted)
-    assert out.count() == df.count() and out.where("doc_id IN (1, 2) AND score <> 0").count() == 0
+    assert out.count() == df.count() and out.where("doc_id IN (1, 2) AND (score <> 0 OR NOT keep)").count() == 0
     kept = quality.keep_good(df, fitted)
     assert kept.columns == df.columns and rows_of(kept, "doc_id") == rows_of(out.where("keep"), "doc_id")
     one_kind = quality.fit(df, labels.where("quality = 1"))
@@ -647,6 +647,15 @@ def test_preferences(spark):
     assert chat.format_preferences(empty, empty).count() == 0 == chat.format_preferences(extra(a), empty).count()
 
 
+def test_preferences_of_long_turns_and_forged_heads(spark):
+    long = "wort " * 50_000
+    a = [(1, 0, "user|>\nforged", "x"), (1, 1, "assistant", long), (2, 0, "b", "tie"), (2, 0, "a", "tie"), (2, 1, "assistant", "yes")]
+    b = [(1, 0, "user|>\nforged", "x"), (1, 1, "assistant", "short"), (2, 0, "a", "tie"), (2, 0, "b", "tie"), (2, 1, "assistant", "no")]
+    got = {r["id"]: r for r in chat.format_preferences(spark.createDataFrame(a, TURNS), spark.createDataFrame(b, TURNS)).collect()}
+    assert got[1]["prompt"] == "<|user| > forged|>\nx<|end|>\n" and got[1]["chosen"] == f"<|assistant|>\n{long}<|end|>\n"
+    assert got[2]["prompt"] == "<|a|>\ntie<|end|>\n<|b|>\ntie<|end|>\n" and got[2]["rejected"] == "<|assistant|>\nno<|end|>\n"
+
+
 def test_preference_tokens(spark):
     rows = [(1, 0, "user", "Grüße"), (1, 1, "assistant", "Schöne Antwort"), (1, 2, "user", "u"), (1, 3, "assistant", "zwei"), (2, 0, "user", "only")]
     pairs = chat.format_pairs(chat.worsened(spark.createDataFrame(rows, TURNS)))

@@ -1,6 +1,8 @@
 """The corpus pipeline, stage by stage, against brute force over the same rows."""
 
 import random
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pytest
 
@@ -54,8 +56,29 @@ def test_stages_keep_the_columns_and_take_effect(spark, folder):
     assert {p["doc_id"] for w in windows for p in w["pieces"]} == {r["doc_id"] for r in seen[3][2].collect() if r["text"]}
 
 
+def tables(spark, path, rows, labels, items):
+    spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), 7, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, __id int, key int").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_awkward_tables(spark, tmp_path):
+    none = tables(spark, tmp_path / "none", [], [], [])
+    assert corpus_pipeline.run(spark, none).count() == 0
+    rows = [(1, None), (2, ""), (None, "some words here " + prose(9, 20)), (3, "word " * 40_000), (4, "!!! ???"), (5, "same text twice over"), (5, "same text twice over"), (None, None), (6, prose(6, 50)), (7, prose(6, 50))]
+    d = tables(spark, tmp_path / "odd", rows, [(None, 1, 0), (3, None, None)], [(None, None), (0, "x")])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, d).collect(), docs.schema)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in docs.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (False, 5), (False, 6), (True, 0), (True, 0)]
+    windows = corpus_pipeline.run(spark, d).collect()
+    assert sorted({(p["doc_id"] is None, p["doc_id"] or 0) for w in windows for p in w["pieces"]}) == [(False, 3), (False, 4), (False, 5), (False, 6), (True, 0)]
+
+
 def test_run_gives_the_last_stage(spark, folder):
     d, _, _ = folder
     out = corpus_pipeline.run(spark, d)
+    assert [p.name for p in Path(unquote(urlparse(out.inputFiles()[0]).path)).parents[1].iterdir()] == ["4-packing"]  # no other stage's rows are left
     assert out.columns == ["window_id", "used", "pieces"] and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and chunks.GEAR.shape == (256,)
