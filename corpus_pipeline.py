@@ -1,7 +1,17 @@
 """The corpus pipeline: quality, near copies, repeated passages, benchmark leaks, then windows.
 
 Each stage works on all that its predecessor kept and is written as Parquet in the shared folder before the next
-one reads it, so a lost executor costs a stage's tasks at most, never the stages before it.
+one reads it, so a lost executor costs a stage's tasks at most, never the stages before it. What a stage has read is
+deleted once its own rows are written; the rows of the last stage stay.
+
+Defined results (those of the operators hold for each stage)
+  null or empty text   kept by every stage before packing, whatever its score; not packed
+  null doc_id          never a near copy nor cut; judged, searched for leaks and packed like any other
+  no labels            nothing is rejected
+  repeated rows        one document to the near copies and passages: all of them stay; each is packed
+  ties                 of near copies the smallest doc_id stays, of passages the first place in it
+  empty table          no windows
+  extra columns        kept by all stages but packing, whatever their names
 """
 
 from __future__ import annotations
@@ -11,7 +21,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import chunks, decontaminate, jaccard, packing, quality
-from quire.llm.common import shared_folder, table
+from quire.llm.common import remove, shared_folder, table
 from quire.llm.queries import TOKENIZER
 
 
@@ -48,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
