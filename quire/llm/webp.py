@@ -22,14 +22,16 @@ Defined results
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import column_type, map_arrow, pick
+from quire.llm.common import column_type, pick
 
 #: The bits of every 16-bit number in reverse order.
 _B = np.arange(1 << 16, dtype=np.uint32)
@@ -41,8 +43,8 @@ REVERSED = _B.tolist()
 TURNED = [(_B[: 1 << n] >> 16 - n).astype(np.int64) for n in range(16)]
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 OPAQUE = 0xFF000000
-LEAST = 40
-BATCH = 4_000_000
+LEAST = 60
+BATCH = 8_000_000
 
 
 def _near() -> list[tuple[int, int]]:
@@ -106,6 +108,15 @@ class Code:
             raise ValueError("an incomplete prefix code" if times.sum() < 1 << self.bits else "an overfull prefix code")
         self.array = np.repeat(used << 4 | n, times)[TURNED[self.bits]]
 
+    @classmethod
+    def of(cls, symbols: list[int]) -> Code:
+        """The code of one or two symbols of one bit."""
+        self = cls.__new__(cls)
+        symbols = sorted(set(symbols))
+        self.bits = len(symbols) - 1
+        self.array = np.array([s << 4 | self.bits for s in symbols], np.int64)
+        return self
+
     @property
     def table(self) -> list[int]:
         return self.array.tolist()
@@ -133,10 +144,7 @@ def read_code(b: Bits, size: int) -> Code:
         symbols = [b.read(8 if wide else 1)]
         if two:
             symbols.append(b.read(8))
-        lengths = [0] * max(size, 256)
-        for s in symbols:
-            lengths[s] = 1
-        return Code(lengths)
+        return Code.of(symbols)
     own = [0] * 19
     for k in range(4 + b.read(4)):
         own[LENGTH_ORDER[k]] = b.read(3)
@@ -609,7 +617,7 @@ def _finish(images: list[Image]) -> None:
             x.back(True)
 
 
-def decode_many(files: list[bytes | None], max_pixels: int = 64_000_000) -> Iterator[list[tuple]]:
+def decode_many(files: Iterable[bytes | None], max_pixels: int = 64_000_000) -> Iterator[list[tuple]]:
     """(width, height, RGBA bytes, error) of each file, in order, in lists of some BATCH pixels; all None for None."""
     held: list = []
     pixels = entries = 0
@@ -649,11 +657,14 @@ def decode_images(images: DataFrame, *, id_col: str = "image_id", data_col: str
     rows = pick(images, image_id=id_col, data=data_col).withColumn("data", F.col("data").cast("binary"))
     schema = T.StructType([T.StructField("image_id", column_type(rows, "image_id")), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.BinaryType()), T.StructField("error", T.StringType())])
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for found in decode_many(b["data"], max_pixels):
-                yield dict(zip(schema.names, (b["image_id"][at : at + len(found)], *zip(*found))))
+            for found in decode_many((x.as_py() for x in b.column(1)), max_pixels):
+                cols = [b.column(0).slice(at, len(found)), *(pa.array(c, f.type) for c, f in zip(zip(*found), list(arrow)[1:]))]
+                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
                 at += len(found)
 
-    return map_arrow(rows, run, schema)
+    return rows.mapInArrow(run, schema)

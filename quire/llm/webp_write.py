@@ -6,17 +6,15 @@ Every tool of the format can be turned on by itself; the writer aims at covering
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quire.llm.common import column_type, map_arrow, pick
-from quire.llm.webp import LENGTH_ORDER, NEAR, OPAQUE, REVERSED
+from quire.llm.webp import LENGTH_ORDER, NEAR, OPAQUE, TURNED
 
 
 @dataclass(frozen=True)
@@ -63,105 +61,102 @@ class Sink:
         return b"".join(self.parts) + self.value.to_bytes((self.count + 7) // 8, "little")
 
 
-def lengths_of(counts: dict[int, int], most: int) -> dict[int, int]:
-    """Code lengths of at most `most` bits; counts are flattened until they fit."""
-    if len(counts) == 1:
-        return dict.fromkeys(counts, 1)
+def lengths_of(counts: np.ndarray, most: int) -> np.ndarray:
+    """Lengths of a complete code of at most `most` bits for two or more counts above 0: the logarithm rounded up, then as many of the longest shortened as fill the code."""
     while True:
-        rows = sorted(counts.items(), key=itemgetter(1))
-        n = len(rows)
-        weight = [c for _, c in rows]
-        up = [0] * (2 * n - 1)
-        i, j = 0, n
-        for k in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if j >= k or (i < n and weight[i] <= weight[j]):
-                    total += weight[i]
-                    up[i] = k
-                    i += 1
-                else:
-                    total += weight[j]
-                    up[j] = k
-                    j += 1
-            weight.append(total)
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[up[k]] + 1
-        if max(depth) <= most:
-            return {s: d for (s, _), d in zip(rows, depth)}
-        counts = {s: c // 2 + 1 for s, c in rows}
-
-
-def codes_of(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """symbol -> (bits to write, how many)."""
-    if len(lengths) == 1:
-        return {next(iter(lengths)): (0, 0)}
-    out = {}
-    code = last = 0
-    for x in sorted([n << 16 | s for s, n in lengths.items()]):
-        n = x >> 16
-        code <<= n - last
-        last = n
-        out[x & 0xFFFF] = (REVERSED[code] >> 16 - n, n)
-        code += 1
+        n = np.clip(np.ceil(np.log2(counts.sum() / counts)).astype(np.int64), 1, most)
+        left = (1 << most) - int((1 << most - n).sum())
+        if left >= 0:
+            break
+        counts = counts // 2 + 1
+    held = np.bincount(n, minlength=most + 1).tolist()
+    for k in range(most, 1, -1):
+        shorter = min(left >> most - k, held[k])
+        held[k] -= shorter
+        held[k - 1] += shorter
+        left -= shorter << most - k
+    out = np.empty(len(counts), np.int64)
+    out[np.argsort(-counts, kind="stable")] = np.repeat(np.arange(most + 1), held)
     return out
 
 
-def put_code(sink: Sink, counts: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """Writes the code of some counts and returns it."""
-    counts = counts or {0: 1}
-    if len(counts) <= 2 and max(counts) < 256:
-        symbols = sorted(counts)
-        sink.put(1 | (len(symbols) - 1) << 1 | 1 << 2, 3)
-        for s in symbols:
-            sink.put(s, 8)
-        return codes_of(dict.fromkeys(symbols, 1))
-    lengths = lengths_of(counts, 15)
-    rows: list[int] = []  # symbol, extra value and extra bits in one number
-    at = same = 0
-    before = -1
-    for s in sorted(lengths):
-        gap = s - at
-        if gap:
-            same = 0
-        while gap:
-            if gap < 3:
-                rows += [0] * gap
-                gap = 0
-            elif gap < 11:
-                rows.append(17 | gap - 3 << 8 | 3 << 16)
-                gap = 0
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """The bits to write for each symbol in order, of its length."""
+    held = np.bincount(lengths, minlength=16)
+    first, code = np.zeros(16, np.int64), 0
+    for n, k in enumerate(held.tolist()):
+        code <<= 1
+        first[n] = code
+        code += k
+    order = np.argsort(lengths, kind="stable")
+    by = lengths[order]
+    out = np.empty(len(lengths), np.int64)
+    out[order] = TURNED[15][first[by] + np.arange(len(by)) - (np.cumsum(held) - held)[by]] >> 15 - by
+    return out
+
+
+def put_code(sink: Sink, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the code of counts by symbol and returns what to write for each symbol, and in how many bits."""
+    there = np.flatnonzero(counts)
+    value, bits = np.zeros((2, max(1, len(counts))), np.int64)
+    if len(there) <= 2 and (not len(there) or there[-1] < 256):
+        symbols = there.tolist() or [0]
+        told = 1 | (len(symbols) - 1) << 1 | 1 << 2 | symbols[0] << 3
+        if len(symbols) > 1:
+            told |= symbols[1] << 11
+            bits[there], value[there[1]] = 1, 1
+        sink.put(told, 3 + 8 * len(symbols))
+        return value, bits
+    if len(there) == 1:
+        lengths = np.ones(1, np.int64)
+    else:
+        lengths = lengths_of(counts[there], 15)
+        value[there], bits[there] = codes_of(lengths), lengths
+    full = np.zeros(there[-1] + 1, np.int64)
+    full[there] = lengths
+    ends = np.append(np.flatnonzero(full[1:] != full[:-1]) + 1, len(full)).tolist()
+    rows: list[tuple[int, int, int]] = []  # symbol, extra value and extra bits
+    at = 0
+    for end, n in zip(ends, full[np.array(ends) - 1].tolist()):
+        left = end - at
+        at = end
+        if n:
+            rows.append((n, 0, 0))
+            left -= 1
+        while left:
+            if left < 3:
+                rows += [(n, 0, 0)] * left
+                break
+            if n:
+                k = min(left, 6)
+                rows.append((16, k - 3, 2))
+            elif left < 11:
+                k = left
+                rows.append((17, k - 3, 3))
             else:
-                rows.append(18 | min(gap, 138) - 11 << 8 | 7 << 16)
-                gap -= min(gap, 138)
-        n = lengths[s]
-        same = same + 1 if n == before and same else 1
-        before = n
-        rows.append(n)
-        if same == 4:
-            rows[-3:] = [16 | 2 << 16]
-            same = 0
-        at = s + 1
-    own = lengths_of(Counter([r & 255 for r in rows]), 7)
-    value = 15 << 1
-    n = 5
+                k = min(left, 138)
+                rows.append((18, k - 11, 7))
+            left -= k
+    table = np.array(rows, np.int64).T
+    own = np.bincount(table[0], minlength=19)
+    used = np.flatnonzero(own)
+    inner, told = np.zeros((2, 19), np.int64)
+    inner[used] = lengths_of(own[used], 7) if len(used) > 1 else 1
+    told[used] = codes_of(inner[used]) if len(used) > 1 else 0
+    value_, n = 15 << 1, 5
     for k in LENGTH_ORDER:
-        value |= own.get(k, 0) << n
+        value_ |= int(inner[k]) << n
         n += 3
-    size = max(2, (len(rows) - 2).bit_length() + (len(rows) - 2).bit_length() % 2)
-    value |= (1 | (size - 2) // 2 << 1 | len(rows) - 2 << 4) << n  # stop after so many of them
-    n += 4 + size
-    told = codes_of(own)
-    for r in rows:
-        v, m = told[r & 255]
-        value |= v << n
-        n += m
-        if r >> 16:
-            value |= (r >> 8 & 255) << n
-            n += r >> 16
-    sink.put(value, n)
-    return codes_of(lengths)
+    if len(rows) > 1:
+        size = max(2, (len(rows) - 2).bit_length() + (len(rows) - 2).bit_length() % 2)
+        value_ |= (1 | (size - 2) // 2 << 1 | len(rows) - 2 << 4) << n  # stop after so many of them
+        n += 4 + size
+    else:
+        n += 1
+    sink.put(value_, n)
+    wide = inner[table[0]] if len(used) > 1 else np.zeros(len(rows), np.int64)
+    sink.put_many(told[table[0]] | table[1] << wide, wide + table[2])
+    return value, bits
 
 
 def _prefixes(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,13 +241,7 @@ def put_pixels(sink: Sink, pixels: np.ndarray, width: int, height: int, top: boo
         own = group == g if groups > 1 else np.ones(len(at), bool)
         for k, (rows, symbols) in enumerate(((own, green), *((own & lit, c) for c in channels), (own & ref, ds))):
             found = symbols[rows]
-            counts = np.bincount(found)
-            there = np.flatnonzero(counts)
-            told = put_code(sink, dict(zip(there.tolist(), counts[there].tolist())))
-            if not len(there):
-                continue
-            v, n = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-            v[there], n[there] = zip(*(told[x] for x in there.tolist()))
+            v, n = put_code(sink, np.bincount(found))
             slot = 2 if k == 4 else k
             value[rows, slot], bits[rows, slot] = v[found], n[found]
     value[ref, 1], bits[ref, 1], value[ref, 3], bits[ref, 3] = lx[ref], ln[ref], dx[ref], dn[ref]
