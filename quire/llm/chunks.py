@@ -84,7 +84,7 @@ def chunk(text: str, bits: int, least: int, most: int) -> list[tuple[tuple[int,
     return list(zip(zip(told[::2], told[1::2]), [0] + at, at))
 
 
-def dedup_spans(docs: DataFrame, *, bits: int = 5, least: int = 24, most: int = 512, min_run: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_spans(docs: DataFrame, *, bits: int = 4, least: int = 16, most: int = 512, min_run: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, part (a hash of the text) and spans, the character ranges to remove; documents without any are left out."""
     texts = _parts(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     kind = column_type(texts, "doc_id")
@@ -104,25 +104,26 @@ def dedup_spans(docs: DataFrame, *, bits: int = 5, least: int = 24, most: int =
 
     def places(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("d1", "d2", "doc_id", "part", "start", "end", "again")}
+            out: dict[str, list] = {c: [] for c in ("d1", "d2", "doc_id", "part", "place")}
             for doc, part, text in zip(b["doc_id"], b["part"], b["text"]):
                 own: set[tuple] = set()
-                for d, s, e in chunk(text, bits, least, most):
-                    out["d1"].append(d[0])
-                    out["d2"].append(d[1])
-                    out["doc_id"].append(doc)
-                    out["part"].append(part)
-                    out["start"].append(s)
-                    out["end"].append(e)
-                    out["again"].append(d in own)
+                found = chunk(text, bits, least, most)
+                out["d1"] += [d[0] for d, _, _ in found]
+                out["d2"] += [d[1] for d, _, _ in found]
+                out["doc_id"] += [doc] * len(found)
+                out["part"] += [part] * len(found)
+                for d, s, e in found:  # start, length and whether it is in the text before, in one number
+                    out["place"].append(s << 32 | (e - s) << 1 | (d in own))
                     own.add(d)
             yield out
 
     digest = [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
     counted = map_arrow(texts.drop("part"), digests, T.StructType([*digest, who[0], T.StructField("n", T.IntegerType())]))
     first = counted.groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n")
-    rows = map_arrow(texts, places, T.StructType([*digest, *who, T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("again", T.BooleanType())]))
-    later = rows.join(first, ["d1", "d2"]).where(F.col("again") | (F.col("doc_id") > F.col("first_id")))
+    rows = map_arrow(texts, places, T.StructType([*digest, *who, T.StructField("place", T.LongType())]))
+    start = F.shiftright("place", 32).cast("int")
+    end = start + F.shiftright("place", 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    later = rows.join(first, ["d1", "d2"]).where((F.col("place") % 2 == 1) | (F.col("doc_id") > F.col("first_id"))).withColumns({"start": start, "end": end})
     w = Window.partitionBy("doc_id", "part").orderBy("start")
     runs = later.select("doc_id", "part", "start", "end").withColumn("new", (F.col("start") > F.coalesce(F.lag("end").over(w), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(w)).groupBy("doc_id", "part", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).where(F.col("end") - F.col("start") >= min_run)
     return runs.groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
