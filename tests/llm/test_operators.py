@@ -492,7 +492,7 @@ def test_quality_curve_follows_the_odds():
 
 
 def plain_dedup(rows, **o):
-    o = {"bits": 5, "least": 24, "most": 512} | o
+    o = {"bits": 4, "least": 16, "most": 512} | o
     parts = {(i, t): chunks.chunk(t, **o) for i, t in rows if i is not None and t}
     first = {}
     for i, t in sorted(parts):
@@ -512,7 +512,7 @@ def plain_dedup(rows, **o):
                 runs[-1][1] = e
             else:
                 runs.append([s, e])
-        runs = [r for r in runs if r[1] - r[0] >= 100]
+        runs = [r for r in runs if r[1] - r[0] >= 150]
         at, text = 0, ""
         for s, e in runs:
             text += t[at:s]
@@ -535,14 +535,27 @@ def test_substring_dedup_against_plain_version(spark):
     assert by[0] == rows[0][1] and chunks.dedup(docs(spark, [])).count() == 0
 
 
+def test_passages_of_51_words_are_caught(spark):
+    """Passages just over 50 words, between texts that no other has: nearly all are cut, by most of their length; no text without one is cut."""
+    passages = [prose(3000 + k, 51) for k in range(60)]
+    rows = [(k, prose(4000 + k, 60) + " " + p + " " + prose(5000 + k, 60)) for k, p in enumerate(passages)] + [(100 + k, prose(6000 + k, 70) + " " + p + " " + prose(7000 + k, 30)) for k, p in enumerate(passages)] + [(200 + k, prose(8000 + k, 150)) for k in range(60)]
+    got = {r["doc_id"]: r["cut"] for r in chunks.dedup(docs(spark, rows), spans_col="cut").collect()}
+    shares = [sum(s["end"] - s["start"] for s in got[100 + k]) / len(p) for k, p in enumerate(passages)]
+    assert sum(x > 0 for x in shares) >= 58 and sum(shares) / len(shares) > 0.75 and max(shares) <= 1
+    assert not any(got[k] for k in [*range(60), *range(200, 260)])
+
+
 def test_chunks_resist_insertions():
     r = random.Random(2)
     text = prose(7, 3000)
     at = r.randrange(len(text))
-    a, b = ({d for d, _, _ in chunks.chunk(t, 5, 24, 512)} for t in (text, text[:at] + "inserted words" + text[at:]))
+    a, b = ({d for d, _, _ in chunks.chunk(t, 4, 16, 512)} for t in (text, text[:at] + "inserted words" + text[at:]))
     assert len(a & b) >= 0.98 * len(a)
-    for t in (text, "é" * 5000, "a", ""):
-        parts = chunks.chunk(t, 5, 24, 512)
+    odd = "".join(r.choice("abcé") for _ in range(7)) * 400  # no chunk end by hash in a period: cut at the smallest one, wherever the text starts
+    x, y = ({d for d, _, _ in chunks.chunk(t, 12, 24, 512)} for t in (odd, "zz" + odd))
+    assert len(x & y) >= len(x) - 3
+    for t in (text, odd, "é" * 5000, "a", ""):
+        parts = chunks.chunk(t, 4, 16, 512)
         assert "".join(t[s:e] for _, s, e in parts) == t
     raw = np.frombuffer(prose(3, 50).encode(), np.uint8)
     slow, h = [], 0
