@@ -56,8 +56,9 @@ def body_heights(blocks: DataFrame) -> DataFrame:
 
 
 def guess_headings(blocks: DataFrame, cfg: EngineConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(blocks, warnings): body blocks that look like headings, on pages that only OCR has read."""
-    scanned = blocks.groupBy(*B.PAGE).agg(F.bool_and(F.col("extraction_method").isin("tesseract_ocr", "surya_ocr")).alias("scanned")).where("scanned")
+    """(blocks, warnings): body blocks that look like headings, on pages that only OCR has read and that have no heading yet."""
+    only = F.bool_and(F.col("extraction_method").isin("tesseract_ocr", "surya_ocr") & (F.col("block_type") != "heading"))
+    scanned = blocks.groupBy(*B.PAGE).agg(only.alias("scanned")).where("scanned")
     on = blocks.join(scanned, list(B.PAGE), "left").join(body_heights(blocks), list(B.PAGE), "left")
     like = X.looks_like_heading(F.col("text"), G.height(F.col("bbox")), F.coalesce("body_height", F.lit(0.0)), cfg.heading_ratio, cfg.heading_chars)
     hit = F.coalesce(F.col("scanned") & (F.col("block_type") == "body") & F.col("bbox").isNotNull() & like, F.lit(False))

@@ -124,7 +124,7 @@ def implicit_tables(pages: DataFrame, blocks: DataFrame, cfg: EngineConfig = DEF
     """At most one table for each page: rows and columns of aligned words."""
     raw = word_spans(blocks.where(F.col("block_type").isin("body", "table")))
     parts = raw.select(*B.PAGE, "seq", "line", "k", "y0", "y1", "y_center", F.posexplode(split_on_gaps(F.col("text"), F.col("x0"), F.col("x1"), None, cfg.char_gap if cfg.compat else 1e9)).alias("part", "p"))
-    spans = parts.select(*B.PAGE, "seq", "line", (F.col("k") * 10_000 + F.col("part")).alias("k"), "p.text", "p.x0", "p.x1", "y0", "y1", "y_center")
+    spans = parts.select(*B.PAGE, "seq", "line", (F.col("k").cast("long") * (1 << 32) + F.col("part")).alias("k"), "p.text", "p.x0", "p.x1", "y0", "y1", "y_center")
     rows = cluster_rows(spans, cfg)
     many = rows.groupBy(*B.PAGE).agg(F.countDistinct("row").alias("n"), G.bbox(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1")).alias("bbox")).where(F.col("n") >= cfg.min_rows)
     text = cells(rows, columns(rows, pages, cfg), cfg).groupBy(*B.PAGE, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda c: c["text"]), "\t").alias("line"))

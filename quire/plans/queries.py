@@ -155,6 +155,55 @@ def jaccard_similarity(spark, sf):
     return rows.select("doc_id", "page_num", "seq", r6(X.jaccard(F.col("text"), F.col("next"))).alias("similarity"))
 
 
+PHANTOM = SQL["phantom_score"].rsplit("\nSELECT ", 1)[0] + """, g AS (SELECT doc_id, page_num, text, q, greatest(0, least(1, CASE WHEN inv > 0.5 THEN least(p0, 1 - inv) ELSE p0 END)) AS ps,
+  ['text_native', 'hybrid', 'ocr_needed'][page_num % 3 + 1] AS tri FROM p)"""
+
+
+def _layered(spark, sf):
+    tri = F.element_at(F.array(*[F.lit(t) for t in ("text_native", "hybrid", "ocr_needed")]), F.col("page_num") % 3 + 1)
+    return textlayer.extract(_pages(spark, sf).withColumn("triage_result", tri), _raw(spark, sf))
+
+
+@query(PHANTOM + ", a AS (SELECT source AS doc_id, doc_id::INTEGER AS page_num, ['text_native', 'hybrid', 'ocr_needed'][doc_id % 3 + 1] AS t FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) SELECT a.doc_id, a.page_num, CASE WHEN t = 'text_native' AND ps < 0.4 THEN 'hybrid' ELSE t END AS triage_result, CASE WHEN t <> 'ocr_needed' THEN round(ps, 6) ELSE -1 END AS phantom_score FROM a LEFT JOIN g USING (doc_id, page_num)")
+def textlayer_pages(spark, sf):
+    """Which pages are read at all, and which turn out to have a phantom layer."""
+    return _layered(spark, sf)[0].select("doc_id", "page_num", "triage_result", F.coalesce(r6("phantom_score"), F.lit(-1.0)).alias("phantom_score"))
+
+
+@query(PHANTOM + r" SELECT doc_id, page_num, 0 AS seq, md5(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS text_md5, round(ps, 6) AS method_score FROM g WHERE tri <> 'ocr_needed' AND regexp_matches(text, '[^\s\p{Z}]')")
+def textlayer_blocks(spark, sf):
+    return _layered(spark, sf)[1].select("doc_id", "page_num", "seq", F.md5("text").alias("text_md5"), r6("confidence.method_score").alias("method_score"))
+
+
+@query(PHANTOM + " SELECT doc_id, page_num, count(*)::INTEGER AS n FROM (SELECT doc_id, page_num, unnest(CASE WHEN tri = 'text_native' THEN [1, 2] ELSE [1] END) FROM g WHERE ps < 0.4 AND tri <> 'ocr_needed') GROUP BY 1, 2")
+def textlayer_warnings(spark, sf):
+    return _layered(spark, sf)[2].groupBy("doc_id", "page_num").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey % 100 - 50.0::DOUBLE AS a, l_suppkey % 7 - 3.0::DOUBLE AS b, l_partkey % 9 - 4.0::DOUBLE AS c, l_quantity::DOUBLE - 25 AS d, (l_orderkey % 500)::DOUBLE AS e, (l_partkey % 700)::DOUBLE AS f FROM lineitem),
+x AS (SELECT *, least(e, e + a, e + c, e + a + c) AS x0, least(f, f + b, f + d, f + b + d) AS y0, greatest(e, e + a, e + c, e + a + c) AS x1, greatest(f, f + b, f + d, f + b + d) AS y1 FROM m)
+SELECT k, n, printf('BBox(%.1f, %.1f, %.1f, %.1f)', x0, y0, x1, y1) AS told, x0 * 72.0 / 150 AS pt FROM x""")
+def matrix_boxes(spark, sf):
+    """Boxes of images placed by matrices, as text, and a side of them in points."""
+    num = lambda c: F.col(c).cast("double")
+    rows = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), G.of_matrix(num("l_partkey") % 100 - 50, num("l_suppkey") % 7 - 3, num("l_partkey") % 9 - 4, num("l_quantity") - 25, num("l_orderkey") % 500, num("l_partkey") % 700).alias("b"))
+    return rows.select("k", "n", G.told(F.col("b")).alias("told"), (G.from_pixels(F.col("b"), F.lit(150))["x0"]).alias("pt"))
+
+
+@query(WITH + " SELECT doc_id, page_num, seq, substr(text, greatest(0, n // 2 - 100) + 1, n // 2 + 100 - greatest(0, n // 2 - 100)) AS middle FROM l")
+def midpoint_excerpt(spark, sf):
+    return T.lines(spark, sf).select("doc_id", "page_num", "seq", X.midpoint_excerpt(F.col("text")).alias("middle"))
+
+
+OSD_NAMES = ("Latin", "Han", "Hangul", "Japanese", "Arabic", "Cyrillic", "Hebrew", "Tamil", "Klingon")
+
+
+@query(f"SELECT o_orderkey, CASE x WHEN 'Latin' THEN 'latin' WHEN 'Cyrillic' THEN 'cyrillic' WHEN 'Arabic' THEN 'arabic' WHEN 'Hebrew' THEN 'arabic' WHEN 'Tamil' THEN 'unknown' WHEN 'Klingon' THEN 'unknown' ELSE 'cjk' END AS script FROM (SELECT o_orderkey, {list(OSD_NAMES)}[o_orderkey % {len(OSD_NAMES)} + 1] AS x FROM orders)")
+def osd_scripts(spark, sf):
+    name = F.element_at(F.array(*[F.lit(x) for x in OSD_NAMES]), (F.col("o_orderkey") % len(OSD_NAMES) + 1).cast("int"))
+    return T.table(spark, sf, "orders").select("o_orderkey", X.osd_script(name).alias("script"))
+
+
 # --- stage 2
 
 
@@ -293,6 +342,18 @@ def table_absorb_anti(spark, sf):
     return tables.absorb(B.as_blocks(T.lines(spark, sf), "fixture"), made).select("doc_id", "page_num", "block_id")
 
 
+@query(f"""{WITH}, {T.REGIONS}, e AS (SELECT doc_id, page_num, region_seq, x0 + (region_seq % 4) * 60 AS x0, y0, x1 + (region_seq % 4) * 60 AS x1, y1 FROM rg)
+SELECT doc_id, page_num, region_seq AS seq FROM rg r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = r.doc_id AND e.page_num = r.page_num
+  AND greatest(0, least(r.x1, e.x1) - greatest(r.x0, e.x0)) * greatest(0, least(r.y1, e.y1) - greatest(r.y0, e.y0)) / ((r.x1 - r.x0) * (r.y1 - r.y0)) > 0.5)""")
+def implicit_dedupe_anti(spark, sf):
+    """Implicit tables that no explicit one covers; the explicit ones are the same, moved sideways."""
+    made = T.regions(spark, sf).withColumn("seq", F.col("region_seq"))
+    by = (F.col("region_seq") % 4) * 60.0
+    box = F.col("bbox")
+    moved = made.withColumn("bbox", G.bbox(box["x0"] + by, box["y0"], box["x1"] + by, box["y1"]))
+    return tables.drop_dominated(B.as_blocks(made.select("doc_id", "page_num", "seq", "bbox"), "fixture"), moved).select("doc_id", "page_num", "seq")
+
+
 # --- stage 5
 
 
@@ -326,6 +387,18 @@ def histogram_otsu(spark, sf):
     return ocr.otsu(rows, ("k",))
 
 
+@query(f"""WITH {T.WORDS}, {T.LINES.strip()}, k AS (SELECT doc_id, page_num, ['text_native', 'hybrid', 'ocr_needed'][page_num % 3 + 1] AS t, count(*) AS n FROM l GROUP BY 1, 2),
+u AS (SELECT doc_id, page_num, count(DISTINCT (block_num, par_num)) AS m FROM ow WHERE trim(text) <> '' AND conf >= 0 AND width * height >= 25 GROUP BY 1, 2)
+SELECT doc_id, page_num, CASE t WHEN 'ocr_needed' THEN coalesce(m, 0) WHEN 'hybrid' THEN n + coalesce(m, 0) ELSE n END AS n_blocks FROM k LEFT JOIN u USING (doc_id, page_num) WHERE t <> 'ocr_needed' OR m > 0""")
+def ocr_append(spark, sf):
+    """Blocks of each page after OCR: in place of those of scanned pages, besides those of mixed ones."""
+    tri = F.element_at(F.array(*[F.lit(t) for t in ("text_native", "hybrid", "ocr_needed")]), F.col("page_num") % 3 + 1)
+    lines = T.lines(spark, sf)
+    pages = lines.select("doc_id", "page_num").distinct().withColumn("triage_result", tri)
+    found, _ = ocr.run(pages, B.as_blocks(lines, "fixture"), T.ocr_words(spark, sf))
+    return found.groupBy("doc_id", "page_num").agg(F.count("*").alias("n_blocks"))
+
+
 # --- stage 6
 
 
@@ -340,6 +413,20 @@ def _region_rows(spark, sf):
     return T.regions(spark, sf).select("doc_id", "page_num", F.col("region_seq").alias("seq"), F.concat(F.lit("r"), F.col("region_seq").cast("string")).alias("block_id"), box.alias("bbox"))
 
 
+@query(f"""{WITH}, {T.REGIONS}, {MEASURED}, lq AS (SELECT *, {QUAL} AS q FROM m),
+j AS (SELECT l.*, r.region_seq, row_number() OVER (PARTITION BY l.doc_id, l.block_id ORDER BY r.region_seq) AS k FROM lq l JOIN rg r ON l.doc_id = r.doc_id AND l.page_num = r.page_num AND (l.x0 + l.x1) / 2 BETWEEN r.x0 AND r.x1 - 30 AND (l.y0 + l.y1) / 2 BETWEEN r.y0 AND r.y1 + 20),
+b AS (SELECT doc_id, page_num, region_seq, avg(q) AS q, string_agg(text, chr(10) ORDER BY y0, x0, seq) AS t FROM j WHERE k = 1 GROUP BY 1, 2, 3)
+SELECT doc_id, page_num, region_seq AS seq, round(q, 6) AS text_quality, CASE WHEN q > 0.7 THEN 'pymupdf_direct' ELSE 'surya_layout' END AS extraction_method,
+  md5(CASE WHEN q > 0.7 THEN regexp_replace(t, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') ELSE 'region ' || region_seq END) AS text_md5 FROM b""")
+def assembly_merge(spark, sf):
+    """Regions with the native lines they claim: those lines where they are good, else the region's own text."""
+    own = F.concat_ws("-", F.col("page_num").cast("string"), "block_id")
+    regions = _region_rows(spark, sf).withColumns({"block_id": own, "text": F.concat(F.lit("region "), F.col("seq").cast("string")), "extraction_method": F.lit("surya_layout")})
+    native = _blocks(spark, sf)
+    merged, _ = assembly.merge(B.as_blocks(regions, "fixture"), native, assembly.claims(native, regions))
+    return merged.select("doc_id", "page_num", "seq", r6("confidence.text_quality").alias("text_quality"), "extraction_method", F.md5("text").alias("text_md5"))
+
+
 # --- stage 7
 
 FP = r"regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '^\p{Nd}[\p{Nd}.]*[\s\p{Z}]+', ''), '[\s\p{Z}]+\p{Nd}+$', ''), '\p{Nd}+', '#', 'g')), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
@@ -416,6 +503,32 @@ def heading_parents(spark, sf):
     return crosspage.heading_parents(crosspage.heading_levels(_headings(spark, sf))).select("doc_id", "block_id", "parent_id")
 
 
+def _tall(spark, sf):
+    """Lines of 13 heights, all of the body."""
+    h = F.lit(10.0) + (F.col("seq") * 7) % 13
+    return T.lines(spark, sf).withColumns({"block_type": F.lit("body"), "bbox": G.bbox(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y0") + h)})
+
+
+@query(WITH + rf""", b AS (SELECT *, (10 + (seq * 7) % 13)::DOUBLE AS h, regexp_replace(text, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS t FROM l), md AS (SELECT doc_id, page_num, list_sort(list(h))[len(list(h)) // 2 + 1] AS bh FROM b GROUP BY 1, 2)
+SELECT doc_id, page_num, block_id, CASE WHEN extraction_method IN ('surya_ocr', 'tesseract_ocr') AND t <> '' AND length(t) <= 80 AND (h >= bh * 1.15::DOUBLE OR regexp_matches(t, '{X.HEADING}')) THEN 'heading' ELSE 'body' END AS block_type FROM b JOIN md USING (doc_id, page_num)""")
+def guess_headings(spark, sf):
+    return crosspage.guess_headings(B.as_blocks(_tall(spark, sf), "fixture"))[0].select("doc_id", "page_num", "block_id", "block_type")
+
+
+UP = " ".join(f"LEFT JOIN h p{k} ON p{k}.doc_id = a.doc_id AND p{k}.block_id = {'a' if k == 1 else f'p{k - 1}'}.parent_id" for k in range(1, 6))
+
+
+@query(WITH + f""", h AS (SELECT doc_id, block_id, (10 + (seq * 7) % 13)::DOUBLE AS h, CASE WHEN seq % 4 <> 0 THEN page_num || '-' || (seq - 1) END AS parent_id FROM l),
+tall AS (SELECT doc_id, list_reverse_sort(list(DISTINCT h)) AS tall, count(*) AS n FROM h GROUP BY 1),
+d AS (SELECT a.doc_id, a.block_id, a.h, a.parent_id, 1 + {' + '.join(f'(p{k}.block_id IS NOT NULL)::INTEGER' for k in range(1, 6))} AS depth FROM h a {UP})
+SELECT doc_id, block_id, CASE WHEN depth = 1 AND parent_id IS NULL THEN least(6, CASE WHEN n > 1 THEN list_position(list_transform(tall, lambda x: abs(h - x) < 2), true) ELSE 1 END) ELSE depth END::INTEGER AS depth FROM d JOIN tall USING (doc_id)""")
+def heading_depths(spark, sf):
+    """Every line is a heading below the one before it, four of them in a chain."""
+    up = F.when(F.col("seq") % 4 != 0, F.concat_ws("-", F.col("page_num").cast("string"), (F.col("seq") - 1).cast("string")))
+    rows = _tall(spark, sf).withColumns({"block_type": F.lit("heading"), "parent_id": up})
+    return crosspage.heading_depths(B.as_blocks(rows, "fixture"))
+
+
 @query(WITH + ", p AS (SELECT doc_id, block_id, page_num || '-' || (seq + 1) AS parent_id FROM l) SELECT doc_id, block_id, parent_id FROM p WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = p.doc_id AND l.block_id = p.parent_id)")
 def parent_ref_check(spark, sf):
     rows = T.lines(spark, sf).withColumn("parent_id", F.concat_ws("-", F.col("page_num").cast("string"), (F.col("seq") + 1).cast("string")))
@@ -479,6 +592,14 @@ def ocr_confusions(spark, sf):
     return T.lines(spark, sf).select("doc_id", "page_num", "seq", X.fix_confusions(F.expr(NOISY)).alias("text"))
 
 
+@query(WITH + rf""", b AS (SELECT *, {NOISY} AS t, CASE seq % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'en-US' ELSE 'de' END AS lang FROM l)
+SELECT doc_id, page_num, seq, CASE WHEN extraction_method IN ('surya_ocr', 'tesseract_ocr') AND lang LIKE 'en%' THEN array_to_string(list_transform(regexp_extract_all(t, '\s+|\S+'), lambda x: CASE WHEN x IN ('1', '0', 'I', 'a', 'i') THEN x ELSE {FIXED} END), '') ELSE t END AS text FROM b""")
+def ocr_correct(spark, sf):
+    """Confusions undone in the English blocks that OCR has read, and in no others."""
+    language = F.when(F.col("seq") % 3 == 0, "en").when(F.col("seq") % 3 == 1, "en-US").otherwise("de")
+    return post.correct(T.lines(spark, sf).withColumns({"text": F.expr(NOISY), "language": language})).select("doc_id", "page_num", "seq", "text")
+
+
 KNOWN = ("the", "of", "and", "from", "them", "with", "that", "for", "la", "que", "der", "die", "hollow", "lamp", "down")
 BARE = r"lower(regexp_replace({}, '^[.,!?;:\x22''()\[\]{{}}]+|[.,!?;:\x22''()\[\]{{}}]+$', '', 'g'))"
 _steps = "x"
