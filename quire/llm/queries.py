@@ -17,6 +17,24 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Words are letters, digits and marks, without accents and case; runs of 8, or whole items of 4 to 7 words.
+OP1_SQL = r"""
+WITH src AS (SELECT 0 AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+pc AS (SELECT kind, r, id, unnest(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+')) AS x, generate_subscripts(regexp_extract_all(text, '[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}]+'), 1) AS i FROM src WHERE text IS NOT NULL),
+ps AS (SELECT *, sum(length(x)) OVER (PARTITION BY kind, r ORDER BY i) - length(x) AS s FROM pc),
+w AS (SELECT kind, r, id, s, s + length(x) AS e, replace(strip_accents(lower(x)), 'ß', 'ss') AS x, row_number() OVER (PARTITION BY kind, r ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY kind, r) AS n FROM ps WHERE regexp_matches(x, '^[\p{L}\p{N}\p{M}]')),
+z AS (SELECT DISTINCT CASE WHEN n >= 8 THEN 8 ELSE n END AS size FROM w WHERE kind = 1 AND n >= 4),
+l AS (SELECT kind, r, id, n, list(x ORDER BY k) AS xs, list(s ORDER BY k) AS ss, list(e ORDER BY k) AS es FROM w GROUP BY ALL),
+g AS (SELECT kind, r, id, n, size, unnest(range(n - size + 1)) AS k, ss, es, xs FROM l, z WHERE n >= size AND (kind = 0 OR size = least(8, n))),
+h AS (SELECT *, array_to_string(xs[k + 1 : k + size], ' ') AS t FROM g),
+m AS (SELECT d.r AS dr, d.id AS doc_id, b.r AS br, b.id AS item_id, b.n AS total, d.k AS p, b.k AS i, b.size, d.ss, d.es FROM h d JOIN h b ON d.t = b.t AND d.size = b.size WHERE d.kind = 0 AND b.kind = 1),
+c AS (SELECT *, CASE WHEN p > max(p + size) OVER (PARTITION BY dr, br ORDER BY p, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM m),
+o AS (SELECT *, sum(nw) OVER (PARTITION BY dr, br ORDER BY p, i) AS run FROM c),
+q AS (SELECT dr, br, run, any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, any_value(total) AS total, min(p) AS a, max(p + size) AS b, any_value(ss) AS ss, any_value(es) AS es, len(list_distinct(flatten(list(range(i, i + size))))) AS seen FROM o GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, ss[a + 1]::INTEGER AS start, es[b]::INTEGER AS "end", (b - a)::INTEGER AS n_words, seen / total AS item_share FROM q
+"""
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
@@ -130,4 +148,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5_SQL, "op9_chat_format": OP9_SQL, "op10_media": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op5_jaccard_join": OP5_SQL, "op9_chat_format": OP9_SQL, "op10_media": OP10_SQL}
