@@ -154,10 +154,17 @@ def test_ocr(spark):
     df = spark.createDataFrame([(600, 400, math.radians(8)), (0, 5, 1.0), (600, 400, 0.0)], "w int, h int, t double")
     turned, empty, flat = (tuple(r["r"]) for r in df.select(G.inscribed(F.col("w"), F.col("h"), F.col("t")).alias("r")).collect())
     assert turned[0] < 600 and turned[1] < 400 and empty == (0, 5) and flat == (600, 400)
-    ink = np.zeros((200, 400), bool)
-    for y in range(20, 180, 20):
-        ink[y, :] = True
-    assert abs(ocr.skew_angle(ink)) < 0.11 and ocr.skew_angle(np.zeros((5, 5), bool)) == 0
+    for degrees in (-20, -4, 0, 0.05, 3, 7):  # lines of words that fall to the right
+        yy, xx = np.mgrid[0:500, 0:700] - np.array([250.0, 350.0])[:, None, None]
+        a = math.radians(degrees)
+        u, v = xx * math.cos(a) + yy * math.sin(a), -xx * math.sin(a) + yy * math.cos(a)
+        page = np.where((np.abs(u) < 220) & (np.abs(v) < 150) & (v % 30 < 9) & (u % 40 < 33), 0, 255)
+        assert ocr.skew_angle(page) == pytest.approx(degrees, abs=0.3)
+        flat, warned = ocr.prepare(np.dstack([page] * 3))
+        assert set(np.unique(flat)) <= {0, 255} and (warned is not None) == (degrees == -20)
+        if degrees in (-4, 3, 7):
+            assert flat.shape[0] < 500 and abs(ocr.skew_angle(np.where(ocr.turned(page, degrees) > 0, 255, 0))) < 0.4
+    assert ocr.skew_angle(np.full((50, 50), 255)) == 0
     two = np.dstack([np.where(np.arange(100) < 50, np.arange(100), 200).reshape(10, 10)] * 3)
     assert set(np.unique(ocr.binarise(two))) == {0, 255}
 
