@@ -3,8 +3,9 @@
 Words are tagged toxic or not. Each has hashed features (the folded word, its beginnings of 3 to 6 letters and its
 ending of 3, its case, the words before and after) whose weights add up to an emission; three transition weights
 couple neighbours inside a sentence. Forward-backward gives the marginal of each word; runs of words of marginal
-`span_from` or more are the offending spans, and a logistic curve over the expected number of toxic words and the
-length gives the document score. Feature hashing and the chains are whole-batch numpy: all sentences of a batch
+`span_from` or more are the offending spans, and a logistic curve over the expected number of toxic words (of marginal
+FLOOR or more, so that the many words of a long text that are hardly toxic don't add up) and the length gives the
+document score. Feature hashing and the chains are whole-batch numpy: all sentences of a batch
 advance in step, the long ones by blocks of 2 x 2 transfer matrices, which gives the same marginals.
 
 Labelled tokens: where only documents are labelled, a word of a toxic document is a toxic token if it, or one of
@@ -38,6 +39,7 @@ from quire.llm.common import column_type, labelled_texts, pick, pieces
 BITS = 18
 SLICE = 1_500_000
 BLOCK = 64
+FLOOR = 0.1
 HEADS = (3, 4, 5, 6)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -228,6 +230,11 @@ class Model:
         return np.where(n > 0, _sigmoid(x @ self.curve), 0.0)
 
 
+def expected_words(tokens: Tokens, p: np.ndarray, rows: int) -> np.ndarray:
+    """Sum of the marginals of FLOOR or more of each of so many texts."""
+    return np.bincount(tokens.row, np.where(p >= FLOOR, p, 0.0), rows)
+
+
 def _distinct(texts: list[str]) -> list[str]:
     """Without near copies: those that share two of four minima over their runs of 5 words with an earlier text."""
     kept, seen = [], set()
@@ -346,7 +353,7 @@ def train(rows: list[tuple[int, str]], *, min_docs: int = 4, min_ratio: float =
     expected, n = np.zeros(len(held)), np.zeros(len(held))
     for g in _groups(held, 400_000):
         k = Tokens(held[g])
-        expected[g], n[g] = np.bincount(k.row, half.marginals(k), g.stop - g.start), np.bincount(k.row, minlength=g.stop - g.start)
+        expected[g], n[g] = expected_words(k, half.marginals(k), g.stop - g.start), np.bincount(k.row, minlength=g.stop - g.start)
     x = np.stack([np.log1p(expected), np.log1p(n), np.ones(len(n))], 1)
     target = (np.arange(len(held)) < len(toxic[1::2])).astype(float)
     curve = np.zeros(3)
@@ -379,7 +386,7 @@ def tag(texts: list[str | None], model: Model | None, span_from: float = 0.5) ->
             at, stop = g.start, g.stop
             k = Tokens(own[g])
             p = model.marginals(k)
-            expected, n = np.bincount(k.row, p, stop - at), np.bincount(k.row, minlength=stop - at)
+            expected, n = expected_words(k, p, stop - at), np.bincount(k.row, minlength=stop - at)
             total[at:stop], score[at:stop] = expected, model.scores(expected, n)
             hit = np.flatnonzero(p >= span_from)
             if len(hit):
