@@ -638,6 +638,38 @@ def test_toxic_spans_on_held_out_texts(spark):
     assert toxic.tag_documents(docs(spark, []), model).count() == 0
 
 
+def test_toxic_documents_against_every_labelling(spark):
+    """Marginals by summing over all labellings of each sentence, then spans and scores word by word."""
+    r = random.Random(12)
+    bad = ["blarg", "snotface"]
+    text = lambda i, k: " ".join(r.choice(bad) if r.random() < k else w for w in prose(i, 7).split())
+    train = [(int(i % 2), ". ".join(text(10 * i + j, 0.3 * (i % 2)) for j in range(6))) for i in range(80)]
+    model = toxic.train(train)
+    rows = [(i, ". ".join(text(9000 + 10 * i + j, 0.2 * (i % 2)) for j in range(3))) for i in range(12)] + [(100, "?! ..."), (101, None)]
+    got = {x["doc_id"]: x for x in toxic.tag_documents(docs(spark, rows), model).collect()}
+    hits = 0
+    for i, t in rows:
+        expected, n, spans = 0.0, 0, []
+        for m in re.finditer(r"[^.!?\n]+", t or ""):
+            words = [(x.start() + m.start(), x.end() + m.start()) for x in re.finditer(r"[^\W\d_]+", m[0])]
+            if not words:
+                continue
+            emission = [sum(float(model.weights[f[k]]) for f in toxic.Tokens([m[0]]).features()) for k in range(len(words))]
+            p, _ = chain_brute(emission, model.trans)
+            n += len(words)
+            expected += sum(x for x in p if x >= 0.1)
+            before = False
+            for (s, e), x in zip(words, p):
+                if x >= 0.5:
+                    spans = spans[:-1] + [(spans[-1][0], e)] if before else spans + [(s, e)]
+                before = x >= 0.5
+        score = 1 / (1 + math.exp(-(model.curve @ [math.log1p(expected), math.log1p(n), 1]))) if n else 0.0
+        assert got[i]["score"] == pytest.approx(score, abs=1e-5) and got[i]["toxic"] == (score >= 0.5)
+        assert [(x["start"], x["end"]) for x in got[i]["spans"]] == spans
+        hits += len(spans)
+    assert hits > 5
+
+
 # --- 9
 
 TURNS = "conv_id long, turn int, role string, text string"
