@@ -4,9 +4,11 @@ A VP8L stream has transforms first, then prefix codes (one group, or one for eac
 literals, back-references and colour cache hits. Predictor, cross-colour, subtract-green and palette transforms are
 undone in reverse order. Pixels are RGBA bytes, row by row.
 
-The symbols of one stream depend on each other, those of different streams don't: all images of a batch advance in
-step in numpy, a symbol of each at a time, and the last few, or a single large one, go on symbol by symbol in Python.
-Predictions depend on the pixels to the left and above only, so all pixels of equal x + 2 y, of all images of a batch,
+The symbols of a stream depend on each other. In images of one group of codes the symbols that would start at each bit
+are looked up in numpy first, and only the way from one to the next is left to go; colours from the cache and references
+are followed to the literals they come from. This is done from BY_BITS[0] pixels on for streams of at most BY_BITS[1]
+bytes, as it takes some 30 bytes a bit. Other images are read symbol by symbol, by tables whose entries hold the part of
+the pixel and the bits of a symbol together. Predictions depend on the pixels to the left and above only, so all pixels of equal x + 2 y, of all images of a batch,
 are undone at once. Pixels are kept in arrays of 4 bytes each; a batch holds BATCH of them, or one larger image.
 
 Defined results
@@ -33,18 +35,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.llm.common import column_type, pick
 
-#: The bits of every 16-bit number in reverse order.
 _B = np.arange(1 << 16, dtype=np.uint32)
 for _k in (1, 2, 4, 8):
     _m = sum(((1 << _k) - 1) << i for i in range(0, 16, 2 * _k))
     _B = (_B >> _k & _m) | (_B & _m) << _k
-REVERSED = _B.tolist()
 #: The numbers of n bits in reverse order.
 TURNED = [(_B[: 1 << n] >> 16 - n).astype(np.int64) for n in range(16)]
+TURNED_LISTS = [x.tolist() for x in TURNED[:8]]
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 OPAQUE = 0xFF000000
-LEAST = 60
-BATCH = 8_000_000
+BATCH = 4_000_000
+BY_BITS = 300, 250_000
 
 
 def _near() -> list[tuple[int, int]]:
@@ -89,37 +90,34 @@ class Bits:
 
 
 class Code:
-    """A prefix code as one table: entry = symbol << 4 | length, by the next `bits` bits."""
+    """A prefix code: symbols and their lengths, in the order of the codes; the longest has `bits` bits."""
 
-    def __init__(self, lengths: list[int]):
-        n = np.array(lengths, np.int64)
-        used = np.flatnonzero(n)
-        if not len(used):
+    def __init__(self, found: list[int]):
+        """found: length << 16 | symbol of each symbol used."""
+        if not found:
             raise ValueError("an empty prefix code")
-        if len(used) == 1:
-            self.bits, self.array = 0, used << 4
+        if len(found) == 1:
+            self.bits, self.symbols, self.lengths = 0, np.array([found[0] & 0xFFFF]), np.zeros(1, np.int64)
             return
-        n = n[used]
-        order = np.argsort(n, kind="stable")
-        used, n = used[order], n[order]
-        self.bits = int(n[-1])
-        times = 1 << self.bits - n
-        if times.sum() != 1 << self.bits:
-            raise ValueError("an incomplete prefix code" if times.sum() < 1 << self.bits else "an overfull prefix code")
-        self.array = np.repeat(used << 4 | n, times)[TURNED[self.bits]]
+        found.sort()
+        of = np.array(found, np.int64)
+        self.bits, self.symbols, self.lengths = found[-1] >> 16, of & 0xFFFF, of >> 16
+        self.times = 1 << self.bits - self.lengths
+        total = int(self.times.sum())
+        if total != 1 << self.bits:
+            raise ValueError("an incomplete prefix code" if total < 1 << self.bits else "an overfull prefix code")
 
     @classmethod
     def of(cls, symbols: list[int]) -> Code:
         """The code of one or two symbols of one bit."""
-        self = cls.__new__(cls)
-        symbols = sorted(set(symbols))
-        self.bits = len(symbols) - 1
-        self.array = np.array([s << 4 | self.bits for s in symbols], np.int64)
-        return self
+        return cls([1 << 16 | s for s in set(symbols)])
 
-    @property
-    def table(self) -> list[int]:
-        return self.array.tolist()
+    def array(self, entries: np.ndarray) -> np.ndarray:
+        """The entry of the symbol that the next `bits` bits start with, for each of their values."""
+        return np.repeat(entries, self.times)[TURNED[self.bits]] if self.bits else entries
+
+    def table(self, entries: np.ndarray) -> list[int]:
+        return self.array(entries).tolist()
 
 
 def small_table(lengths: list[int]) -> tuple[list[int], int]:
@@ -135,7 +133,7 @@ def small_table(lengths: list[int]) -> tuple[list[int], int]:
         table += [(x & 255) << 4 | x >> 8] * (1 << top - (x >> 8))
     if len(table) != 1 << top:
         raise ValueError("an incomplete prefix code" if len(table) < 1 << top else "an overfull prefix code")
-    return [table[REVERSED[i] >> 16 - top] for i in range(1 << top)], top
+    return [table[i] for i in TURNED_LISTS[top]], top
 
 
 def read_code(b: Bits, size: int) -> Code:
@@ -146,47 +144,49 @@ def read_code(b: Bits, size: int) -> Code:
             symbols.append(b.read(8))
         return Code.of(symbols)
     own = [0] * 19
-    for k in range(4 + b.read(4)):
-        own[LENGTH_ORDER[k]] = b.read(3)
+    k = 4 + b.read(4)
+    told = b.read(3 * k)
+    for m in LENGTH_ORDER[:k]:
+        own[m] = told & 7
+        told >>= 3
     table, width = small_table(own)
     left = 2 + b.read(2 + 2 * b.read(3)) if b.read(1) else size
-    lengths: list[int] = []
+    found: list[int] = []
     before = 8
     mask = (1 << width) - 1
-    value, count = b.value, b.count
+    data, at, value, count = b.data, b.at, b.value, b.count
     done = 0
-    while done < size and left:
-        left -= 1
+    for _ in range(left):
+        if done >= size:
+            break
         if count < 32:
-            b.value, b.count = value, count
-            b.fill()
-            value, count = b.value, b.count
+            value |= int.from_bytes(data[at : at + 32], "little") << count
+            at += 32
+            count += 256
+            if at > len(data) + 96:
+                raise ValueError("the stream ends too early")
         e = table[value & mask]
-        value >>= e & 15
-        count -= e & 15
+        n = e & 15
+        value >>= n
+        count -= n
         n = e >> 4
         if n < 16:
-            lengths.append(n)
-            before = n or before
+            if n:
+                found.append(n << 16 | done)
+                before = n
             done += 1
             continue
         bits, least = (2, 3) if n == 16 else (3, 3) if n == 17 else (7, 11)
         times = least + (value & (1 << bits) - 1)
         value >>= bits
         count -= bits
-        lengths += [before if n == 16 else 0] * times
+        if n == 16:
+            found += range(before << 16 | done, (before << 16 | done) + times)
         done += times
-    b.value, b.count = value, count
-    if len(lengths) > size:
+    b.at, b.value, b.count = at, value, count
+    if done > size:
         raise ValueError("too many code lengths")
-    return Code(lengths)
-
-
-def _extra(b: Bits, code: int) -> int:
-    if code < 4:
-        return code + 1
-    n = (code - 2) >> 1
-    return ((2 + (code & 1)) << n) + b.read(n) + 1
+    return Code(found)
 
 
 class Plan:
@@ -209,224 +209,298 @@ class Plan:
         self.codes = [tuple(read_code(b, n) for n in (green, 256, 256, 256, 40)) for _ in range(groups)]
 
 
-def read_pixels(b: Bits, width: int, height: int, top: bool) -> np.ndarray:
-    """ARGB values of an entropy-coded image."""
-    return one_by_one(Plan(b, width, height, top), b)
+    def tables(self, k: int) -> tuple:
+        """Tables and masks of group k. An entry is what its symbol adds to the pixel << 6 | length; -symbol << 6 | length for greens from 256 on."""
+        green, red, blue, alpha, far = self.codes[k]
+        fixed = 0  # what codes of one symbol add
+        parts = []
+        for c, up in ((red, 16), (blue, 0), (alpha, 24)):
+            if c.bits:
+                parts.append((c.table(c.symbols << up + 6 | c.lengths), (1 << c.bits) - 1))
+            else:
+                fixed |= int(c.symbols[0]) << up
+                parts.append(([0], 0))
+        entries = np.where(green.symbols < 256, (green.symbols << 8 | fixed) << 6, -green.symbols << 6) | green.lengths
+        (rt, rm), (bt, bm), (at, am) = parts
+        return green.table(entries), (1 << green.bits) - 1, rt, rm, bt, bm, at, am, far.table(far.symbols << 6 | far.lengths), (1 << far.bits) - 1, not (rm or bm or am)
+
+
+def _counted(s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of prefix symbols, from the bits after them, and how many of these they take."""
+    n = np.maximum(0, s - 2 >> 1)
+    return np.where(s < 4, s, (2 + (s & 1) << n) + (w & (1 << n) - 1)) + 1, n
+
+
+def _places(p: np.ndarray, bits: int) -> np.ndarray:
+    """Where colours stand in the cache."""
+    return (p.astype(np.int64) * 0x1E35A7BD & 0xFFFFFFFF) >> 32 - bits
+
+
+def _ends(source: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where the way from pixel to source ends for each of the rows, all of which stand after their sources."""
+    source = source.copy()
+    now = source[rows]
+    while True:
+        then = source[now]
+        if (then == now).all():
+            return now
+        source[rows] = now = then
+
+
+def by_bits(plan: Plan, b: Bits) -> np.ndarray | None:
+    """The pixels of an image of one group; None, and nothing is read, if it is too large or its cache takes too many rounds."""
+    green, red, blue, alpha, far = plan.codes[0]
+    total, start = plan.total, b.place()
+    data = b.data[start >> 3 : (start >> 3) + 8 * total + 8]
+    if len(data) > BY_BITS[1]:
+        return None
+    raw = np.frombuffer(data + bytes(32), np.uint8)
+    size = len(data) + 8
+    three = raw[:size] | raw[1 : size + 1].astype(np.int64) << 8 | raw[2 : size + 2].astype(np.int64) << 16
+    top = max(c.bits for c in plan.codes[0][:4])
+    here = np.empty((size, 8), np.int64)  # the next bits from each bit on
+    for k in range(8):
+        np.right_shift(three, k, out=here[:, k])
+    here &= (1 << top) - 1
+    here = here.ravel()
+
+    def full(c: Code, entries: np.ndarray) -> np.ndarray:
+        return np.tile(c.array(entries), 1 << top - c.bits)
+
+    symbols = full(green, green.symbols)
+    steps = full(green, (green.lengths | (green.symbols >= 256) << 7).astype(np.uint8)).take(here, mode="clip")  # 128 on: no literal
+    jumps = np.flatnonzero(steps >= 128)
+    s = symbols[here[jumps]]
+    jumps, s = jumps[s < 280], s[s < 280]
+    if len(jumps):
+        at = jumps + (steps[jumps] & 127)
+        wide = np.ndarray(size + 9, "<u8", raw, 0, (1,))  # the 8 bytes from each byte on
+        w = (wide[at >> 3] >> (at & 7).astype(np.uint64)).view(np.int64)
+        length, n = _counted(s - 256, w)
+        w >>= n
+        f = far.array(far.symbols << 4 | far.lengths)[w & (1 << far.bits) - 1]
+        back, m = _counted(f >> 4, w >> (f & 15))
+        steps[jumps] += (n + (f & 15) + m).astype(np.uint8)
+    others = [(c, up, full(c, c.lengths.astype(np.uint8)).take(here, mode="clip")) for c, up in ((red, 16), (blue, 0), (alpha, 24)) if c.bits]
+    on = bytearray(len(steps))
+    at, end = start & 7, 8 * len(data)
+    if others:
+        way, ways = steps.tobytes(), [x.tobytes() for _, _, x in others]
+        one, two, more = ways[0], ways[1] if len(ways) > 1 else None, ways[2] if len(ways) > 2 else None
+        while at < end:
+            on[at] = 1
+            k = way[at]
+            at += k
+            if k > 127:
+                at -= 128
+                continue
+            at += one[at]
+            if two:
+                at += two[at]
+                if more:
+                    at += more[at]
+        tokens = np.flatnonzero(np.frombuffer(on, bool))
+    else:
+        alone = steps & 127
+        every = np.arange(len(alone))
+        pair = alone + alone.take(every + alone, mode="clip")
+        four = pair + pair.take(every + pair, mode="clip")  # four symbols at a time
+        way = four.tobytes()
+        while at < end:
+            on[at] = 1
+            at += way[at]
+        at = np.flatnonzero(np.frombuffer(on, bool))
+        at = np.stack((at, at + pair[at]), 1).ravel()
+        at = at[at < end]
+        tokens = np.stack((at, at + alone[at]), 1).ravel()
+        tokens = tokens[tokens < end]
+    s = symbols[here[tokens]]
+    times = np.ones(len(tokens), np.int64)
+    ref = np.flatnonzero((s >= 256) & (s < 280))
+    if len(ref):
+        which = np.searchsorted(jumps, tokens[ref])
+        times[ref] = length[which]
+    ends = np.cumsum(times)
+    last = int(np.searchsorted(ends, total))
+    if last == len(ends):
+        raise ValueError("the stream ends too early")
+    if ends[last] != total:
+        raise ValueError("a reference outside of the image")
+    s, times, ends, ref = s[: last + 1], times[: last + 1], ends[: last + 1], ref[ref <= last]
+    places = ends - times
+    lit, hit = np.flatnonzero(s < 256), np.flatnonzero(s >= 280)
+    at = tokens[lit]
+    value = s[lit] << 8
+    at += steps[at]
+    for c, up, x in others:
+        value |= full(c, c.symbols)[here[at]] << up
+        at += x[at]
+    for c, up in ((red, 16), (blue, 0), (alpha, 24)):
+        if not c.bits:
+            value |= int(c.symbols[0]) << up
+    out = np.zeros(total + 1, np.uint32)  # the last one for what is not in the cache yet
+    out[places[lit]] = value
+    source = np.arange(total + 1)
+    if len(ref):
+        d, m = back[which[: len(ref)]], times[ref]
+        near = NEAR_AT[np.minimum(d, 120)]
+        d = np.where(d > 120, d - 120, np.maximum(1, near[:, 0] + near[:, 1] * plan.width))
+        if (d > places[ref]).any():
+            raise ValueError("a reference outside of the image")
+        inside = np.repeat(places[ref] - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+        source[inside] -= np.repeat(d, m)
+        rest = inside
+    if len(hit):
+        wanted, asks = s[hit] - 280, places[hit]
+        rest = np.concatenate((asks, inside)) if len(ref) else asks
+        place = np.full(total, -1)
+        place[places[lit]] = _places(value, plan.cache_bits)
+        place[asks] = wanted
+        # Places of copies are known once their sources are: where they stay the same, all before is right, and so is all
+        for _ in range(50):
+            known = np.flatnonzero(place >= 0)
+            key = np.sort(place[known] * total + known)
+            j = key[np.maximum(np.searchsorted(key, wanted * total + asks) - 1, 0)]
+            source[asks] = np.where((j // total == wanted) & (j % total < asks), j % total, total)
+            out[rest] = out[_ends(source, rest)]
+            now = _places(out[rest], plan.cache_bits)
+            if (now == place[rest]).all():
+                break
+            place[rest] = now
+        else:
+            return None
+    elif len(ref):
+        out[rest] = out[_ends(source, rest)]
+    b.seek((start & ~7) + (int(at[-1]) if s[last] < 256 else int(tokens[last]) + (int(steps[tokens[last]]) & 127)))
+    return out[:total]
 
 
-def one_by_one(plan: Plan, b: Bits, before: np.ndarray | None = None) -> np.ndarray:
-    """The pixels from the symbols that follow, after those already read."""
-    width, total, codes, shift, across = plan.width, plan.total, plan.codes, plan.shift, plan.across
+def read_pixels(b: Bits, width: int, height: int, top: bool) -> np.ndarray:
+    """ARGB values of an entropy-coded image."""
+    plan = Plan(b, width, height, top)
+    total, shift, across = plan.total, plan.shift, plan.across
+    if plan.blocks is None and total >= BY_BITS[0] and plan.codes[0][0].bits:
+        found = by_bits(plan, b)
+        if found is not None:
+            return found
     blocks = [] if plan.blocks is None else plan.blocks.tolist()
     cache = [0] * (1 << plan.cache_bits) if plan.cache_bits else []
     down = 32 - plan.cache_bits
-    out = array("I", b"" if before is None else before.tobytes())
-    here = -1
-    done = 0  # pixels already in the cache
-    tables: dict[int, list] = {}
-
-    def use(k: int) -> list:
-        if k not in tables:
-            tables[k] = [x for c in codes[k] for x in (c.table, (1 << c.bits) - 1)]
-        return tables[k]
-
-    gt, gm, rt, rm, bt, bm, at, am, dt, dm = use(0)
-    value, count, fill = b.value, b.count, b.fill
-    while len(out) < total:
-        if blocks:
-            n = len(out)
-            now = blocks[(n // width >> shift) * across + (n % width >> shift)]
-            if now != here:
-                here = now
-                gt, gm, rt, rm, bt, bm, at, am, dt, dm = use(now)
-        if count < 64:
-            b.value, b.count = value, count
-            fill()
-            value, count = b.value, b.count
-        e = gt[value & gm]
-        value >>= e & 15
-        count -= e & 15
-        s = e >> 4
-        if s < 256:
-            e = rt[value & rm]
-            value >>= e & 15
-            f = bt[(value) & bm]
-            value >>= f & 15
-            g = at[value & am]
-            value >>= g & 15
-            count -= (e & 15) + (f & 15) + (g & 15)
-            out.append((g >> 4) << 24 | (e >> 4) << 16 | s << 8 | f >> 4)
-        elif s < 280:
-            b.value, b.count = value, count
-            length = _extra(b, s - 256)
-            if b.count < 16:
-                b.fill()
-            e = dt[b.value & dm]
-            b.value >>= e & 15
-            b.count -= e & 15
-            d = _extra(b, e >> 4)
-            value, count = b.value, b.count
+    out = array("I")
+    append = out.append
+    groups: dict[int, tuple] = {}
+    here = done = n = stop = 0  # done: pixels already in the cache; stop: where the group may change
+    data, at, value, count = b.data, b.at, b.value, b.count
+    limit = len(data) + 96
+    if not blocks:
+        stop = total
+        gt, gm, rt, rm, bt, bm, xt, xm, dt, dm, alone = plan.tables(0)
+    while n < total:
+        if n >= stop:
+            y, x = divmod(n, width)
+            here = blocks[(y >> shift) * across + (x >> shift)]
+            if here not in groups:
+                groups[here] = plan.tables(here)
+            gt, gm, rt, rm, bt, bm, xt, xm, dt, dm, alone = groups[here]
+            stop = n - x + min(width, (x >> shift) + 1 << shift)
+        if alone:
+            while n < stop:
+                if count < 64:
+                    value |= int.from_bytes(data[at : at + 32], "little") << count
+                    at += 32
+                    count += 256
+                    if at > limit:
+                        raise ValueError("the stream ends too early")
+                e = gt[value & gm]
+                k = e & 63
+                value >>= k
+                count -= k
+                if e < 0:
+                    break
+                append(e >> 6)
+                n += 1
+            else:
+                continue
+        else:
+            while n < stop:
+                if count < 64:
+                    value |= int.from_bytes(data[at : at + 32], "little") << count
+                    at += 32
+                    count += 256
+                    if at > limit:
+                        raise ValueError("the stream ends too early")
+                e = gt[value & gm]
+                value >>= e & 63
+                if e < 0:
+                    count -= e & 63
+                    break
+                f = rt[value & rm]
+                value >>= f & 63
+                g = bt[value & bm]
+                value >>= g & 63
+                e += f + g
+                if xm:
+                    f = xt[value & xm]
+                    value >>= f & 63
+                    e += f
+                count -= e & 63
+                append(e >> 6)
+                n += 1
+            else:
+                continue
+        s = -(e >> 6)
+        if s < 280:
+            if count < 64:
+                value |= int.from_bytes(data[at : at + 32], "little") << count
+                at += 32
+                count += 256
+                if at > limit:
+                    raise ValueError("the stream ends too early")
+            s -= 256
+            if s < 4:
+                length = s + 1
+            else:
+                k = s - 2 >> 1
+                length = (2 + (s & 1) << k) + (value & (1 << k) - 1) + 1
+                value >>= k
+                count -= k
+            e = dt[value & dm]
+            k = e & 63
+            value >>= k
+            count -= k
+            s = e >> 6
+            if s < 4:
+                d = s + 1
+            else:
+                k = s - 2 >> 1
+                d = (2 + (s & 1) << k) + (value & (1 << k) - 1) + 1
+                value >>= k
+                count -= k
             if d > 120:
                 d -= 120
             else:
                 dx, dy = NEAR[d - 1]
                 d = max(1, dx + dy * width)
-            if d > len(out) or length > total - len(out):
+            if d > n or length > total - n:
                 raise ValueError("a reference outside of the image")
-            while length > 0:
-                part = out[-d:][:length] if d >= length else out[-d:]
-                out += part
-                length -= len(part)
+            if d >= length:
+                out += out[n - d : n - d + length]
+            else:
+                part = out[n - d :]
+                out += (part * (length // d + 1))[:length]
+            n += length
         else:
             for p in out[done:]:
                 cache[(p * 0x1E35A7BD & 0xFFFFFFFF) >> down] = p
-            done = len(out)
+            done = n
             if s - 280 >= len(cache):
                 raise ValueError("a symbol outside of the colour cache")
-            out.append(cache[s - 280])
-    b.value, b.count = value, count
+            append(cache[s - 280])
+            n += 1
+    b.at, b.value, b.count = at, value, count
     return np.frombuffer(out, np.uint32) if out else np.zeros(0, np.uint32)
 
 
-def in_step(images: list[Image]) -> None:
-    """Reads the pixels of several images, a symbol of each at a time; LEAST of them or fewer go on one by one."""
-    plans = [x.plan for x in images]
-    raw = np.frombuffer(b"".join(x.bits.data + bytes(24) for x in images), np.uint8)
-    base = np.cumsum([0] + [len(x.bits.data) + 24 for x in images])
-    wide = np.zeros(len(raw) - 8, np.uint64)  # the 8 bytes from each byte on
-    for k in range(8):
-        wide |= raw[k : k + len(wide)].astype(np.uint64) << np.uint64(8 * k)
-    wide = wide.view(np.int64)
-    all_codes = [g for p in plans for g in p.codes]
-    tables = np.concatenate([c.array for g in all_codes for c in g])
-    places = np.cumsum([0] + [len(c.array) for g in all_codes for c in g])[:-1].reshape(-1, 5).T.copy()
-    masks = np.array([[(1 << c.bits) - 1 for c in g] for g in all_codes], np.int64).T.copy()
-    clear = not masks[3].any()  # the alpha codes say the same always
-    blocks = np.concatenate([np.zeros(1, np.int64) if p.blocks is None else p.blocks for p in plans])
-    grouped = len(blocks) > len(plans)
-    cached = any(p.cache_bits for p in plans)
-    out = np.zeros(sum(p.total for p in plans), np.int64)
-    starts = np.cumsum([0] + [p.total for p in plans])
-    caches = np.cumsum([0] + [1 << p.cache_bits for p in plans])
-    cache = np.zeros(caches[-1], np.int64)
-    rows = [
-        range(len(images)), [(int(b) * 8 + x.bits.place()) for b, x in zip(base, images)], starts[:-1], starts[1:], starts[:-1], [p.width for p in plans], np.cumsum([0] + [len(p.codes) for p in plans])[:-1],
-        [p.shift or 30 for p in plans], [p.across for p in plans], np.cumsum([0] + [1 if p.blocks is None else len(p.blocks) for p in plans])[:-1], caches[:-1], [32 - p.cache_bits for p in plans],
-    ]
-    state = np.array([list(map(int, r)) for r in rows], np.int64)  # who, bit, next pixel, end, start, width, first group, block shift, blocks across, first block, first place in the cache, hash shift
-
-    def keep(where, pixels: np.ndarray) -> None:
-        out[state[2, where]] = pixels
-        if cached:
-            cache[state[10, where] + ((pixels * 0x1E35A7BD & 0xFFFFFFFF) >> state[11, where])] = pixels
-        state[2, where] += 1
-
-    def extra(where: np.ndarray, code: np.ndarray) -> np.ndarray:
-        n = np.maximum(0, code - 2 >> 1)
-        bit = state[1, where]
-        more = wide[bit >> 3] >> (bit & 7) & (1 << n) - 1
-        state[1, where] += n
-        return np.where(code < 4, code + 1, ((2 + (code & 1)) << n) + more + 1)
-
-    last = len(wide) - 1
-    while state.shape[1] > LEAST:
-        bit = state[1]
-        group = state[6]
-        if grouped:
-            n = state[2] - state[4]
-            y = n // state[5]
-            group = group + blocks[state[9] + (y >> state[7]) * state[8] + (n - y * state[5] >> state[7])]
-        w = wide[np.minimum(bit >> 3, last)] >> (bit & 7)
-        e = tables[places[0][group] + (w & masks[0][group])]
-        n = e & 15
-        bit += n
-        s = e >> 4
-        plain = s < 256
-        if plain.all():
-            at, g = slice(None), group
-        else:
-            at = np.flatnonzero(plain)
-            g, w, n, s_all, s = group[at], w[at], n[at], s, s[at]
-        if isinstance(at, slice) or len(at):
-            w = w >> n
-            r = tables[places[1][g] + (w & masks[1][g])]
-            n = r & 15
-            b = tables[places[2][g] + (w >> n & masks[2][g])]
-            bit[at] += n + (b & 15)
-            if clear:
-                a = tables[places[3][g]]
-            else:
-                here = bit[at]
-                a = tables[places[3][g] + (wide[np.minimum(here >> 3, last)] >> (here & 7) & masks[3][g])]
-                bit[at] += a & 15
-            keep(at, (a >> 4) << 24 | (r >> 4) << 16 | s << 8 | b >> 4)
-        bad = None
-        if not isinstance(at, slice):
-            hit = np.flatnonzero(s_all >= 280)
-            if len(hit):
-                place = s_all[hit] - 280
-                wrong = place >= 1 << 32 - state[11, hit]
-                if wrong.any():
-                    bad = hit[wrong]
-                    for k in bad.tolist():
-                        images[state[0, k]].error = "a symbol outside of the colour cache"
-                    hit, place = hit[~wrong], place[~wrong]
-                keep(hit, cache[state[10, hit] + place])
-            far = np.flatnonzero((s_all >= 256) & (s_all < 280))
-            if len(far):
-                np.minimum(bit, last * 8, out=bit)
-                length = extra(far, s_all[far] - 256)
-                np.minimum(bit, last * 8, out=bit)
-                here = state[1, far]
-                e = tables[places[4][group[far]] + (wide[here >> 3] >> (here & 7) & masks[4][group[far]])]
-                state[1, far] += e & 15
-                np.minimum(bit, last * 8, out=bit)
-                d = extra(far, e >> 4)
-                near = NEAR_AT[np.minimum(d, 120)]
-                d = np.where(d > 120, d - 120, np.maximum(1, near[:, 0] + near[:, 1] * state[5, far]))
-                wrong = (d > state[2, far] - state[4, far]) | (length > state[3, far] - state[2, far])
-                for k, m, back, no in zip(far.tolist(), length.tolist(), d.tolist(), wrong.tolist()):
-                    if no:
-                        images[state[0, k]].error = "a reference outside of the image"
-                        bad = np.append(bad, k).astype(np.int64) if bad is not None else np.array([k])
-                        continue
-                    i = int(state[2, k])
-                    if back >= m:
-                        part = out[i - back : i - back + m]
-                    else:
-                        part = np.resize(out[i - back : i], m)
-                    out[i : i + m] = part
-                    if cached:
-                        cache[state[10, k] + ((out[i : i + m] * 0x1E35A7BD & 0xFFFFFFFF) >> state[11, k])] = out[i : i + m]
-                    state[2, k] = i + m
-        stay = state[2] < state[3]
-        if bad is not None:
-            stay[bad] = False
-        if not stay.all():
-            for k in np.flatnonzero(~stay).tolist():
-                x = images[state[0, k]]
-                x.end = int(state[1, k]) - int(base[state[0, k]]) * 8
-            state = state[:, stay]
-    left = {int(k): (int(n), int(bit)) for k, bit, n in state[:3].T}
-    for k, x in enumerate(images):
-        if x.error:
-            continue
-        own = out[starts[k] : starts[k + 1]]
-        if k in left:
-            n, bit = left[k]
-            try:
-                x.bits.seek(bit - int(base[k]) * 8)
-                x.pixels = one_by_one(x.plan, x.bits, own[: n - starts[k]].astype(np.uint32))
-                x.end = x.bits.place()
-            except (ValueError, IndexError) as e:
-                x.error = str(e)
-                continue
-        else:
-            x.pixels = own.astype(np.uint32)
-        if x.end > len(x.bits.data) * 8:
-            x.error = "the stream ends too early"
-
-
 def _half(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a & b) + (((a ^ b) & 0xFEFEFEFE) >> 1)
 
@@ -460,24 +534,24 @@ def _step(mean: np.ndarray, corner: np.ndarray) -> np.ndarray:
     return _join(m + np.sign(d) * (np.abs(d) >> 1))
 
 
-#: By mode, from left, up, up left and up right.
+#: By mode, from the pixels, the places to predict and those above them.
 PREDICT = (
-    lambda l, u, c, r: OPAQUE,
-    lambda l, u, c, r: l,
-    lambda l, u, c, r: u,
-    lambda l, u, c, r: r,
-    lambda l, u, c, r: c,
-    lambda l, u, c, r: _half(_half(l, r), u),
-    lambda l, u, c, r: _half(l, c),
-    lambda l, u, c, r: _half(l, u),
-    lambda l, u, c, r: _half(c, u),
-    lambda l, u, c, r: _half(u, r),
-    lambda l, u, c, r: _half(_half(l, c), _half(u, r)),
-    lambda l, u, c, r: _select(l, u, c),
-    lambda l, u, c, r: _full(l, u, c),
-    lambda l, u, c, r: _step(_half(l, u), c),
-    lambda l, u, c, r: OPAQUE,
-    lambda l, u, c, r: OPAQUE,
+    lambda p, j, u: OPAQUE,
+    lambda p, j, u: p[j - 1],
+    lambda p, j, u: p[u],
+    lambda p, j, u: p[u + 1],
+    lambda p, j, u: p[u - 1],
+    lambda p, j, u: _half(_half(p[j - 1], p[u + 1]), p[u]),
+    lambda p, j, u: _half(p[j - 1], p[u - 1]),
+    lambda p, j, u: _half(p[j - 1], p[u]),
+    lambda p, j, u: _half(p[u - 1], p[u]),
+    lambda p, j, u: _half(p[u], p[u + 1]),
+    lambda p, j, u: _half(_half(p[j - 1], p[u - 1]), _half(p[u], p[u + 1])),
+    lambda p, j, u: _select(p[j - 1], p[u], p[u - 1]),
+    lambda p, j, u: _full(p[j - 1], p[u], p[u - 1]),
+    lambda p, j, u: _step(_half(p[j - 1], p[u]), p[u - 1]),
+    lambda p, j, u: OPAQUE,
+    lambda p, j, u: OPAQUE,
 )
 
 
@@ -494,15 +568,14 @@ def unpredict(jobs: list[tuple[np.ndarray, int, np.ndarray, int]]) -> list[np.nd
         keys.append((((np.arange(w) + 2 * np.arange(h)[:, None]) << 4) + mode).ravel())
         widths.append(np.full(len(p), w))
     key, width = np.concatenate(keys), np.concatenate(widths)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key.astype(np.uint16) if key.max() < 1 << 16 else key, kind="stable")
     key = key[order]
-    at, width = order + pad, width[order]
+    at = order + pad
+    above = at - width[order]
     cuts = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])).tolist()
     for s, e in zip(cuts, cuts[1:]):
-        j, w = at[s:e], width[s:e]
-        up = j - w
-        value = PREDICT[int(key[s]) & 15](pixels[j - 1], pixels[up], pixels[up - 1], pixels[up + 1])
-        pixels[j] = _add(pixels[j], value)
+        j = at[s:e]
+        pixels[j] = _add(pixels[j], PREDICT[int(key[s]) & 15](pixels, j, above[s:e]))
     return [pixels[a:b] for a, b in zip(starts, starts[1:])]
 
 
@@ -554,16 +627,13 @@ def size_of(data: bytes) -> tuple[int, int, int]:
 
 
 class Image:
-    """A file read up to the symbols of its pixels."""
+    """A file whose pixels are read, the transforms still to be undone."""
 
     def __init__(self, data: bytes, max_pixels: int):
-        self.error = ""
-        self.pixels: np.ndarray | None = None
-        self.end = 0
         self.width, self.height, at = size_of(data)
         if self.width * self.height > max_pixels:
             raise ValueError("too many pixels")
-        b = self.bits = Bits(data[at:])
+        b = Bits(data[at:])
         self.undo: list[tuple] = []
         own = self.width
         while b.read(1):
@@ -582,7 +652,7 @@ class Image:
                 packed = -(-own >> bundle)
                 self.undo.append((kind, own, packed, colours, bundle))
                 own = packed
-        self.plan = Plan(b, own, self.height, True)
+        self.pixels = read_pixels(b, own, self.height, True)
         if b.place() > len(b.data) * 8:
             raise ValueError("the stream ends too early")
 
@@ -609,8 +679,7 @@ class Image:
 
 
 def _finish(images: list[Image]) -> None:
-    in_step(images)
-    jobs = [x for x in images if not x.error and x.back(False)]
+    jobs = [x for x in images if x.back(False)]
     if jobs:
         for x, p in zip(jobs, unpredict([(x.pixels, u[1], u[3], u[2]) for x in jobs for u in x.undo[-1:]])):
             x.pixels = p
@@ -620,13 +689,11 @@ def _finish(images: list[Image]) -> None:
 def decode_many(files: Iterable[bytes | None], max_pixels: int = 64_000_000) -> Iterator[list[tuple]]:
     """(width, height, RGBA bytes, error) of each file, in order, in lists of some BATCH pixels; all None for None."""
     held: list = []
-    pixels = entries = 0
+    pixels = 0
 
     def done() -> list[tuple]:
-        good = [x for x in held if isinstance(x, Image)]
-        if good:
-            _finish(good)
-        return [(None, None, None, x if isinstance(x, str) else x.error) if isinstance(x, str) or (x is not None and x.error) else (None,) * 4 if x is None else (x.width, x.height, x.rgba(), None) for x in held]
+        _finish([x for x in held if isinstance(x, Image)])
+        return [(x.width, x.height, x.rgba(), None) if isinstance(x, Image) else (None, None, None, x) for x in held]
 
     for data in files:
         try:
@@ -634,11 +701,11 @@ def decode_many(files: Iterable[bytes | None], max_pixels: int = 64_000_000) ->
         except (ValueError, IndexError) as e:
             x = str(e)
         if isinstance(x, Image):
-            size, tables = x.width * x.height, sum(len(c.array) for g in x.plan.codes for c in g)
-            if held and (pixels + size > BATCH or entries + tables > BATCH):
+            size = x.width * x.height
+            if held and pixels + size > BATCH:
                 yield done()
-                held, pixels, entries = [], 0, 0
-            pixels, entries = pixels + size, entries + tables
+                held, pixels = [], 0
+            pixels += size
         held.append(x)
     if held:
         yield done()

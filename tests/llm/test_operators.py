@@ -771,6 +771,50 @@ def test_webp_batches_of_mixed_sizes():
         assert len(got) == len(want) and all(g == x if x[0] or f is None else g[:3] == (None,) * 3 and g[3] for f, g, x in zip(files, got, want))
 
 
+def test_webp_many_at_once():
+    """Images written together are what each is by itself, with few Python calls for each."""
+    import cProfile
+    import pstats
+
+    r = np.random.default_rng(11)
+    for k, o in enumerate(webp_write.VARIANTS):
+        images = [image(r, *(int(x) for x in r.integers(1, 40, 2)), n % 4) for n in range(20)]
+        assert webp_write.encode_many(images, o, k) == [webp_write.encode(a, o, k) for a in images]
+    assert webp_write.encode_many([]) == []
+    texts = [prose(i, 300) for i in range(120)]
+    with cProfile.Profile() as p:
+        files = [f for k, o in enumerate(webp_write.VARIANTS) for f in webp_write.encode_many([webp_write.picture(t, o.palette) for t in texts[k::6]], o, k)]
+    assert len(files) == 120 and pstats.Stats(p).total_calls < 1_000 * 120
+
+
+def test_webp_by_bits():
+    """Images read by looking up every bit are what they are symbol by symbol, broken ones too."""
+    r = np.random.default_rng(12)
+    before = webp.BY_BITS
+    used = []
+    for k in range(60):
+        o = webp_write.Options(int(r.choice([0, 2])), 0, bool(r.integers(2)), k % 3 == 0, int(r.choice([0, 1, 6])), bool(r.integers(2)), 0)
+        h, w = (int(x) for x in r.integers(15, 45, 2))
+        a = image(r, h, w, k % 4)
+        good = webp_write.encode(a, o, k)
+        files = [good, good[:-40]]
+        for _ in range(8):
+            d = bytearray(good)
+            d[int(r.integers(25, len(d)))] ^= 1 << int(r.integers(8))
+            files.append(bytes(d))
+        try:
+            webp.BY_BITS = 1, 1 << 30
+            got = [x for part in webp.decode_many(files) for x in part]
+            webp.BY_BITS = 1 << 60, 0
+            want = [x for part in webp.decode_many(files) for x in part]
+        finally:
+            webp.BY_BITS = before
+        assert got[0] == (w, h, a.tobytes(), None) and got[1][3], o
+        assert [(x[:3], bool(x[3])) for x in got] == [(x[:3], bool(x[3])) for x in want], o
+        used.append(sum(x[3] is None for x in got))
+    assert sum(used) > 60  # some broken streams still make an image
+
+
 def test_webp_tables(spark):
     r = np.random.default_rng(2)
     a = image(r, 6, 7, 1)
