@@ -98,7 +98,8 @@ def clean_replacements(t: Column) -> Column:
     return F.when(~t.rlike("[^�\\s]"), F.when(t.contains("�"), "").otherwise(t)).otherwise(F.regexp_replace(t, "�+", "[?]"))
 
 
-SPACED = r"(?:[A-Z]{1,2})(?:\s+(?:[A-Z]{1,2})){2,}"
+#: The last + has the JVM go through a run in a loop, not one call deeper a letter; nothing is given back, as nothing follows.
+SPACED = r"(?:[A-Z]{1,2})(?:\s+(?:[A-Z]{1,2})){2,}+"
 
 
 def collapse_spaced(t: Column) -> Column:

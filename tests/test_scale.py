@@ -1,5 +1,10 @@
 """What must not grow faster than the input."""
 
+import time
+
+from pyspark.sql import functions as F
+
+from quire.functions import text as X
 from quire.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +32,9 @@ def test_no_characters_are_grouped(spark):
 def test_no_characters_are_joined(spark):
     for name in ("textlayer_pages", "textlayer_blocks", "textlayer_warnings"):
         assert "lines" not in set(read_by(queries.QUERIES[name](spark, SF), "Join", "Aggregate", "Window"))
+
+
+def test_long_run_of_spaced_capitals(spark):
+    """It ended the executor: one call deeper for each letter."""
+    t = F.concat(F.repeat(F.lit("A BC\t"), 200_000), F.lit("D Efg"))
+    assert spark.range(1).select((X.collapse_spaced(t) == F.concat(F.repeat(F.lit("ABC"), 200_000), F.lit("DEfg"))).alias("x")).first()["x"]
