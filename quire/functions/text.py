@@ -108,7 +108,8 @@ def collapse_spaced(t: Column) -> Column:
 
 
 def dehyphenate(t: Column) -> Column:
-    return F.regexp_replace(t, rf"({WORD}+)-\s*[\r\n]+\s*({WORD}+)", "$1$2")
+    """Words cut at line ends made whole. A word is tried from its first letter only: from each, a long one would take the square of its length."""
+    return F.regexp_replace(t, rf"(?<!{WORD})({WORD}++)-\s*[\r\n]+\s*({WORD}+)", "$1$2")
 
 
 def _tokens(t: Column) -> Column:

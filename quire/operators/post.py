@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import blocks as B
 
-TAIL = rf"({X.WORD}+)-\s*$"
+TAIL = rf"{X.WORD}-\s*$"
 ALONE = rf"^\s*{X.WORD}+-\s*$"
 HEAD = rf"^\s*({X.WORD}+)"
 

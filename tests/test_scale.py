@@ -38,3 +38,10 @@ def test_long_run_of_spaced_capitals(spark):
     """It ended the executor: one call deeper for each letter."""
     t = F.concat(F.repeat(F.lit("A BC\t"), 200_000), F.lit("D Efg"))
     assert spark.range(1).select((X.collapse_spaced(t) == F.concat(F.repeat(F.lit("ABC"), 200_000), F.lit("DEfg"))).alias("x")).first()["x"]
+
+
+def test_long_words_with_hyphens(spark):
+    word = F.repeat(F.lit("w"), 200_000)
+    began = time.time()
+    got = spark.range(1).select(X.dehyphenate(F.concat(word, F.lit(" a-\n b-\nc "), word, F.lit("-"))).alias("x")).first()["x"]
+    assert got == "w" * 200_000 + " ab-\nc " + "w" * 200_000 + "-" and time.time() - began < 10
