@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULT
+from quire.functions.arrays import union_area  # noqa: F401
 
 
 def bbox(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -87,30 +88,6 @@ def image_boxes(boxes: Column, w: Column, h: Column) -> Column:
     return F.filter(F.transform(boxes, lambda b: clamped(upright(b), w, h)), lambda b: (b["x1"] > b["x0"]) & (b["y1"] > b["y0"]))
 
 
-def union_length(intervals: Column) -> Column:
-    """Length of the union of an array of (lo, hi)."""
-    start = F.struct(F.lit(0.0).alias("total"), F.lit(-1e300).alias("end"))
-
-    def step(acc: Column, i: Column) -> Column:
-        more = F.greatest(F.lit(0.0), i["hi"] - F.greatest(i["lo"], acc["end"]))
-        return F.struct((acc["total"] + more).alias("total"), F.greatest(acc["end"], i["hi"]).alias("end"))
-
-    return F.aggregate(F.array_sort(intervals), start, step, lambda acc: acc["total"])
-
-
-def union_area(boxes: Column) -> Column:
-    """Area of the union of an array of boxes, by slabs between neighbouring edges; 0 for an empty or null array."""
-    up = F.transform(boxes, upright)
-    ys = F.array_sort(F.array_distinct(F.flatten(F.transform(up, lambda b: F.array(b["y0"], b["y1"])))))
-    edges = F.arrays_zip(F.slice(ys, F.lit(1), F.greatest(F.size(ys) - 1, F.lit(0))).alias("a"), F.slice(ys, F.lit(2), F.greatest(F.size(ys) - 1, F.lit(0))).alias("b"))
-
-    def slab(e: Column) -> Column:
-        inside = F.filter(up, lambda b: (b["y0"] <= e["a"]) & (b["y1"] >= e["b"]))
-        return (e["b"] - e["a"]) * union_length(F.transform(inside, lambda b: F.struct(b["x0"].alias("lo"), b["x1"].alias("hi"))))
-
-    return F.when(F.size(F.coalesce(boxes, F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))) == 0, 0.0).otherwise(F.aggregate(F.transform(edges, slab), F.lit(0.0), lambda s, x: s + x))
-
-
 def line_height(b: Column, text: Column) -> Column:
     """Height of one line of a block; 0 without a box."""
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1

@@ -24,10 +24,10 @@ def triage(pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     w, h = F.coalesce("width", F.lit(0.0)), F.coalesce("height", F.lit(0.0))
     area = F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
     boxes = F.coalesce("image_boxes", F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>"))
-    union = G.union_area(G.image_boxes(boxes, w, h))
-    found = rule(F.length(X.strip(F.coalesce("text", F.lit("")))), union, area, cfg)
+    on = pages.withColumn("union_area", G.union_area(G.image_boxes(boxes, w, h)))
+    found = rule(F.length(X.strip(F.coalesce("text", F.lit("")))), F.col("union_area"), area, cfg)
     bad = F.when(area <= 0, F.array(F.lit("stage0: page has no area"))).otherwise(F.array().cast("array<string>"))
-    return pages.withColumns({**found, "union_area": union, "warnings": bad})
+    return on.withColumns({**found, "warnings": bad})
 
 
 def tally(pages: DataFrame) -> DataFrame:

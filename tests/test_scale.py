@@ -1,10 +1,13 @@
 """What must not grow faster than the input."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
+from quire.functions import geometry as G
 from quire.functions import text as X
+from quire.operators import triage
 from quire.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +48,19 @@ def test_long_words_with_hyphens(spark):
     began = time.time()
     got = spark.range(1).select(X.dehyphenate(F.concat(word, F.lit(" a-\n b-\nc "), word, F.lit("-"))).alias("x")).first()["x"]
     assert got == "w" * 200_000 + " ab-\nc " + "w" * 200_000 + "-" and time.time() - began < 10
+
+
+def test_unions_of_many_boxes(spark):
+    """Once for each slab and box, not for each expression that uses the area too; against a plain grid."""
+    rng = random.Random(3)
+    boxes = [[(rng.randint(0, 60), rng.randint(0, 60), rng.randint(0, 60), rng.randint(0, 60)) for _ in range(n)] for n in (0, 1, 2, 9, 9, 400)]
+    kind = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
+    df = spark.createDataFrame([(i, [tuple(map(float, b)) for b in own]) for i, own in enumerate(boxes)], f"i int, b {kind}")
+    for r in df.select("i", G.union_area(F.col("b")).alias("a")).collect():
+        cells = {(x, y) for x0, y0, x1, y1 in boxes[r["i"]] for x in range(min(x0, x1), max(x0, x1)) for y in range(min(y0, y1), max(y0, y1))}
+        assert r["a"] == len(cells)
+    many = F.transform(F.sequence(F.lit(1), F.lit(2500)), lambda i: G.bbox(i % 500, i % 700, i % 500 + 40, i % 700 + 30 + i % 3))
+    page = spark.range(1).select(F.lit("d").alias("doc_id"), F.lit(0).alias("page_num"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"), F.lit("").alias("text"), many.alias("image_boxes"))
+    began = time.time()
+    got = triage.triage(page).where("triage_result = 'ocr_needed'").select("density", "coverage", "union_area", "triage_result").collect()
+    assert len(got) == 1 and time.time() - began < 8
