@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import DEFAULT, EngineConfig
+from quire.functions import arrays
 from quire.functions import geometry as G
 from quire.functions import text as X
 from quire.operators import blocks as B
@@ -48,31 +49,10 @@ def word_spans(blocks: DataFrame) -> DataFrame:
 def split_on_gaps(text: Column, x0: Column, x1: Column, positions: Column | None = None, gap: float = DEFAULT.char_gap) -> Column:
     """Parts (text, x0, x1) of a span, cut where a character starts `gap` or more after the last one that is no space."""
     n, w = F.length(text), x1 - x0
-    one = w / F.greatest(n, F.lit(1))
-    letters = F.when(n > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
-    spread = F.transform(letters, lambda c, i: F.struct(c.alias("ch"), (x0 + i * one).alias("x")))
-    chars = spread if positions is None else F.when(F.size(positions) > 0, positions).otherwise(spread)
-    count = lambda a: F.when(F.size(a) > 0, F.sequence(F.lit(0), F.size(a) - 1)).otherwise(F.array().cast("array<int>"))
-
-    def cut(c: Column) -> Column:
-        """c: characters; v: places of those that are no space; s: places in v where a part starts."""
-
-        def starts(v: Column, k: Column) -> Column:
-            before, here = F.get(v, k - 1), F.get(v, k)
-            reach = F.when(here - before == 1, F.get(c, here)["x"]).otherwise(F.array_max(F.transform(F.slice(c, before + 2, here - before), lambda o: o["x"])))
-            return (k == 0) | (reach - F.get(c, before)["x"] >= gap)
-
-        def part(v: Column, s: Column, k: Column, j: Column) -> Column:
-            end = F.coalesce(F.get(s, j + 1), F.size(v))
-            letters = F.transform(F.slice(v, k + 1, end - k), lambda i: F.get(c, i)["ch"])
-            return F.struct(F.array_join(letters, "").alias("text"), F.get(c, F.get(v, k))["x"].cast("double").alias("x0"), (F.get(c, F.get(v, end - 1))["x"] + one).cast("double").alias("x1"))
-
-        full = F.filter(count(c), lambda i: F.get(c, i)["ch"] != " ")
-        return X.let(full, lambda v: X.let(F.filter(count(v), lambda k: starts(v, k)), lambda s: F.transform(s, lambda k, j: part(v, s, k, j))))
-
+    none = F.lit(None).cast("array<struct<ch:string,x:double>>")
     whole = F.array(F.struct(text.alias("text"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1")))
-    parts = X.let(chars, cut)
-    return F.when((n == 0) | (w <= 0) | (F.size(parts) == 0), whole).otherwise(parts)
+    uncut = F.coalesce(n == 0, F.lit(False)) | F.coalesce(w <= 0, F.lit(False))
+    return X.let(arrays.split_on_gaps(text, x0, x1, none if positions is None else positions, gap), lambda parts: F.when(uncut | (F.size(parts) == 0), whole).otherwise(parts))
 
 
 def row_numbers(ys: Column, gap: float = DEFAULT.row_gap) -> Column:
