@@ -31,19 +31,14 @@ def word_spans(blocks: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda l: ~X.blank(l))
     rows = own.select(*B.PAGE, "seq", "bbox", F.size(lines).alias("n_lines"), F.posexplode(lines).alias("line", "line_text"))
     found = X.words(F.col("line_text"))
-    rows = rows.withColumn("found", found).withColumn("letters", F.length(F.array_join("found", "")))
+    rows = rows.withColumn("found", found).withColumn("ends", arrays.ends(F.transform("found", lambda w: F.length(w))))
     w = F.col("bbox.x1") - F.col("bbox.x0")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,x0:double,x1:double>>").alias("out"))
     place = lambda letters: F.col("bbox.x0") + letters / F.col("letters") * w
-
-    def lay(acc: Column, word: Column) -> Column:
-        end = acc["at"] + F.length(word)
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(word.alias("text"), place(acc["at"]).alias("x0"), place(end).alias("x1"))).alias("out"))
-
     high = (F.col("bbox.y1") - F.col("bbox.y0")) / F.col("n_lines")
     y0 = F.col("bbox.y0") + F.col("line") * high
-    spans = rows.withColumns({"y0": y0, "y1": y0 + high}).select(*B.PAGE, "seq", "line", "y0", "y1", F.posexplode(F.aggregate("found", start, lay, lambda a: a["out"])).alias("k", "s"))
-    return spans.select(*B.PAGE, "seq", "line", "k", "s.text", "s.x0", "s.x1", "y0", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("y_center"))
+    spans = rows.withColumns({"y0": y0, "y1": y0 + high, "letters": F.get("ends", F.size("ends") - 1)}).select(*B.PAGE, "seq", "line", "y0", "y1", "bbox", "letters", F.posexplode(F.arrays_zip(F.col("found").alias("text"), F.col("ends").alias("end"))).alias("k", "s"))
+    spans = spans.select("*", F.col("s.text").alias("text"), place(F.col("s.end") - F.length("s.text")).alias("x0"), place(F.col("s.end")).alias("x1"))
+    return spans.select(*B.PAGE, "seq", "line", "k", "text", "x0", "x1", "y0", "y1", ((F.col("y0") + F.col("y1")) / 2).alias("y_center"))
 
 
 def split_on_gaps(text: Column, x0: Column, x1: Column, positions: Column | None = None, gap: float = DEFAULT.char_gap) -> Column:

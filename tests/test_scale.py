@@ -74,3 +74,11 @@ def test_gaps_of_long_lines(spark):
     parts = rows.select(F.explode(tables.split_on_gaps(F.col("t"), F.lit(0.0), F.lit(10.0), F.transform(F.split("t", ""), place))).alias("p")).groupBy("p.text").count().collect()
     assert sum(len(r["text"]) * r["count"] for r in parts) == 400_000 * 5
     assert time.time() - began < 20
+
+
+def test_words_of_a_long_line(spark):
+    """Every word copied those before it."""
+    rows = spark.range(1).select(F.lit("d").alias("doc_id"), F.lit(0).alias("page_num"), F.lit(0).alias("seq"), F.repeat(F.lit("ab c "), F.col("id").cast("int") + 150_000).alias("text"), G.bbox(F.lit(0.0), F.lit(0.0), F.lit(450.0), F.lit(10.0)).alias("bbox"))
+    began = time.time()
+    got = tables.word_spans(rows).agg(F.count("*").alias("n"), F.max("x1").alias("x1"), F.sum(F.col("x1") - F.col("x0")).alias("w")).first()
+    assert got["n"] == 300_000 and got["x1"] == 450.0 and abs(got["w"] - 450) < 1e-6 and time.time() - began < 20
