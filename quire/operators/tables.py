@@ -86,13 +86,15 @@ def columns(spans: DataFrame, pages: DataFrame, cfg: EngineConfig = DEFAULT) ->
 
 
 def cells(rows: DataFrame, cols: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Text of each row and column: the words that lie in the column's range, left to right; a word may fit several or none."""
-    c = cols.select(*B.PAGE, "col", F.col("x0").alias("c0"), F.col("x1").alias("c1"))
-    grid = rows.select(*B.PAGE, "row").distinct().join(c, list(B.PAGE))
-    fit = rows.join(c, list(B.PAGE)).where((F.col("x0") >= F.col("c0") - cfg.cell_pad) & (F.col("x1") <= F.col("c1") + cfg.cell_pad))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("x0", "y_center", "seq", "line", "k", "text"))), lambda s: s["text"])
-    text = fit.groupBy(*B.PAGE, "row", "col").agg(F.array_join(ordered, " ").alias("text"))
-    return grid.join(text, [*B.PAGE, "row", "col"], "left").select(*B.PAGE, "row", "col", X.strip(F.coalesce("text", F.lit(""))).alias("text"))
+    """Text of each row and column: the words that lie in the column's range, left to right; a word may fit several or none.
+
+    Words are shuffled once, by page, and packed by row; a row then meets the columns of its page.
+    """
+    c = cols.groupBy(*B.PAGE).agg(F.collect_list(F.struct("col", F.col("x0").alias("c0"), F.col("x1").alias("c1"))).alias("cols"))
+    packed = rows.repartition(*(F.col(k) for k in B.PAGE)).groupBy(*B.PAGE, "row").agg(F.array_sort(F.collect_list(F.struct("x0", "y_center", "seq", "line", "k", "text", "x1"))).alias("words"))
+    grid = packed.join(c, list(B.PAGE)).select(*B.PAGE, "row", "words", F.inline("cols"))
+    fit = F.filter("words", lambda w: (w["x0"] >= F.col("c0") - cfg.cell_pad) & (w["x1"] <= F.col("c1") + cfg.cell_pad))
+    return grid.select(*B.PAGE, "row", "col", X.strip(F.array_join(F.transform(fit, lambda w: w["text"]), " ")).alias("text"))
 
 
 def implicit_tables(pages: DataFrame, blocks: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:

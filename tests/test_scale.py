@@ -82,3 +82,8 @@ def test_words_of_a_long_line(spark):
     began = time.time()
     got = tables.word_spans(rows).agg(F.count("*").alias("n"), F.max("x1").alias("x1"), F.sum(F.col("x1") - F.col("x0")).alias("w")).first()
     assert got["n"] == 300_000 and got["x1"] == 450.0 and abs(got["w"] - 450) < 1e-6 and time.time() - began < 20
+
+
+def test_cells_read_words_once(spark):
+    plan = queries.QUERIES["cell_assign_range_join"](spark, SF)._jdf.queryExecution().optimizedPlan()
+    assert sum(n.nodeName() == "Generate" for n in nodes(plan)) <= 5
