@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as X
-from quire.operators import tables, triage
+from quire.operators import ocr, tables, triage
 from quire.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +87,11 @@ def test_words_of_a_long_line(spark):
 def test_cells_read_words_once(spark):
     plan = queries.QUERIES["cell_assign_range_join"](spark, SF)._jdf.queryExecution().optimizedPlan()
     assert sum(n.nodeName() == "Generate" for n in nodes(plan)) <= 5
+
+
+def test_mean_confidence_at_a_limit(spark):
+    """Pages whose mean is 48 exactly; a hundredth of each mean, added up, came out below."""
+    means = [[48.0] * n for n in range(1, 40)] + [[47.9, 48.1] * n for n in range(1, 20)]
+    rows = [("d", p, m / 100.0) for p, own in enumerate(means) for m in own]
+    blocks = spark.createDataFrame(rows, "doc_id string, page_num int, m double").select("doc_id", "page_num", F.struct(F.col("m").alias("method_score")).alias("confidence"))
+    assert {r["mean_conf"] for r in ocr.mean_confidence(blocks).collect()} == {48.0}
