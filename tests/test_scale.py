@@ -3,11 +3,12 @@
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as G
 from quire.functions import text as X
-from quire.operators import ocr, tables, triage
+from quire.operators import ocr, order, tables, triage
 from quire.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -102,3 +103,19 @@ def test_paragraphs_are_grouped_once(spark):
     plan = queries.QUERIES["ocr_paragraphs"](spark, SF)._jdf.queryExecution().optimizedPlan()
     kinds = [n.nodeName() for n in nodes(plan)]
     assert kinds.count("Aggregate") == 1 and not {"Join", "Window"} & set(kinds)
+
+
+def test_cuts_of_many_pages_at_once():
+    """As page by page, with boxes missing, in a tenth of the time."""
+    rng = np.random.default_rng(7)
+    pages = []
+    for k in range(400):
+        corner = np.floor(rng.uniform(0, 40, (int(rng.integers(0, 40)), 2))) * (14 if k % 2 else 5.3)
+        b = np.hstack([corner, corner + np.floor(rng.uniform(0, 8, corner.shape)) * 11])
+        b[rng.random(len(b)) < 0.1 * (k % 3)] = np.nan
+        pages.append(b)
+    rtl = np.arange(len(pages)) % 3 == 0
+    starts = np.concatenate(([0], np.cumsum([len(b) for b in pages])))
+    got = order.xy_cuts(starts, np.vstack(pages), rtl)
+    for k, b in enumerate(pages):
+        assert got[starts[k] : starts[k + 1]].tolist() == order.xy_cut(b, bool(rtl[k]))
