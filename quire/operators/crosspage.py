@@ -18,14 +18,14 @@ def zones(blocks: DataFrame, pages: DataFrame, cfg: EngineConfig = DEFAULT) -> D
     Where no block lies in a zone, the first or last few that are not in the other zone stand in.
     """
     height = F.coalesce(F.nullif("height", F.lit(0.0)), F.lit(cfg.default_page_height))
-    own = blocks.where(F.col("bbox").isNotNull() & ~X.blank(F.col("text"))).join(pages.select(*B.PAGE, height.alias("page_height")), list(B.PAGE))
+    own = blocks.where(F.col("bbox").isNotNull() & ~X.blank(F.col("text"))).select(*B.PAGE, "seq", "block_id", "bbox", X.fingerprint(F.col("text")).alias("fp")).join(pages.select(*B.PAGE, height.alias("page_height")), list(B.PAGE))
     mid = (F.col("bbox.y0") + F.col("bbox.y1")) / 2
     page = Window.partitionBy(*B.PAGE)
     rows = own.withColumns({"in_top": mid < F.col("page_height") * cfg.zone_share, "in_bottom": mid > F.col("page_height") * (1 - cfg.zone_share), "down": F.row_number().over(page.orderBy("bbox.y0", "seq"))})
     rows = rows.withColumns({"n": F.count("*").over(page), "any_top": F.max("in_top").over(page), "any_bottom": F.max("in_bottom").over(page)})
     top = F.when(F.col("any_top"), F.col("in_top")).otherwise((F.col("down") <= cfg.zone_blocks) & ~F.col("in_bottom"))
     bottom = F.when(F.col("any_bottom"), F.col("in_bottom")).otherwise((F.col("down") > F.col("n") - cfg.zone_blocks) & ~F.col("in_top"))
-    return rows.select(*B.PAGE, "block_id", X.fingerprint(F.col("text")).alias("fp"), top.alias("top"), bottom.alias("bottom"))
+    return rows.select(*B.PAGE, "block_id", "fp", top.alias("top"), bottom.alias("bottom"))
 
 
 def repeating(zoned: DataFrame, min_pages: int = DEFAULT.min_pages) -> DataFrame:
@@ -37,7 +37,7 @@ def repeating(zoned: DataFrame, min_pages: int = DEFAULT.min_pages) -> DataFrame
 
 def promote(blocks: DataFrame, pages: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """blocks with repeated heads and feet typed header and footer; a header wins."""
-    zoned = zones(blocks, pages, cfg)
+    zoned = zones(blocks, pages, cfg).where("fp <> '' AND (top OR bottom)")
     hit = zoned.join(repeating(zoned, cfg.min_pages), ["doc_id", "fp"])
     kind = F.when(F.col("top") & F.col("header"), "header").when(F.col("bottom") & F.col("footer"), "footer")
     told = hit.select("doc_id", "block_id", kind.alias("kind")).where("kind IS NOT NULL")

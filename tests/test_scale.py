@@ -119,3 +119,8 @@ def test_cuts_of_many_pages_at_once():
     got = order.xy_cuts(starts, np.vstack(pages), rtl)
     for k, b in enumerate(pages):
         assert got[starts[k] : starts[k + 1]].tolist() == order.xy_cut(b, bool(rtl[k]))
+
+
+def test_no_texts_are_joined_for_repeats(spark):
+    """Fingerprints are taken before; only blocks in a head or foot are looked up."""
+    assert "text" not in set(read_by(queries.QUERIES["promote_blocks"](spark, SF), "Join", "Window"))
