@@ -130,19 +130,19 @@ def fix_confusions(t: Column) -> Column:
 
 
 def bare(w: Column) -> Column:
-    edge = r"[.,!?;:\"'()\[\]{}]"
-    return F.lower(F.regexp_replace(w, f"^{edge}+|{edge}+$", ""))
+    return F.lower(F.btrim(w, F.lit(PUNCTUATION)))
 
 
 def fix_confusions_known(t: Column, dictionary: Column) -> Column:
-    """The first replacement that makes a known word of an unknown one; dictionary is an array of words."""
+    """The first replacement that makes a known word of an unknown one; dictionary is an array of words. White space and words without a confusion aren't looked up."""
+    confused = "|".join(wrong.replace("|", "\\|") for wrong, _ in CONFUSIONS)
 
     def fix(w: Column) -> Column:
         out = w
         for wrong, right in reversed(CONFUSIONS):
             other = F.replace(w, F.lit(wrong), F.lit(right))
             out = F.when(F.contains(w, F.lit(wrong)) & F.array_contains(dictionary, bare(other)), other).otherwise(out)
-        return F.when(w.isin(*LEFT_ALONE) | F.array_contains(dictionary, bare(w)), w).otherwise(out)
+        return F.when(~w.rlike(confused), w).when(w.isin(*LEFT_ALONE) | F.array_contains(dictionary, bare(w)), w).otherwise(out)
 
     return F.array_join(F.transform(_tokens(t), fix), "")
 

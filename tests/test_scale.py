@@ -124,3 +124,12 @@ def test_cuts_of_many_pages_at_once():
 def test_no_texts_are_joined_for_repeats(spark):
     """Fingerprints are taken before; only blocks in a head or foot are looked up."""
     assert "text" not in set(read_by(queries.QUERIES["promote_blocks"](spark, SF), "Join", "Window"))
+
+
+def test_words_are_looked_up_cheaply(spark):
+    """No pattern for each word and space; only words with a confusion in them are looked up."""
+    df = queries.QUERIES["ocr_confusions_dict"](spark, SF)
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    known = F.array(F.lit("them"), F.lit("d"))
+    t = F.lit("(thern, \t ll vvet; cl|||").alias("t")
+    assert spark.range(1).select(X.fix_confusions_known(t, known).alias("x")).first()["x"] == "(them, \t ll vvet; cl|||"
